@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _escape_unit(unit: Column) -> Column:
@@ -65,13 +66,13 @@ def _recode(text: str, separators: tuple[str, str]) -> str:
     return json.dumps(json.loads(text), sort_keys=True, separators=separators)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
     """Recode JSON text of unknown origin (numbers, nesting) without blanks."""
     return texts.map(lambda text: _recode(text, (",", ":")), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def spaced_json(texts: pd.Series) -> pd.Series:
     """Recode JSON text with the default separators of the topic chain."""
     return texts.map(lambda text: _recode(text, (", ", ": ")), na_action="ignore")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 Mask = Callable[[Column], Column]
 
@@ -45,7 +46,7 @@ def email_mask(value: Column) -> Column:
 def python_mask(function: Callable[[str], str]) -> Mask:
     """Wrap a plain ``str -> str`` mask; Arrow batches, for masks that Spark expressions cannot state."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def masked(values: pd.Series) -> pd.Series:
         return values.map(function, na_action="ignore")
 

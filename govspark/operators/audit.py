@@ -56,7 +56,10 @@ def _chain(events: DataFrame, keys: list[str], start: Column, link, slice_by: Co
     kept = [c for c in segmented.columns if c not in (*keys, "segment", "position")]
     # A group holds at most ``segment_size`` events.
     grouped = segmented.groupBy(*keys, "segment").agg(
-        F.array_sort(F.collect_list(F.struct("position", *kept))).alias("events"), F.max(start).alias("start")
+        F.array_sort(
+            F.collect_list(F.struct("position", *kept)), lambda x, y: (x["position"] - y["position"]).cast("int")
+        ).alias("events"),
+        F.max(start).alias("start"),
     )
     hashes = F.aggregate(
         "events",

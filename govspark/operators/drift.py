@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,32 +14,31 @@ BUCKETS = 256
 _SERIES_TERMS = 100
 
 
-def _bucket(value: Column, bounds: Column, low: int, high: int) -> Column:
-    """Index of the range of ``value`` among ascending ``bounds`` by bisection (compiled comparisons)."""
-    if low == high:
-        return F.lit(low)
-    middle = (low + high) // 2
-    return F.when(value <= bounds[middle], _bucket(value, bounds, low, middle)).otherwise(
-        _bucket(value, bounds, middle + 1, high)
-    )
+def _ranges(values: DataFrame, column: str, buckets: int) -> Bucketizer:
+    """Cut points from a quantile sketch: one scan of one column, and at most ``buckets`` numbers on the driver.
+
+    A range holds about a ``buckets``-th of the rows, plus the copies of one value. The cut points only spread the
+    work; the result does not depend on them.
+    """
+    steps = [i / buckets for i in range(1, buckets)]
+    cuts = sorted(set(values.approxQuantile(column, steps, 1 / (10 * buckets))))
+    splits = [-math.inf, *cuts, math.inf] if cuts else [-math.inf, 0.0, math.inf]
+    return Bucketizer(splits=splits, inputCol=column, outputCol="bucket", handleInvalid="keep")
 
 
 def ks_statistic(reference: DataFrame, current: DataFrame, column: str, buckets: int = BUCKETS) -> DataFrame:
     """One row: both sample sizes and the largest distance of the two distribution functions.
 
     Values are counted first (combined before the shuffle, so repeated values cost one row each), then cut
-    into ranges of about equal numbers of distinct values. Running sums run inside a range and start from the
+    into ranges of about equal size. Running sums run inside a range and start from the
     totals of the ranges before; only ``buckets`` rows are ever ordered in one place.
     """
-    sides = reference.select(F.col(column).alias("v"), F.lit(1).alias("r")).unionByName(
-        current.select(F.col(column).alias("v"), F.lit(0).alias("r"))
-    )
-    counts = sides.where("v IS NOT NULL").groupBy("v").agg(
-        F.sum("r").alias("n1"), F.sum(F.lit(1) - F.col("r")).alias("n2")
-    )
-    steps = [i / buckets for i in range(1, buckets)]
-    bounds = counts.agg(F.percentile_approx("v", steps, 10 * buckets)).scalar()
-    ranged = counts.withColumn("bucket", _bucket(F.col("v"), bounds, 0, buckets - 1))
+    value = F.col(column).cast("double").alias("v")
+    sides = (
+        reference.select(value, F.lit(1).alias("r")).unionByName(current.select(value, F.lit(0).alias("r")))
+    ).where("v IS NOT NULL")
+    counts = sides.groupBy("v").agg(F.sum("r").alias("n1"), F.sum(F.lit(1) - F.col("r")).alias("n2"))
+    ranged = _ranges(sides, "v", buckets).transform(counts)
     totals = ranged.groupBy("bucket").agg(F.sum("n1").alias("t1"), F.sum("n2").alias("t2"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()

@@ -1 +1,238 @@
+"""Audit log: digests, chains, listings."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from govspark.functions.canonical import canonical_json, iso_timestamp, json_string, spaced_json
+from govspark.operators import audit as a
+from govspark.plans import derived as d
+from govspark.plans.registry import query, table
+from govspark.session import fresh_path
+from govspark.vocabulary import GENESIS_HASH
+
+_KEYS = ["chain_id", "segment"]
+_logs: dict[tuple[str, str], str] = {}
+
+
+def _hour() -> Column:
+    return F.date_trunc("hour", F.col("occurred_at").cast("timestamp"))
+
+
+def _order() -> list[Column]:
+    return [F.col("occurred_at"), F.col("id")]
+
+
+def chained(spark: SparkSession, folder: str) -> DataFrame:
+    """One chain per user."""
+    return a.build_chain(d.audit_events(spark, folder), ["chain_id"], _hour(), _order())
+
+
+def stored_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The chained log as a table, written once per session; queries that read a log scan it."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _logs:
+        path = fresh_path(spark, "audit-log")
+        chained(spark, folder).write.parquet(path)
+        _logs[key] = path
+    return spark.read.parquet(_logs[key])
+
+
+def tampered_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The log with edited texts and with events that were cut off from their predecessor."""
+    edited = F.when(F.col("id") % 97 == 0, "edited").otherwise(F.col("description"))
+    cut = F.when(F.col("id") % 389 == 0, GENESIS_HASH).otherwise(F.col("previous_hash"))
+    return stored_log(spark, folder).withColumns({"description": edited, "previous_hash": cut})
+
+
+_EDITED = f"""edited AS (
+  SELECT id, chain_id, ts, rn, CASE WHEN id % 389 = 0 THEN '{d.ZEROS}' ELSE previous_hash END AS previous_hash, event_hash,
+         sha256(CASE WHEN id % 97 = 0 THEN replace(body, '"description":"' || event_type || ' by ' || chain_id || '"',
+                '"description":"edited"') ELSE body END
+                || CASE WHEN id % 389 = 0 THEN '{d.ZEROS}' ELSE previous_hash END || '"}}') AS computed
+  FROM chained)"""
+
+
+@query("event_digest", f"""WITH RECURSIVE {d.CHAIN_SQL}
+SELECT id, sha256(body || '{d.ZEROS}' || '"}}') AS event_hash FROM audit""")
+def event_digest(spark: SparkSession, folder: str) -> DataFrame:
+    """Digest of every event as the first of a chain."""
+    return d.audit_events(spark, folder).select("id", a.digest(F.lit(GENESIS_HASH)).alias("event_hash"))
+
+
+@query("foreign_digest", f"""
+WITH e AS (SELECT event_id, ts, event_type, user_id, CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS k FROM events)
+SELECT event_id AS id, sha256('{{"actor_id":"x","description":"","details":{{"k":' || k || ',"type":"' || event_type
+  || '"}},"entity_id":"' || user_id || '","entity_type":"user","event_type":"' || event_type || '","occurred_at":"'
+  || {d.ISO_SQL} || '","previous_hash":"{d.ZEROS}"}}') AS event_hash
+FROM e""")
+def foreign_digest(spark: SparkSession, folder: str) -> DataFrame:
+    """Events whose details arrive as JSON text with numbers, keys out of order and blanks."""
+    text = F.concat(
+        F.lit('{"type": "'), "event_type", F.lit('", "k": '), F.regexp_extract("props", "[0-9]+", 0), F.lit(" }")
+    )
+    events = table(spark, folder, "events").select(
+        F.col("event_id").alias("id"),
+        "event_type",
+        F.lit("user").alias("entity_type"),
+        F.col("user_id").cast("string").alias("entity_id"),
+        F.lit("x").alias("actor_id"),
+        F.lit("").alias("description"),
+        canonical_json(text).alias("details"),
+        F.col("ts").alias("occurred_at"),
+    )
+    return events.select("id", a.digest(F.lit(GENESIS_HASH), F.col("details")).alias("event_hash"))
+
+
+@query("text_digest", """
+SELECT doc_id, sha256(to_json(text)) AS digest, length(text) AS size FROM documents WHERE text SIMILAR TO '[ -~]*'""")
+def text_digest(spark: SparkSession, folder: str) -> DataFrame:
+    """Digest of the canonical JSON text of every plain (printable ASCII) document."""
+    plain = table(spark, folder, "documents").where(F.col("text").rlike(r"^[ -~]*\z"))
+    return plain.select("doc_id", F.sha2(json_string(F.col("text")), 256).alias("digest"),
+                        F.length("text").cast("bigint").alias("size"))
+
+
+@query("digest_mismatch", f"""WITH RECURSIVE {d.CHAIN_SQL}, {_EDITED}
+SELECT id, chain_id FROM edited WHERE computed <> event_hash""")
+def digest_mismatch(spark: SparkSession, folder: str) -> DataFrame:
+    return a.with_digest_check(tampered_log(spark, folder)).where(~F.col("intact")).select("id", "chain_id")
+
+
+@query("build_chain", f"""WITH RECURSIVE {d.CHAIN_SQL}
+SELECT id, chain_id, (rn - 1) // 1000 AS segment, rn AS position, previous_hash, event_hash FROM chained""")
+def build_chain(spark: SparkSession, folder: str) -> DataFrame:
+    return chained(spark, folder).select("id", "chain_id", "segment", "position", "previous_hash", "event_hash")
+
+
+@query("append_chain", f"""WITH RECURSIVE {d.CHAIN_SQL}
+SELECT id, chain_id, previous_hash, event_hash FROM chained""")
+def append_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """Chain the first half of the month, then append the second half after the heads."""
+    events = d.audit_events(spark, folder)
+    half = F.col("occurred_at") < F.lit("2024-01-16").cast("timestamp_ntz")
+    path = fresh_path(spark, "audit-head")
+    a.build_chain(events.where(half), ["chain_id"], _hour(), _order()).write.parquet(path)
+    first = spark.read.parquet(path)
+    heads = first.groupBy("chain_id").agg(F.max_by("event_hash", "position").alias("head_hash"))
+    second = a.build_chain(events.where(~half), ["chain_id"], _hour(), _order(), heads=heads)
+    return first.unionByName(second).select("id", "chain_id", "previous_hash", "event_hash")
+
+
+@query("chain_anchors", f"""WITH RECURSIVE {d.CHAIN_SQL}
+SELECT chain_id, (rn - 1) // 1000 AS segment, arg_max(event_hash, rn) AS head, CAST(count(*) AS VARCHAR) AS size
+FROM chained GROUP BY 1, 2""")
+def chain_anchors(spark: SparkSession, folder: str) -> DataFrame:
+    anchors = a.anchor_segments(stored_log(spark, folder), ["chain_id"])
+    return anchors.select("chain_id", "segment", F.col("details")["head"].alias("head"),
+                          F.col("details")["size"].alias("size"))
+
+
+_VERDICT = """marked AS (
+  SELECT *, lag(event_hash) OVER w AS before, row_number() OVER w AS place FROM edited
+  WINDOW w AS (PARTITION BY chain_id, (rn - 1) // 1000 ORDER BY rn))"""
+
+
+@query("verify_chain", f"""WITH RECURSIVE {d.CHAIN_SQL}, {_EDITED}, {_VERDICT}
+SELECT chain_id, (rn - 1) // 1000 AS segment, count(*) AS events,
+       count(*) FILTER (WHERE computed <> event_hash) AS broken_digests,
+       count(*) FILTER (WHERE previous_hash = '{d.ZEROS}') AS roots,
+       bool_and(computed = event_hash AND previous_hash = CASE WHEN place = 1 THEN '{d.ZEROS}' ELSE before END) AS valid
+FROM marked GROUP BY 1, 2""")
+def verify_chain(spark: SparkSession, folder: str) -> DataFrame:
+    verdicts = a.verify_chain(tampered_log(spark, folder), _KEYS)
+    return verdicts.select(*_KEYS, "events", "broken_digests", "roots", "valid")
+
+
+@query("verify_sound_chain", """
+SELECT user_id AS chain_id, (rn - 1) // 1000 AS segment, count(*) AS events, true AS valid
+FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) GROUP BY 1, 2""")
+def verify_sound_chain(spark: SparkSession, folder: str) -> DataFrame:
+    return a.verify_chain(stored_log(spark, folder), _KEYS).select(*_KEYS, "events", "valid")
+
+
+@query("chain_defects", f"""WITH RECURSIVE {d.CHAIN_SQL}, {_EDITED}, roots AS (
+  SELECT chain_id, (rn - 1) // 1000 AS segment, count(*) AS n FROM edited WHERE previous_hash = '{d.ZEROS}' GROUP BY 1, 2)
+SELECT id, e.chain_id, concat_ws(',', CASE WHEN computed <> event_hash THEN 'digest' END,
+       CASE WHEN previous_hash = '{d.ZEROS}' AND n > 1 THEN 'fork' END) AS reasons
+FROM edited e LEFT JOIN roots r ON r.chain_id = e.chain_id AND r.segment = (e.rn - 1) // 1000
+WHERE computed <> event_hash OR (previous_hash = '{d.ZEROS}' AND n > 1)""")
+def chain_defects(spark: SparkSession, folder: str) -> DataFrame:
+    found = a.chain_defects(tampered_log(spark, folder), _KEYS)
+    return found.select("id", "chain_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("verify_prefix", """
+SELECT user_id AS chain_id, count(*) AS events, true AS valid
+FROM (SELECT * FROM events ORDER BY ts, event_id LIMIT 1000) GROUP BY 1""")
+def verify_prefix(spark: SparkSession, folder: str) -> DataFrame:
+    """The thousand oldest events are a sound start of every chain."""
+    oldest = a.oldest(stored_log(spark, folder))
+    return a.verify_chain(oldest, _KEYS).select("chain_id", "events", "valid")
+
+
+@query("chain_head", f"""WITH RECURSIVE {d.CHAIN_SQL}
+SELECT chain_id, (rn - 1) // 1000 AS segment, arg_max(event_hash, rn) AS head_hash FROM chained GROUP BY 1, 2""")
+def chain_head(spark: SparkSession, folder: str) -> DataFrame:
+    return a.chain_heads(stored_log(spark, folder), _KEYS)
+
+
+_TOPIC_SQL = f"""messages AS (
+  SELECT event_id, user_id, ts, '{{"actor_id": "u' || user_id || '", "event_type": "' || event_type || '", "timestamp": "'
+         || {d.ISO_SQL} || '"}}' AS body FROM events)"""
+
+
+def topic_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as topic messages, a chain per user; the text still has its keys in another order."""
+    text = F.concat(
+        F.lit('{"timestamp":"'), iso_timestamp(F.col("ts")), F.lit('","event_type":"'), "event_type",
+        F.lit('","actor_id":"u'), "user_id", F.lit('"}'),
+    )
+    return table(spark, folder, "events").select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("chain_id"), F.col("ts").alias("occurred_at"),
+        spaced_json(text).alias("value"),
+    )
+
+
+@query("kafka_chain", f"""WITH RECURSIVE {_TOPIC_SQL}, numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM messages),
+chained AS (
+  SELECT event_id, user_id, rn, sha256('genesis:' || body) AS event_hash FROM numbered WHERE (rn - 1) % 1000 = 0
+  UNION ALL
+  SELECT n.event_id, n.user_id, n.rn, sha256(c.event_hash || ':' || n.body)
+  FROM chained c JOIN numbered n ON n.user_id = c.user_id AND n.rn = c.rn + 1 AND (n.rn - 1) % 1000 <> 0)
+SELECT event_id AS id, user_id AS chain_id, event_hash FROM chained""")
+def kafka_chain(spark: SparkSession, folder: str) -> DataFrame:
+    built = a.build_topic_chain(topic_messages(spark, folder), ["chain_id"], F.col("value"), _hour(), _order())
+    return built.select("id", "chain_id", "event_hash")
+
+
+@query("list_audit_events", """
+SELECT event_id AS id, event_type FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 50 OFFSET 5""")
+def list_audit_events(spark: SparkSession, folder: str) -> DataFrame:
+    return a.list_events(d.audit_events(spark, folder), "error", 50, 5).select("id", "event_type")
+
+
+@query("entity_trail", """
+SELECT event_id AS id, 'user-' || user_id AS entity_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position
+FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 50""")
+def entity_trail(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 oldest events of every entity."""
+    trails = a.entity_trails(d.audit_events(spark, folder))
+    return trails.select("id", "entity_id", F.col("position").cast("bigint").alias("position"))
+
+
+@query("one_entity_trail", "SELECT event_id AS id FROM events WHERE user_id = 42 ORDER BY ts, event_id LIMIT 50")
+def one_entity_trail(spark: SparkSession, folder: str) -> DataFrame:
+    return a.entity_trail(d.audit_events(spark, folder), "user-42").select("id")
+
+
+@query("audit_append_only", """
+SELECT event_id AS id, CAST(1 AS BIGINT) AS missing FROM events WHERE value > 100 OR event_type = 'signup' AND value > 50""")
+def audit_append_only(spark: SparkSession, folder: str) -> DataFrame:
+    """A later state in which large values were rounded and some sign-ups deleted."""
+    before = table(spark, folder, "events")
+    changed = F.when(F.col("value") > 100, F.round("value") + 0.001).otherwise(F.col("value"))
+    after = before.where("NOT (event_type = 'signup' AND value > 50)").withColumn("value", changed)
+    return a.lost_rows(before, after).select(F.col("event_id").alias("id"), "missing")

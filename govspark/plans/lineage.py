@@ -1 +1,123 @@
+"""Lineage events derived from parts and orders."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from govspark.functions.urns import DEFAULT_PLATFORM
+from govspark.operators import lineage as ln
+from govspark.plans.registry import query, table
+
+
+def _dataset(namespace: Column, name: Column) -> Column:
+    return F.struct(namespace.alias("namespace"), name.alias("name"))
+
+
+def run_events(spark: SparkSession, folder: str) -> DataFrame:
+    """One run per part: brand and type feed the part's dataset, every third part also its size mart.
+
+    Namespaces are absent for brands, names for parts of size 1, to exercise the defaults.
+    """
+    nothing = F.lit(None).cast("string")
+    inputs = F.array(
+        _dataset(nothing, F.col("p_brand")),
+        _dataset(F.lit("raw"), F.when(F.col("p_size") > 1, F.col("p_type"))),
+    )
+    item = _dataset(F.lit("mart"), F.concat(F.lit("part_"), "p_partkey"))
+    mart = _dataset(F.lit("mart"), F.concat(F.lit("size_"), "p_size"))
+    return table(spark, folder, "part").select(
+        F.concat(F.lit("run-"), "p_partkey").alias("run_id"),
+        F.struct(F.when(F.col("p_size") != 2, F.concat(F.lit("load_"), "p_brand")).alias("name")).alias("job"),
+        inputs.alias("inputs"),
+        F.when(F.col("p_partkey") % 3 == 0, F.array(item, mart)).otherwise(F.array(item)).alias("outputs"),
+    )
+
+
+def _urn(namespace: str, name: str) -> str:
+    return f"'urn:li:dataset:(urn:li:dataPlatform:' || {namespace} || ',' || {name} || ',PROD)'"
+
+
+EVENTS_SQL = f"""runs AS (
+  SELECT p_partkey, [{_urn(f"'{DEFAULT_PLATFORM}'", "p_brand")},
+          {_urn("'raw'", "CASE WHEN p_size > 1 THEN p_type ELSE 'unknown' END")}] AS inputs,
+         CASE WHEN p_partkey % 3 = 0 THEN [{_urn("'mart'", "'part_' || p_partkey")}, {_urn("'mart'", "'size_' || p_size")}]
+              ELSE [{_urn("'mart'", "'part_' || p_partkey")}] END AS outputs,
+         'urn:li:dataJob:(urn:li:dataFlow:({DEFAULT_PLATFORM},' || job || ',PROD),' || job || ')' AS job_urn
+  FROM (SELECT *, CASE WHEN p_size <> 2 THEN 'load_' || p_brand ELSE 'unknown' END AS job FROM part)),
+edges AS (
+  SELECT i AS source_urn, unnest(outputs) AS target_urn, 'TRANSFORMED' AS edge_type, job_urn
+  FROM (SELECT unnest(inputs) AS i, outputs, job_urn FROM runs))"""
+
+
+@query("lineage_edges", f"WITH {EVENTS_SQL} SELECT * FROM edges")
+def lineage_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return ln.lineage_edges(run_events(spark, folder))
+
+
+@query("lineage_job_io", f"""WITH {EVENTS_SQL}
+SELECT job_urn, '{{"entityType":"dataJob","entityUrn":"' || job_urn
+  || '","aspectName":"dataJobInputOutput","aspect":{{"inputDatasets":["' || array_to_string(inputs, '","')
+  || '"],"outputDatasets":["' || array_to_string(outputs, '","') || '"]}},"changeType":"UPSERT"}}' AS record
+FROM runs""")
+def lineage_job_io(spark: SparkSession, folder: str) -> DataFrame:
+    return ln.job_records(run_events(spark, folder))
+
+
+@query("lineage_events")
+def lineage_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Run events for one job per part (random ids and the current time, so there is no SQL form)."""
+    jobs = run_events(spark, folder).select(F.col("job.name").alias("job_name"), "inputs", "outputs")
+    emitted = ln.run_events(jobs)
+    return emitted.select(
+        "event_type", F.col("run")["runId"].alias("run_id"), F.col("job.namespace").alias("job_namespace"),
+        F.col("job.name").alias("job_name"), F.size("inputs").alias("inputs"), F.size("outputs").alias("outputs"),
+        "producer",
+    )
+
+
+@query("lineage_upsert", f"""WITH {EVENTS_SQL}
+SELECT DISTINCT source_urn, target_urn, job_urn FROM edges""")
+def lineage_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """The same edges arrive twice."""
+    edges = ln.lineage_edges(run_events(spark, folder))
+    return ln.merge_edges(edges, edges).select("source_urn", "target_urn", "job_urn")
+
+
+@query("lineage_neighbours", f"""WITH {EVENTS_SQL},
+up AS (SELECT target_urn AS urn, count(DISTINCT source_urn) AS sources FROM edges GROUP BY 1),
+down AS (SELECT source_urn AS urn, count(DISTINCT target_urn) AS targets FROM edges GROUP BY 1)
+SELECT coalesce(up.urn, down.urn) AS urn, coalesce(sources, 0) AS sources, coalesce(targets, 0) AS targets
+FROM up FULL OUTER JOIN down ON up.urn = down.urn""")
+def lineage_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ln.neighbours(ln.lineage_edges(run_events(spark, folder)))
+
+
+def order_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """region -> nation -> customer -> order."""
+
+    def named(kind: str, key: str) -> Column:
+        return F.concat(F.lit(f"{kind}:"), key)
+
+    nations = table(spark, folder, "nation").select(
+        named("region", "n_regionkey").alias("source_urn"), named("nation", "n_nationkey").alias("target_urn")
+    )
+    customers = table(spark, folder, "customer").select(
+        named("nation", "c_nationkey").alias("source_urn"), named("customer", "c_custkey").alias("target_urn")
+    )
+    orders = table(spark, folder, "orders").select(
+        named("customer", "o_custkey").alias("source_urn"), named("order", "o_orderkey").alias("target_urn")
+    )
+    return nations.unionByName(customers).unionByName(orders)
+
+
+@query("lineage_reach", """WITH RECURSIVE edges AS (
+  SELECT 'region:' || n_regionkey AS s, 'nation:' || n_nationkey AS t FROM nation
+  UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey FROM customer
+  UNION ALL SELECT 'customer:' || o_custkey, 'order:' || o_orderkey FROM orders),
+reach AS (
+  SELECT t AS urn, s AS ancestor, 1 AS depth FROM edges
+  UNION SELECT r.urn, e.s, r.depth + 1 FROM reach r JOIN edges e ON e.t = r.ancestor)
+SELECT urn, ancestor, CAST(min(depth) AS INTEGER) AS depth FROM reach GROUP BY 1, 2""")
+def lineage_reach(spark: SparkSession, folder: str) -> DataFrame:
+    return ln.ancestors(order_edges(spark, folder))
