@@ -22,9 +22,7 @@ def _escape_character(char: Column) -> Column:
         _escape_unit((F.lit(0xDC00) + above.bitwiseAND(F.lit(0x3FF))).cast("long")),
     )
     return (
-        F.when(char == '"', F.lit('\\"'))
-        .when(char == "\\", F.lit("\\\\"))
-        .when(char == "\n", F.lit("\\n"))
+        F.when(char == "\n", F.lit("\\n"))
         .when(char == "\r", F.lit("\\r"))
         .when(char == "\t", F.lit("\\t"))
         .when(char == "\b", F.lit("\\b"))
@@ -35,24 +33,32 @@ def _escape_character(char: Column) -> Column:
     )
 
 
+def quoted(value: Column) -> Column:
+    """JSON string literal in which other characters than quotes and backslashes are still to be escaped."""
+    slashes = F.replace(value, F.lit("\\"), F.lit("\\\\"))
+    return F.concat(F.lit('"'), F.replace(slashes, F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
+def ascii_json(text: Column) -> Column:
+    """Escape everything outside printable ASCII in JSON text without blanks outside its strings.
+
+    Such characters only occur inside strings, so one pass over the whole text does; plain text skips it.
+    """
+    escaped = F.array_join(F.transform(F.split(text, ""), _escape_character), "")
+    return F.when(text.rlike(r"^[ -~]*\z"), text).otherwise(escaped)
+
+
 def json_string(value: Column) -> Column:
-    """JSON string literal with ASCII escapes. Plain text takes the cheap branch."""
-    escaped = F.array_join(F.transform(F.split(value, ""), _escape_character), "")
-    plain = value.rlike(r"^[ !#-\[\]-~]*\z")
-    return F.concat(F.lit('"'), F.when(plain, value).otherwise(escaped), F.lit('"'))
+    return ascii_json(quoted(value))
 
 
-def json_text_map(value: Column, separator: str = ",", colon: str = ":") -> Column:
-    """JSON object of a ``map<string,string>`` with sorted keys; null values become ``null``."""
+def quoted_map(value: Column) -> Column:
+    """JSON object of a ``map<string,string>`` with sorted keys; null values become ``null``. See ``quoted``."""
     entries = F.transform(
         F.array_sort(F.map_keys(value)),
-        lambda key: F.concat(
-            json_string(key),
-            F.lit(colon),
-            F.coalesce(json_string(F.element_at(value, key)), F.lit("null")),
-        ),
+        lambda key: F.concat(quoted(key), F.lit(":"), F.coalesce(quoted(F.element_at(value, key)), F.lit("null"))),
     )
-    return F.concat(F.lit("{"), F.array_join(entries, separator), F.lit("}"))
+    return F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}"))
 
 
 def iso_timestamp(value: Column) -> Column:

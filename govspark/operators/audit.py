@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from govspark.functions.canonical import iso_timestamp, json_string, json_text_map
+from govspark.functions.canonical import ascii_json, iso_timestamp, quoted, quoted_map
 from govspark.operators.slices import number_rows
 from govspark.vocabulary import GENESIS_HASH, TOPIC_GENESIS
 
@@ -23,24 +23,23 @@ def digest(previous_hash: Column, details: Column | None = None) -> Column:
     ``details`` is canonical JSON text; by default it is built from the ``details`` map of texts. For details
     with numbers or nesting pass ``canonical_json`` of their JSON text.
     """
-    body, tail = _payload(details)
-    return F.sha2(F.concat(body, json_string(previous_hash), tail), 256)
-
-
-def _payload(details: Column | None = None) -> tuple[Column, Column]:
-    """Canonical text before and after the previous hash (key order: actor_id … previous_hash)."""
-    text = json_text_map(F.coalesce("details", F.create_map().cast("map<string,string>"))) if details is None else details
-    body = F.concat(
-        F.lit('{"actor_id":'), json_string(F.col("actor_id")),
-        F.lit(',"description":'), json_string(F.coalesce("description", F.lit(""))),
-        F.lit(',"details":'), text,
-        F.lit(',"entity_id":'), json_string(F.col("entity_id")),
-        F.lit(',"entity_type":'), json_string(F.col("entity_type")),
-        F.lit(',"event_type":'), json_string(F.col("event_type")),
-        F.lit(',"occurred_at":'), json_string(iso_timestamp(F.col("occurred_at"))),
+    return F.sha2(ascii_json(F.concat(_payload(details), quoted(previous_hash), F.lit("}"))), 256)
+
+
+def _payload(details: Column | None = None) -> Column:
+    """JSON text of an event up to its previous hash, which is the last of the sorted keys (see ``quoted``)."""
+    if details is None:
+        details = quoted_map(F.coalesce("details", F.create_map().cast("map<string,string>")))
+    return F.concat(
+        F.lit('{"actor_id":'), quoted(F.col("actor_id")),
+        F.lit(',"description":'), quoted(F.coalesce("description", F.lit(""))),
+        F.lit(',"details":'), details,
+        F.lit(',"entity_id":'), quoted(F.col("entity_id")),
+        F.lit(',"entity_type":'), quoted(F.col("entity_type")),
+        F.lit(',"event_type":'), quoted(F.col("event_type")),
+        F.lit(',"occurred_at":'), quoted(iso_timestamp(F.col("occurred_at"))),
         F.lit(',"previous_hash":'),
     )
-    return body, F.lit("}")
 
 
 def with_digest_check(events: DataFrame, details: Column | None = None) -> DataFrame:
@@ -86,8 +85,7 @@ def build_chain(events: DataFrame, keys: list[str], slice_by: Column, order: lis
     With ``heads`` (``keys`` and ``head_hash``, one row per key) the first segment of a key continues after its
     head, otherwise it starts at the genesis hash.
     """
-    body, tail = _payload(details)
-    prepared = events.withColumn("_body", body)
+    prepared = events.withColumn("_body", ascii_json(_payload(details)))
     start = F.lit(GENESIS_HASH)
     if heads is not None:
         prepared = prepared.join(heads.withColumnRenamed("head_hash", "_start"), keys, "left")
@@ -95,7 +93,7 @@ def build_chain(events: DataFrame, keys: list[str], slice_by: Column, order: lis
         start = F.when(first, F.coalesce("_start", F.lit(GENESIS_HASH))).otherwise(F.lit(GENESIS_HASH))
 
     def link(previous: Column, event: Column) -> Column:
-        return F.sha2(F.concat(event["_body"], F.lit('"'), previous, F.lit('"'), tail), 256)
+        return F.sha2(F.concat(event["_body"], F.lit('"'), previous, F.lit('"}')), 256)
 
     return _chain(prepared, keys, start, link, slice_by, order, segment_size)
 

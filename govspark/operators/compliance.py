@@ -150,22 +150,27 @@ RESULT = (
 )
 
 
+def _broken(rule: Rule) -> Column:
+    test = ~F.coalesce(F.expr(rule.flag), F.lit(False))
+    return test & F.coalesce(F.expr(rule.scope), F.lit(False)) if rule.scope else test
+
+
 def _assessment(framework: Framework) -> Column:
     """Struct (framework, passed, score, findings) for the row."""
-    raised = []
-    for rule in framework.rules:
-        broken = ~F.coalesce(F.expr(rule.flag), F.lit(False))
-        if rule.scope:
-            broken = broken & F.coalesce(F.expr(rule.scope), F.lit(False))
-        raised.append(F.when(broken, F.struct(
+    broken = [_broken(rule) for rule in framework.rules]
+    raised = [
+        F.when(test, F.struct(
             F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.severity).alias("severity"),
             F.lit(rule.description).alias("description"), F.lit(rule.recommendation).alias("recommendation"),
-        )))
+        ))
+        for rule, test in zip(framework.rules, broken)
+    ]
     findings = F.filter(F.array(*raised), lambda f: f.isNotNull())
     total = framework.total() if framework.total else F.lit(len(framework.rules))
-    score = (total - F.size(findings)) / total
+    score = (total - reduce(Column.__add__, [test.cast("int") for test in broken])) / total
     if framework.passes == "no_critical":
-        passed = ~F.exists(findings, lambda f: f["severity"] == "critical")
+        critical = [test for rule, test in zip(framework.rules, broken) if rule.severity == "critical"]
+        passed = ~reduce(Column.__or__, critical, F.lit(False))
     else:
         passed = score >= F.lit(framework.passes)
     return F.struct(

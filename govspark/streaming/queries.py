@@ -73,8 +73,7 @@ def _expire(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     if state.hasTimedOut:
         decision_id, micros = state.get
         state.remove()
-        yield pd.DataFrame({"veto_id": [key[0]], "decision_id": [decision_id],
-                            "expires_at": [pd.Timestamp(micros, unit="us", tz="UTC")]})
+        yield _expired(key[0], decision_id, micros)
         return
     for rows in batches:
         last = rows.sort_values("event_time").iloc[-1]
@@ -83,10 +82,20 @@ def _expire(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
                 state.remove()
             return
         state.update((last["decision_id"], int(last["expires_micros"])))
-    if state.exists:
-        due = state.get[1] // 1000 + 1  # strictly after the expiry
-        watermark = state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max(due, watermark + 1))
+    if not state.exists:
+        return
+    decision_id, micros = state.get
+    due = micros // 1000  # times out when the watermark (milliseconds) is greater, thus strictly after the expiry
+    if due < state.getCurrentWatermarkMs():
+        state.remove()
+        yield _expired(key[0], decision_id, micros)
+    else:
+        state.setTimeoutTimestamp(due)
+
+
+def _expired(veto_id: str, decision_id: str, micros: int) -> pd.DataFrame:
+    expires_at = pd.Timestamp(micros, unit="us", tz="UTC")
+    return pd.DataFrame({"veto_id": [veto_id], "decision_id": [decision_id], "expires_at": [expires_at]})
 
 
 def stream_veto_expiry(vetoes: DataFrame) -> DataFrame:
