@@ -65,15 +65,11 @@ def _chain(events: DataFrame, keys: list[str], start: Column, link, slice_by: Co
         F.array(F.col("start")),
         lambda done, event: F.concat(done, F.array(link(F.element_at(done, -1), event))),
     )
-    zipped = grouped.withColumn("hashes", hashes).select(
-        *keys, "segment", "hashes", F.posexplode("events").alias("i", "event")
-    )
+    size = F.size("events")
+    rows = F.arrays_zip("events", F.slice("hashes", 1, size).alias("before"), F.slice("hashes", 2, size).alias("after"))
+    zipped = grouped.withColumn("hashes", hashes).select(*keys, "segment", F.inline(rows))
     return zipped.select(
-        *keys,
-        "segment",
-        "event.*",
-        F.get("hashes", F.col("i")).alias("previous_hash"),
-        F.get("hashes", F.col("i") + 1).alias("event_hash"),
+        *keys, "segment", "events.*", F.col("before").alias("previous_hash"), F.col("after").alias("event_hash")
     ).drop("_body", "_start")
 
 

@@ -33,6 +33,20 @@ CAST_TARGETS = {"integer": "bigint", "float": "double", "boolean": "boolean", "d
                 "timestamp": "timestamp"}
 
 
+# Text forms of the families whose failed casts are costly (a caught exception per row), tested by pattern first.
+_TEXT_FORMS = {
+    "integer": r"^\s*[+-]?\d+\s*$",
+    "float": r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|nan|inf|infinity)\s*$",
+    "boolean": r"(?i)^\s*(t|true|y|yes|1|f|false|n|no|0)\s*$",
+}
+
+
+def read_as(value: Column, family: str) -> Column:
+    """Text read as a type family, null where it cannot be read."""
+    cast = value.try_cast(CAST_TARGETS[family])
+    return F.when(value.rlike(_TEXT_FORMS[family]), cast) if family in _TEXT_FORMS else cast
+
+
 def type_family(spark_type: str) -> str:
     base = spark_type.split("(")[0].lower()
     return TYPE_FAMILIES.get(base, base)
@@ -108,7 +122,7 @@ def _of_type(kwargs: Mapping[str, Any], schema: StructType) -> Column:
         return F.count_if(F.lit(False))
     if isinstance(actual, StringType) and wanted in CAST_TARGETS:
         value = F.col(column)
-        return F.count_if(value.isNotNull() & value.try_cast(CAST_TARGETS[wanted]).isNull())
+        return F.count_if(value.isNotNull() & read_as(value, wanted).isNull())
     return F.count(F.col(column))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from govspark.operators.expectations import CAST_TARGETS, type_family
+from govspark.operators.expectations import read_as, type_family
 
 
 def profile_table(df: DataFrame, exact: bool = False) -> DataFrame:
@@ -73,7 +73,7 @@ def infer_types(df: DataFrame, columns: list[str]) -> DataFrame:
         value = F.col(f"`{name}`")
         aggregates.append(F.count(value).alias(f"n{i}"))
         for kind in order:
-            aggregates.append(F.count(value.try_cast(CAST_TARGETS[kind])).alias(f"{kind}{i}"))
+            aggregates.append(F.count(read_as(value, kind)).alias(f"{kind}{i}"))
         shapes.append(
             F.struct(
                 F.lit(name).alias("column"),

@@ -16,6 +16,7 @@ from govspark.operators.contracts import (
 )
 from govspark.plans import derived as d
 from govspark.plans.registry import query, table
+from govspark.sources.config import contract_columns, parse_contracts
 
 _KEYS = ["dataset_id"]
 
@@ -152,3 +153,42 @@ def schema_drift_query(spark: SparkSession, folder: str) -> DataFrame:
     return schema_drift(fleet).select(
         "dataset_id", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"), "has_drift"
     )
+
+
+def contract_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """A YAML contract per supplier; every third has no terms, every fifth one column less."""
+    lines = F.concat_ws(
+        "\n",
+        F.concat(F.lit("dataset_id: sales/"), "s_suppkey"),
+        F.concat(F.lit("domain_id: nation_"), "s_nationkey"),
+        F.lit("owner_id: team"),
+        F.lit("schema:\n  columns:\n  - {name: id, data_type: string, nullable: false, description: 'Key: unique'}"),
+        F.when(F.col("s_suppkey") % 5 != 0, "  - name: tax_id\n    data_type: string\n    pii: true"),
+        F.lit("  primary_key: [id]"),
+        F.when(F.col("s_suppkey") % 3 != 0, F.concat(F.lit("sla:\n  freshness_hours: "), F.col("s_nationkey") + 1)),
+    )
+    path = F.concat(F.lit("contract_"), "s_suppkey", F.lit(".yaml"))
+    return table(spark, folder, "supplier").select(path.alias("path"), lines.alias("value"))
+
+
+@query("contract_columns", """
+WITH parsed AS (SELECT 'sales/' || s_suppkey AS dataset_id, s_suppkey FROM supplier)
+SELECT dataset_id, CAST(0 AS INTEGER) AS position, 'id' AS name, 'string' AS data_type, false AS nullable,
+       'Key: unique' AS description, false AS pii FROM parsed
+UNION ALL
+SELECT dataset_id, CAST(1 AS INTEGER), 'tax_id', 'string', true, '', true FROM parsed WHERE s_suppkey % 5 <> 0""")
+def contract_columns_query(spark: SparkSession, folder: str) -> DataFrame:
+    return contract_columns(parse_contracts(contract_texts(spark, folder)))
+
+
+@query("contract_terms", """
+SELECT 'contract_' || s_suppkey AS name, 'sales/' || s_suppkey AS dataset_id, 'nation_' || s_nationkey AS domain_id,
+       CASE WHEN s_suppkey % 3 <> 0 THEN CAST(s_nationkey + 1 AS DOUBLE) END AS freshness_hours,
+       0.95::DOUBLE AS completeness_threshold, 99.0::DOUBLE AS availability_percent, 'id' AS primary_key
+FROM supplier""")
+def contract_terms(spark: SparkSession, folder: str) -> DataFrame:
+    contracts = parse_contracts(contract_texts(spark, folder))
+    return contracts.select(
+        "name", "dataset_id", "domain_id", "freshness_hours", "completeness_threshold", "availability_percent",
+        F.array_join("primary_key", ",").alias("primary_key"),
+    )

@@ -96,6 +96,9 @@ CONTRACT_SCHEMA = (
     "primary_key array<string>"
 )
 
+_CONTRACT_FIELDS = ["path", "name", "dataset_id", "domain_id", "owner_id", "jurisdiction", "freshness_hours",
+                    "completeness_threshold", "availability_percent", "columns", "primary_key"]
+
 
 def _contract(path: str, text: str) -> dict[str, Any]:
     raw = yaml.safe_load(text)
@@ -119,17 +122,22 @@ def _contract(path: str, text: str) -> dict[str, Any]:
     }
 
 
-def read_contracts(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per contract file, in parallel over the files."""
-    texts = spark.read.text(folder, wholetext=True, pathGlobFilter="*.yaml").select(
-        F.col("_metadata.file_path").alias("path"), "value"
-    )
+def parse_contracts(texts: DataFrame) -> DataFrame:
+    """One contract per row of ``path`` and YAML text ``value``, in parallel over the rows."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([_contract(p, t) for p, t in zip(batch["path"], batch["value"])])
+            yield pd.DataFrame(
+                [_contract(p, t) for p, t in zip(batch["path"], batch["value"])], columns=_CONTRACT_FIELDS
+            )
 
-    return texts.mapInPandas(parse, CONTRACT_SCHEMA).orderBy("path")
+    return texts.select("path", "value").mapInPandas(parse, CONTRACT_SCHEMA)
+
+
+def read_contracts(spark: SparkSession, folder: str) -> DataFrame:
+    """The contract files of a folder, sorted by file name."""
+    texts = spark.read.text(folder, wholetext=True, pathGlobFilter="*.yaml")
+    return parse_contracts(texts.select(F.col("_metadata.file_path").alias("path"), "value")).orderBy("path")
 
 
 def contract_columns(contracts: DataFrame) -> DataFrame:
