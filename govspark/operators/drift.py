@@ -10,28 +10,32 @@ from pyspark.sql import functions as F
 
 from govspark.vocabulary import DRIFT_THRESHOLD
 
-BUCKETS = 256
+# Rows that one range should hold, and the limits on the number of ranges (which bounds the driver and the broadcast).
+RANGE_ROWS = 5_000_000
+MIN_RANGES, MAX_RANGES = 64, 4096
 _SERIES_TERMS = 100
 
 
-def _ranges(values: DataFrame, column: str, buckets: int) -> Bucketizer:
-    """Cut points from a quantile sketch: one scan of one column, and at most ``buckets`` numbers on the driver.
+def _ranges(values: DataFrame, column: str, buckets: int | None) -> Bucketizer:
+    """Cut points from a quantile sketch over one column; at most ``MAX_RANGES`` numbers come to the driver.
 
-    A range holds about a ``buckets``-th of the rows, plus the copies of one value. The cut points only spread the
+    A range holds about an equal part of the rows, plus the copies of one value. The cut points only spread the
     work; the result does not depend on them.
     """
+    if buckets is None:
+        buckets = min(max(values.count() // RANGE_ROWS, MIN_RANGES), MAX_RANGES)
     steps = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(values.approxQuantile(column, steps, 1 / (10 * buckets))))
+    cuts = sorted(set(values.approxQuantile(column, steps, 1 / (4 * buckets))))
     splits = [-math.inf, *cuts, math.inf] if cuts else [-math.inf, 0.0, math.inf]
     return Bucketizer(splits=splits, inputCol=column, outputCol="bucket", handleInvalid="keep")
 
 
-def ks_statistic(reference: DataFrame, current: DataFrame, column: str, buckets: int = BUCKETS) -> DataFrame:
+def ks_statistic(reference: DataFrame, current: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
     """One row: both sample sizes and the largest distance of the two distribution functions.
 
     Values are counted first (combined before the shuffle, so repeated values cost one row each), then cut
     into ranges of about equal size. Running sums run inside a range and start from the
-    totals of the ranges before; only ``buckets`` rows are ever ordered in one place.
+    totals of the ranges before; one row per range is all that is ever ordered in one place.
     """
     value = F.col(column).cast("double").alias("v")
     sides = (
@@ -50,7 +54,7 @@ def ks_statistic(reference: DataFrame, current: DataFrame, column: str, buckets:
         F.sum("t2").over(whole).alias("size2"),
     )
     inside = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    # ``offsets`` holds at most ``buckets`` rows, which bounds the broadcast.
+    # ``offsets`` holds one row per range, at most ``MAX_RANGES``, which bounds the broadcast.
     steps_up = ranged.select(
         "bucket", F.sum("n1").over(inside).alias("c1"), F.sum("n2").over(inside).alias("c2")
     ).join(F.broadcast(offsets), "bucket")
@@ -78,7 +82,7 @@ def ks_p_value(statistic: Column, size1: Column, size2: Column) -> Column:
 
 
 def detect_drift(reference: DataFrame, current: DataFrame, column: str, threshold: float = DRIFT_THRESHOLD,
-                 buckets: int = BUCKETS) -> DataFrame:
+                 buckets: int | None = None) -> DataFrame:
     """Statistic, p-value and the drift flag (``p < threshold``)."""
     tested = ks_statistic(reference, current, column, buckets)
     p_value = ks_p_value(F.col("statistic"), F.col("reference_size"), F.col("current_size"))

@@ -81,8 +81,8 @@ def neighbours(edges: DataFrame) -> DataFrame:
 def ancestors(edges: DataFrame, start: DataFrame | None = None, max_depth: int = 20) -> DataFrame:
     """All datasets upstream of each dataset (``urn``, ``ancestor``, shortest ``depth``).
 
-    Breadth-first: a round joins only the pairs found last with the edges and drops known pairs. Each round is
-    written to the shared checkpoint folder, so the plan stays short and a lost executor does not undo it.
+    Breadth-first: a round joins only the pairs found last with the edges and drops known pairs. Each round writes its
+    new pairs to the shared checkpoint folder, so the plan stays short and a lost executor does not undo it.
     Rounds end when nothing is new; a longer chain than ``max_depth`` raises instead of ending early.
     """
     pairs = edges.select(F.col("source_urn").alias("parent"), F.col("target_urn").alias("child")).distinct()
@@ -101,5 +101,5 @@ def ancestors(edges: DataFrame, start: DataFrame | None = None, max_depth: int =
         frontier = cut_lineage(step.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return found
-        found = cut_lineage(found.unionByName(frontier))
+        found = found.unionByName(frontier)
     raise ValueError(f"lineage is deeper than {max_depth}")

@@ -25,6 +25,8 @@ def get_session(app: str = "govspark", master: str | None = None, shuffle_partit
         "spark.sql.ansi.enabled": "true",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Split a hot join key even where that costs one more shuffle behind the join.
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         **conf,

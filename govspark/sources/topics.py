@@ -92,4 +92,4 @@ def retain(events: DataFrame, time: str, tie: str, as_of: Column, days: int = RE
     newer = F.sum("n").over(Window.orderBy(F.desc("minute")).rowsBetween(Window.unboundedPreceding, -1))
     needed = counts.withColumn("newer", F.coalesce(newer, F.lit(0))).where(F.col("newer") < messages)
     first = needed.agg(F.min("minute")).scalar()
-    return recent.where(minute >= first).orderBy(F.desc(time), F.desc(tie)).limit(messages)
+    return recent.where(F.col(time) >= first).orderBy(F.desc(time), F.desc(tie)).limit(messages)
