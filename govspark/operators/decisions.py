@@ -68,27 +68,6 @@ def unfold_promotion(decisions: DataFrame) -> DataFrame:
     return decisions.select("*", "promotion.*").drop("promotion")
 
 
-def check_records(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """Add ``violations``: names of the rules a row breaks (a null test counts as broken)."""
-    broken = F.array(*[F.when(~F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in rules.items()])
-    return df.withColumn("violations", F.filter(broken, lambda v: v.isNotNull()))
-
-
-def split_records(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """Valid rows, and the quarantine with the reasons."""
-    checked = check_records(df, rules)
-    return checked.where(F.size("violations") == 0).drop("violations"), checked.where(F.size("violations") > 0)
-
-
-def text_length(column: str, low: int, high: int | None = None) -> Column:
-    size = F.length(column)
-    return (size >= low) if high is None else size.between(low, high)
-
-
-def one_of(column: str, words) -> Column:
-    return F.col(column).isin(*words)
-
-
 # --- roles ----------------------------------------------------------------------------------------------------
 
 
@@ -120,9 +99,9 @@ def classify_votes(decisions: DataFrame, votes: DataFrame, roles: DataFrame,
     seen = votes.join(subject, "decision_id", "left").join(holder, ["voter_id", "domain_id"], "left")
     eligible = F.col("_known") & (F.col("status") == "awaiting_approval") & F.col("voter_role").isNotNull()
     stamp = F.struct("voted_at", "id")
-    first = seen.where(eligible).groupBy("decision_id", "voter_id").agg(
-        F.min(stamp).alias("_first"), F.min_by("vote", stamp).alias("vote"), F.first("domain_id").alias("domain_id"),
-        F.first("voter_role").alias("voter_role"),
+    earliest = F.min(F.struct("voted_at", "id", "vote", "domain_id", "voter_role")).alias("_v")
+    first = seen.where(eligible).groupBy("decision_id", "voter_id").agg(earliest).select(
+        "decision_id", "voter_id", F.struct("_v.voted_at", "_v.id").alias("_first"), "_v.vote", "_v.domain_id", "_v.voter_role"
     )
     closing = _closing(first, roles).select("decision_id", "_closed")
     joined = seen.join(first.select("decision_id", "voter_id", "_first"), ["decision_id", "voter_id"], "left").join(
@@ -150,8 +129,10 @@ def first_votes(decisions: DataFrame, votes: DataFrame, roles: DataFrame) -> Dat
 
     Repeated votes shrink before the joins, so the domain and the role are looked up once per voter and decision.
     """
-    stamp = F.struct("voted_at", "id")
-    reduced = votes.groupBy("decision_id", "voter_id").agg(F.min(stamp).alias("_first"), F.min_by("vote", stamp).alias("vote"))
+    earliest = F.min(F.struct("voted_at", "id", "vote")).alias("_v")
+    reduced = votes.groupBy("decision_id", "voter_id").agg(earliest).select(
+        "decision_id", "voter_id", F.struct("_v.voted_at", "_v.id").alias("_first"), "_v.vote"
+    )
     subject = decisions.where("status = 'awaiting_approval'").select(F.col("id").alias("decision_id"), "domain_id")
     holder = roles.select(F.col("user_id").alias("voter_id"), "domain_id", F.col("role").alias("voter_role"))
     return reduced.join(subject, "decision_id").join(holder, ["voter_id", "domain_id"])

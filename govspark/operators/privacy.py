@@ -52,6 +52,15 @@ def policy_for(types: Mapping[str, str]) -> dict[str, Mask]:
     return {column: MASK_OF_TYPE[kind] for column, kind in types.items()}
 
 
+def policy_from_contract(columns: DataFrame) -> dict[str, Mask]:
+    """Masks for one contract (``name``, ``pii``): by the detected type, or hashing where only the contract says so.
+
+    The columns of one contract come to the driver, because a projection is built from them.
+    """
+    kinds = columns.where("pii").select("name", F.coalesce(pii_type(F.col("name")), F.lit("flag")).alias("kind"))
+    return policy_for({row.name: row.kind for row in kinds.toLocalIterator()})
+
+
 def epsilon_of(classification: Column) -> Column:
     pairs = [F.lit(v) for pair in EPSILON.items() for v in pair]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), classification), F.lit(EPSILON_OTHERWISE))
@@ -77,3 +86,8 @@ def noisy_metrics(metrics: DataFrame, value: str, sensitivity: float = 1.0, clas
         .withColumn("mechanism", F.lit("laplace"))
         .withColumn("noisy_value", F.col(value) + laplace(F.col("sensitivity") / F.col("epsilon"), uniform))
     )
+
+
+def spent_budget(noisy: DataFrame, keys: list[str]) -> DataFrame:
+    """Epsilon spent in total on the released metrics of each group."""
+    return noisy.groupBy(*keys).agg(F.count("*").alias("metrics"), F.sum("epsilon").alias("epsilon_total"))

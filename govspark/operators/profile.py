@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from govspark.operators.expectations import read_as, type_family
 
 
 def profile_table(df: DataFrame, exact: bool = False) -> DataFrame:
-    """One row per column: rows, null share, distinct values, completeness, uniqueness, minimum, maximum, mean.
+    """One row per column: rows, null share, distinct values, completeness, uniqueness, consistency, extremes, mean.
 
-    The sketch form reads the table once. The exact form adds one pre-aggregated pass over (column, value).
+    Consistency is the share of values of the column's most frequent kind (number, boolean, time, other text), 1.0
+    for typed columns. The sketch form reads the table once. The exact form adds one pre-aggregated pass over (column, value).
     """
     aggregates = [F.count(F.lit(1)).alias("rows")]
     shapes = []
@@ -25,6 +27,11 @@ def profile_table(df: DataFrame, exact: bool = False) -> DataFrame:
             (F.avg(value) if numeric else F.lit(None).cast("double")).alias(f"mean{i}"),
             (F.stddev(value) if numeric else F.lit(None).cast("double")).alias(f"dev{i}"),
         ]
+        kinds = [F.lit(0)]
+        if field.dataType == StringType():
+            kind = _kind(value)
+            kinds = [F.col(f"kind{i}_{k}") for k in _KINDS]
+            aggregates += [F.count_if(kind == k).alias(f"kind{i}_{k}") for k in _KINDS]
         if not exact:
             aggregates.append(F.approx_count_distinct(value).alias(f"d{i}"))
         shapes.append(
@@ -36,6 +43,7 @@ def profile_table(df: DataFrame, exact: bool = False) -> DataFrame:
                 F.col(f"hi{i}").alias("maximum"),
                 F.col(f"mean{i}").alias("mean"),
                 F.col(f"dev{i}").alias("deviation"),
+                (F.greatest(*kinds) if len(kinds) > 1 else F.col(f"n{i}")).alias("majority"),
                 (F.lit(None).cast("bigint") if exact else F.col(f"d{i}")).alias("distinct_values"),
             )
         )
@@ -52,6 +60,32 @@ def profile_table(df: DataFrame, exact: bool = False) -> DataFrame:
         .withColumn("null_share", null_share)
         .withColumn("above_five_percent_null", (F.col("rows") - F.col("non_null")) * 20 > F.col("rows"))
         .withColumn("uniqueness", F.least(unique, F.lit(1.0)))
+        .withColumn("consistency", F.when(F.col("non_null") > 0, F.col("majority") / F.col("non_null")).otherwise(1.0))
+        .drop("majority")
+    )
+
+
+_KINDS = ("number", "boolean", "time", "text")
+
+
+def _kind(value: Column) -> Column:
+    """Narrowest kind a text can be read as; null for null."""
+    return (
+        F.when(value.isNull(), F.lit(None))
+        .when(read_as(value, "float").isNotNull(), "number")
+        .when(read_as(value, "boolean").isNotNull(), "boolean")
+        .when(read_as(value, "timestamp").isNotNull(), "time")
+        .otherwise("text")
+    )
+
+
+def profile_summary(profile: DataFrame) -> DataFrame:
+    """One row for the table: rows, columns, columns above five percent null, and the mean of each measure."""
+    return profile.agg(
+        F.coalesce(F.max("rows"), F.lit(0)).alias("rows"),
+        F.count("*").alias("columns"),
+        F.count_if("above_five_percent_null").alias("columns_above_five_percent_null"),
+        *[F.avg(m).alias(m) for m in ("completeness", "uniqueness", "consistency")],
     )
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from govspark.operators import decisions as g
+from govspark.operators.records import record_tests, split_records
 from govspark.plans import derived as d
 from govspark.plans.registry import query, table
-from govspark.vocabulary import DECISION_STATUSES, DECISION_TYPES
 
 
 def _governance(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -68,28 +68,34 @@ def fold_promotion(spark: SparkSession, folder: str) -> DataFrame:
     return g.unfold_promotion(folded)
 
 
-def _rules() -> dict[str, Column]:
-    return {
-        "decision_type": g.one_of("decision_type", DECISION_TYPES),
-        "status": g.one_of("status", DECISION_STATUSES),
-        "title": g.text_length("title", 1, 10),
-        "domain_id": g.text_length("domain_id", 1, 8),
-    }
-
-
 @query("record_constraints", f"""WITH {d.DECISIONS_SQL}, broken AS (
-  SELECT id, concat_ws(',', CASE WHEN id % 17 = 0 THEN 'status' END, CASE WHEN length(title) > 10 THEN 'title' END,
-         CASE WHEN length(domain_id) > 8 THEN 'domain_id' END) AS violations FROM decisions)
+  SELECT id, concat_ws(',', CASE WHEN id % 19 = 0 THEN 'title' END, CASE WHEN id % 17 = 0 THEN 'status' END,
+         CASE WHEN length(domain_id) < 6 THEN 'source_layer' END) AS violations FROM decisions)
 SELECT id, violations FROM broken WHERE violations <> ''""")
 def record_constraints(spark: SparkSession, folder: str) -> DataFrame:
-    """Quarantine of decisions; some carry a status outside the vocabulary."""
-    records = d.decisions(spark, folder).withColumn(
-        "status", F.when(F.col("id") % 17 == 0, "closed").otherwise(F.col("status"))
-    )
-    _, quarantine = g.split_records(records, _rules())
+    """Quarantine of decisions: titles too long or missing, unknown status, unknown layer."""
+    key = F.col("id")
+    title = F.when(key % 38 == 0, F.repeat(F.lit("x"), F.lit(501))).when(key % 19 == 0, F.lit(None)).otherwise(F.col("title"))
+    records = d.decisions(spark, folder).withColumns({
+        "title": title,
+        "status": F.when(key % 17 == 0, "closed").otherwise(F.col("status")),
+        "source_layer": F.when(F.length("domain_id") < 6, "landing"),
+    })
+    _, quarantine = split_records(records, record_tests(records, "decision"))
     return quarantine.select("id", F.array_join("violations", ",").alias("violations"))
 
 
+@query("valid_reports", """
+SELECT count(*) AS valid FROM orders WHERE o_totalprice <= 100000 AND length(o_orderpriority) > 0""")
+def valid_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """Reports whose score lies between 0 and 1."""
+    reports = table(spark, folder, "orders").select(
+        F.col("o_orderpriority").alias("dataset_id"), (F.col("o_totalprice") / 100000).alias("dq_score")
+    )
+    valid, _ = split_records(reports, record_tests(reports, "quality_report"))
+    return valid.agg(F.count("*").alias("valid"))
+
+
 @query("role_conflicts", f"""WITH {d.ASSIGNMENTS_SQL}
 SELECT id, user_id, domain_id, role FROM assignments
 QUALIFY row_number() OVER (PARTITION BY user_id, domain_id ORDER BY assigned_at, id) > 1""")

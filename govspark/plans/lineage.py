@@ -27,7 +27,8 @@ def run_events(spark: SparkSession, folder: str) -> DataFrame:
     item = _dataset(F.lit("mart"), F.concat(F.lit("part_"), "p_partkey"))
     mart = _dataset(F.lit("mart"), F.concat(F.lit("size_"), "p_size"))
     return table(spark, folder, "part").select(
-        F.concat(F.lit("run-"), "p_partkey").alias("run_id"),
+        F.lit("COMPLETE").alias("event_type"),
+        F.create_map(F.lit("runId"), F.concat(F.lit("run-"), "p_partkey")).alias("run"),
         F.struct(F.when(F.col("p_size") != 2, F.concat(F.lit("load_"), "p_brand")).alias("name")).alias("job"),
         inputs.alias("inputs"),
         F.when(F.col("p_partkey") % 3 == 0, F.array(item, mart)).otherwise(F.array(item)).alias("outputs"),

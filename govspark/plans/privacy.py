@@ -8,7 +8,15 @@ from pyspark.sql import functions as F
 from govspark.functions import masking as m
 from govspark.functions.pii import FLAG_PATTERNS, TYPE_PATTERNS
 from govspark.operators import access as a
-from govspark.operators.privacy import classify_columns, detect_pii, mask_table, noisy_metrics, policy_for
+from govspark.operators.privacy import (
+    classify_columns,
+    detect_pii,
+    mask_table,
+    noisy_metrics,
+    policy_for,
+    policy_from_contract,
+    spent_budget,
+)
 from govspark.plans import derived as d
 from govspark.plans.registry import query, table
 from govspark.vocabulary import CLASSIFICATIONS, CONTROLS, EPSILON, REQUIRED_CONTROLS, ROLE_PERMISSIONS
@@ -129,6 +137,15 @@ def dp_aggregates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("dp_budget", f"""
+WITH metrics AS (SELECT o_orderpriority, o_orderstatus, {_CLASS} AS class FROM orders GROUP BY 1, 2, 3)
+SELECT class AS classification, count(*) AS metrics, round(sum(({_EPS})::DOUBLE), 6)::DOUBLE AS epsilon_total
+FROM metrics GROUP BY 1""")
+def dp_budget(spark: SparkSession, folder: str) -> DataFrame:
+    budget = spent_budget(dp_aggregates(spark, folder), ["classification"])
+    return budget.withColumn("epsilon_total", F.round("epsilon_total", 6))
+
+
 _REQUIRED = "CASE classification " + " ".join(
     f"WHEN '{k}' THEN {d.sql_list(v)}" for k, v in REQUIRED_CONTROLS.items()
 ) + f" ELSE {d.sql_list(REQUIRED_CONTROLS['internal'])} END"
@@ -252,3 +269,18 @@ def visible_projection(spark: SparkSession, folder: str) -> DataFrame:
     """What a consulted user may read of the customers."""
     customers = table(spark, folder, "customer")
     return a.visible_columns(customers, {"c_name": True, "c_acctbal": True}, ["consulted"], "confidential")
+
+
+@query("mask_by_contract", """
+SELECT c_custkey, substr(sha256(c_name), 1, 16) AS c_name, c_mktsegment,
+       CASE WHEN length(tax_id) <= 4 THEN repeat('*', length(tax_id)) ELSE repeat('*', length(tax_id) - 4) || right(tax_id, 4) END AS tax_id
+FROM (SELECT *, CAST(c_custkey * 13 AS VARCHAR) AS tax_id FROM customer)""")
+def mask_by_contract(spark: SparkSession, folder: str) -> DataFrame:
+    """The contract marks the name and the tax id as personal data."""
+    customers = table(spark, folder, "customer").select(
+        "c_custkey", "c_name", "c_mktsegment", (F.col("c_custkey") * 13).cast("string").alias("tax_id")
+    )
+    contract = spark.createDataFrame(
+        [("c_custkey", False), ("c_name", True), ("c_mktsegment", False), ("tax_id", True)], "name string, pii boolean"
+    )
+    return mask_table(customers, policy_from_contract(contract))

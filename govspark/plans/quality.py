@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from govspark.operators.expectations import Expectation, broken_values, evaluate_suite
 from govspark.operators.gate import keep_first, promote, promotion_verdicts, with_decision_id
-from govspark.operators.profile import infer_types, profile_table
+from govspark.operators.profile import infer_types, profile_summary, profile_table
 from govspark.operators.scoring import (
     DIMENSION_OF,
     dimension_scores,
@@ -593,6 +593,25 @@ def profile_table_query(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("profile_summary", """
+WITH t AS (SELECT event_type, CASE WHEN event_id % 4 = 0 THEN CAST(value AS VARCHAR) WHEN event_id % 4 <> 1 THEN props END AS mixed
+  FROM events)
+SELECT count(*) AS rows, CAST(2 AS BIGINT) AS columns, CAST(1 AS BIGINT) AS columns_above_five_percent_null,
+       round((1 + count(mixed) / count(*)::DOUBLE) / 2, 6)::DOUBLE AS completeness,
+       round((count(DISTINCT event_type) / count(*)::DOUBLE + count(DISTINCT mixed) / count(mixed)::DOUBLE) / 2, 6)::DOUBLE AS uniqueness,
+       round((1 + count(*) FILTER (WHERE mixed LIKE '{%') / count(mixed)::DOUBLE) / 2, 6)::DOUBLE AS consistency
+FROM t""")
+def profile_summary_query(spark: SparkSession, folder: str) -> DataFrame:
+    """A clean column, and one that mixes JSON text, numbers and nulls."""
+    key = F.col("event_id") % 4
+    mixed = F.when(key == 0, F.col("value").cast("string")).when(key != 1, F.col("props"))
+    summary = profile_summary(profile_table(table(spark, folder, "events").select("event_type", mixed.alias("mixed")), True))
+    return summary.select(
+        "rows", "columns", "columns_above_five_percent_null",
+        *[F.round(m, 6).alias(m) for m in ("completeness", "uniqueness", "consistency")],
+    )
+
+
 @query("infer_types", """
 WITH t AS (
   SELECT props, regexp_extract(props, '[0-9]+', 0) AS k, CAST(value AS VARCHAR) AS v, CAST(value > 1 AS VARCHAR) AS b,

@@ -108,6 +108,25 @@ def stream_rates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("stream_rates_sliding", """
+WITH spread AS (
+  SELECT time_bucket(INTERVAL 1 MINUTE, ts) - INTERVAL 1 MINUTE * back AS start, value
+  FROM events, (SELECT unnest(range(5)) AS back))
+SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests, round(count(*) / 300.0, 6)::DOUBLE AS rate,
+       round(100.0 * count(*) FILTER (WHERE value > 100) / count(*), 6)::DOUBLE AS error_percent
+FROM spread GROUP BY start
+HAVING start + INTERVAL 5 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def stream_rates_sliding(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over five minutes, every minute, for all services together."""
+    events = table_stream(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rates = s.stream_rates(events, "ts", [], F.col("value") > 100, slide="1 minute")
+    done = _finish(spark, rates, "sliding")
+    return done.select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "requests",
+        F.round("rate", 6).alias("rate"), F.round("error_percent", 6).alias("error_percent"),
+    )
+
+
 @query("stream_lineage", f"WITH {EVENTS_SQL} SELECT source_urn, target_urn, job_urn FROM edges")
 def stream_lineage(spark: SparkSession, folder: str) -> DataFrame:
     """Every run event is delivered twice."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from govspark.plans import derived as d
 from govspark.plans.registry import query, table
+from govspark.session import fresh_path
 from govspark.sources import topics as t
 from govspark.vocabulary import EVENT_SUBJECTS
 
@@ -71,6 +72,19 @@ def event_routing(spark: SparkSession, folder: str) -> DataFrame:
     return t.route(events)
 
 
+@query("routed_messages", f"""
+SELECT CASE subject_key {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_SUBJECTS.items())} END AS topic,
+       '{{"event_id":' || event_id || '}}' AS value
+FROM (SELECT event_id, {d.sql_list(_KEYS)}[CAST(event_id % 7 AS INTEGER) + 1] AS subject_key FROM events)
+WHERE subject_key <> 'something_else'""")
+def routed_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Write the routed messages by subject and read them."""
+    path = fresh_path(spark, "subjects")
+    events = table(spark, folder, "events").select("event_id", d.pick(_KEYS, F.col("event_id") % 7).alias("subject_key"))
+    t.write_routed(events, path)
+    return spark.read.schema("value string, topic string").text(path).select("topic", "value")
+
+
 @query("event_retention", """
 SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY ORDER BY ts DESC, event_id DESC LIMIT 1500""")
 def event_retention(spark: SparkSession, folder: str) -> DataFrame:

@@ -79,6 +79,18 @@ def route(events: DataFrame, subject_key: str = "subject_key") -> DataFrame:
     return events.withColumn("subject", subject).where("subject IS NOT NULL")
 
 
+def routed_messages(events: DataFrame, subject_key: str = "subject_key") -> DataFrame:
+    """Routed events as ``topic`` and JSON ``value``, as the Kafka sink takes them."""
+    routed = route(events, subject_key)
+    payload = F.struct(*[c for c in events.columns if c != subject_key])
+    return routed.select(F.col("subject").alias("topic"), F.to_json(payload).alias("value"))
+
+
+def write_routed(events: DataFrame, path: str, subject_key: str = "subject_key") -> None:
+    """Append routed events as JSON lines, one folder per subject."""
+    routed_messages(events, subject_key).write.mode("append").partitionBy("topic").text(path)
+
+
 def retain(events: DataFrame, time: str, tie: str, as_of: Column, days: int = RETENTION_DAYS,
            messages: int = RETENTION_MESSAGES) -> DataFrame:
     """Messages that retention keeps: at most ``days`` old, and of those the newest ``messages``.

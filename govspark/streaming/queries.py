@@ -60,8 +60,12 @@ def stream_rates(events: DataFrame, time: str, keys: list[str], is_error: Column
 
 
 def stream_edges(events: DataFrame, time: str = "event_time") -> DataFrame:
-    """Lineage edges of a run event stream; an event that is delivered again within the watermark counts once."""
-    fresh = events.withWatermark(time, WATERMARK).dropDuplicatesWithinWatermark(["run_id"])
+    """Lineage edges of a run event stream; an event that is delivered again within the watermark counts once.
+
+    A run sends several events (start, complete), so an event is known by run, type and time.
+    """
+    identified = events.withColumn("_run", F.col("run")["runId"])
+    fresh = identified.withWatermark(time, WATERMARK).dropDuplicatesWithinWatermark(["_run", "event_type", time])
     return lineage_edges(fresh)
 
 

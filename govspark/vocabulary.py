@@ -62,6 +62,23 @@ DECISION_TYPES = ("data_promotion", "schema_change", "access_grant", "expert_reg
 DECISION_STATUSES = ("pending", "awaiting_approval", "approved", "rejected", "vetoed", "escalated")
 FINAL_STATUSES = ("approved", "rejected", "vetoed", "escalated")
 VOTES = ("approve", "reject", "abstain")
+VETO_STATUSES = ("active", "expired", "overridden")
+AUDIT_EVENT_TYPES = (
+    "decision_created",
+    "decision_submitted",
+    "approval_cast",
+    "decision_approved",
+    "decision_rejected",
+    "veto_exercised",
+    "veto_overridden",
+    "veto_expired",
+    "decision_escalated",
+    "expert_registered",
+    "expert_deregistered",
+    "data_promoted",
+    "role_assigned",
+    "role_revoked",
+)
 
 GENESIS_HASH = "0" * 64
 TOPIC_GENESIS = "genesis"

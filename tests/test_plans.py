@@ -15,7 +15,7 @@ EAGER = {n for n in QUERIES if n.startswith("stream_")} | {"audit_ingest"}
 # Queries that end in one row, or that order one small row per range or minute.
 ONE_ROW = {"one_decision_votes", "ks_drift", "ks_drift_scaled", "ks_drift_ties", "event_retention",
            "event_retention_default", "quality_report", "flagship_gate", "layer_write_roundtrip",
-           "promote_bronze_silver", "profile_table", "infer_types"}
+           "promote_bronze_silver", "profile_table", "profile_summary", "infer_types", "valid_reports"}
 # Foreign JSON and YAML text have no Spark expression.
 PYTHON = {"foreign_digest", "kafka_chain", "contract_columns", "contract_terms"}
 

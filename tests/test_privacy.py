@@ -10,7 +10,16 @@ from pyspark.sql import functions as F
 
 from govspark.functions import masking as m
 from govspark.operators import access as a
-from govspark.operators.privacy import classify_columns, detect_pii, epsilon_of, mask_table, noisy_metrics, policy_for
+from govspark.operators.privacy import (
+    classify_columns,
+    detect_pii,
+    epsilon_of,
+    mask_table,
+    noisy_metrics,
+    policy_for,
+    policy_from_contract,
+    spent_budget,
+)
 from tests.conftest import rows
 
 TEXT = st.text(alphabet=st.characters(blacklist_categories=("Cs",), blacklist_characters="\x00"), max_size=12)
@@ -74,6 +83,19 @@ def test_mask_table(spark):
         mask_table(people, policy_for({"nothing": "name"}))
 
 
+def test_contract_policy(spark):
+    contract = spark.createDataFrame([("id", False), ("cpf", True), ("note", True)], "name string, pii boolean")
+    policy = policy_from_contract(contract)
+    people = spark.createDataFrame([(1, "12345678901", "x")], "id int, cpf string, note string")
+    assert rows(mask_table(people, policy)) == [(1, "*******8901", sha("x")[:16])]
+
+
+def test_budget(spark):
+    frame = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0)], "g string, v double")
+    spent = spent_budget(noisy_metrics(frame, "v", epsilon=0.5), ["g"])
+    assert rows(spent) == [("a", 2, 1.0), ("b", 1, 0.5)]
+
+
 NAMES = ["cpf", "customer_cpf", "CPF_number", "e_mail", "EMAIL", "zip_code", "name", "full_name", "charge", "social security",
          "birth-date", "dob", "mobile", "iban", "id", "rg_number", "my_ssn"]
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from govspark.operators.expectations import KINDS, Expectation, Kind, broken_values, evaluate_suite, spark_time_pattern
 from govspark.operators.gate import keep_first, promote, promotion_verdicts, with_decision_id
-from govspark.operators.profile import infer_types, profile_table
+from govspark.operators.profile import infer_types, profile_summary, profile_table
 from govspark.operators.scoring import dimension_scores, latest_report, overall_score, quality_report, report_name
 from govspark.operators.sla import check_sla, contract_sla, due_for_review, layer_thresholds, threshold_table
 from govspark.sources.layers import read_dataset, versions, write_dataset
@@ -264,6 +264,15 @@ def test_profile_exact_and_sketch(spark):
     assert sketch == {"x": 2, "y": 2}
 
 
+def test_profile_consistency_and_summary(spark):
+    data = [("1", 1), ("2", 2), ("x", 3), ("yes", None), (None, 4)]
+    profile = profile_table(spark.createDataFrame(data, "v string, n int"))
+    assert {r.column: r.consistency for r in profile.collect()} == {"v": 0.5, "n": 1.0}
+    summary = profile_summary(profile).first()
+    assert (summary.rows, summary.columns, summary.columns_above_five_percent_null) == (5, 2, 2)
+    assert (summary.completeness, summary.consistency) == (0.8, 0.75)
+
+
 def test_infer_types(spark):
     data = [("1", "1.5", "true", "2024-01-01", "a", None), ("2", "2", "no", "2024-01-02 10:00:00", "1x", None)]
     frame = spark.createDataFrame(data, "i string, f string, b string, t string, x string, n string")

@@ -82,12 +82,14 @@ def test_sliding_rates(spark, tmp_path):
 
 def test_edges_count_redelivered_runs_once(spark, tmp_path):
     datasets = "array<struct<namespace:string,name:string>>"
-    feed = Feed(spark, tmp_path, f"run_id string, event_time timestamp, job struct<name:string>, inputs {datasets}, outputs {datasets}")
-    run = ("r1", at(0), ("j",), [("a", "x")], [("b", "y"), ("b", "z")])
+    feed = Feed(spark, tmp_path,
+                f"event_type string, run map<string,string>, event_time timestamp, job struct<name:string>, "
+                f"inputs {datasets}, outputs {datasets}")
+    run = ("START", {"runId": "r1"}, at(0), ("j",), [("a", "x")], [("b", "y"), ("b", "z")])
     feed.put([run])
     feed.run(s.stream_edges)
-    feed.put([run, ("r2", at(1), ("j",), [("a", "x")], [("b", "y")])])
-    assert feed.run(s.stream_edges).count() == 3
+    feed.put([run, ("COMPLETE", *run[1:]), ("START", {"runId": "r2"}, at(1), ("j",), [("a", "x")], [("b", "y")])])
+    assert feed.run(s.stream_edges).count() == 5
 
 
 def test_ingest_defaults_and_bad_messages(spark, tmp_path):
