@@ -47,18 +47,30 @@ def with_digest_check(events: DataFrame, details: Column | None = None) -> DataF
     return events.withColumn("intact", F.col("event_hash").eqNullSafe(digest(F.col("previous_hash"), details)))
 
 
-def _chain(events: DataFrame, keys: list[str], start: Column, link, slice_by: Column, order: list[Column],
-           segment_size: int) -> DataFrame:
-    """Number the events, cut them into segments and fold each segment; ``link`` is ``(hash, event) -> hash``."""
-    numbered = number_rows(events, keys, slice_by, order, "position")
+def _chain(events: DataFrame, keys: list[str], link, genesis: str, slice_by: Column, order: list[Column],
+           segment_size: int, heads: DataFrame | None) -> DataFrame:
+    """Number the events, cut them into segments and fold each segment; ``link`` is ``(hash, event) -> hash``.
+
+    With ``heads`` numbering and hashing go on where the stored chain ends, so the result does not depend on how
+    the events were split into batches.
+    """
+    start, done = F.lit(genesis), F.lit(0)
+    if heads is not None:
+        known = heads.select(*keys, F.col("head_hash").alias("_head"), F.col("position").alias("_done"))
+        events = events.join(known, keys, "left")
+        done = F.coalesce("_done", F.lit(0))
+    numbered = number_rows(events, keys, slice_by, order, "position").withColumn("position", F.col("position") + done)
     segmented = numbered.withColumn("segment", F.floor((F.col("position") - 1) / segment_size))
+    if heads is not None:
+        continued = (F.floor(done / segment_size) == F.col("segment")) & (done % segment_size != 0)
+        start = F.when(continued, F.col("_head")).otherwise(F.lit(genesis))
     kept = [c for c in segmented.columns if c not in (*keys, "segment", "position")]
     # A group holds at most ``segment_size`` events.
     grouped = segmented.groupBy(*keys, "segment").agg(
         F.array_sort(
             F.collect_list(F.struct("position", *kept)), lambda x, y: (x["position"] - y["position"]).cast("int")
         ).alias("events"),
-        F.max(start).alias("start"),
+        F.any_value(start).alias("start"),
     )
     hashes = F.aggregate(
         "events",
@@ -70,7 +82,7 @@ def _chain(events: DataFrame, keys: list[str], start: Column, link, slice_by: Co
     zipped = grouped.withColumn("hashes", hashes).select(*keys, "segment", F.inline(rows))
     return zipped.select(
         *keys, "segment", "events.*", F.col("before").alias("previous_hash"), F.col("after").alias("event_hash")
-    ).drop("_body", "_start")
+    ).drop("_body", "_head", "_done")
 
 
 def build_chain(events: DataFrame, keys: list[str], slice_by: Column, order: list[Column],
@@ -78,31 +90,32 @@ def build_chain(events: DataFrame, keys: list[str], slice_by: Column, order: lis
                 details: Column | None = None) -> DataFrame:
     """Chain the events of each key in ``order``; adds position, segment, previous_hash and event_hash.
 
-    With ``heads`` (``keys`` and ``head_hash``, one row per key) the first segment of a key continues after its
-    head, otherwise it starts at the genesis hash.
+    ``heads`` (see ``last_links``) appends to stored chains. Keys must not be null then.
     """
-    prepared = events.withColumn("_body", ascii_json(_payload(details)))
-    start = F.lit(GENESIS_HASH)
-    if heads is not None:
-        prepared = prepared.join(heads.withColumnRenamed("head_hash", "_start"), keys, "left")
-        first = F.col("position") <= segment_size
-        start = F.when(first, F.coalesce("_start", F.lit(GENESIS_HASH))).otherwise(F.lit(GENESIS_HASH))
 
     def link(previous: Column, event: Column) -> Column:
         return F.sha2(F.concat(event["_body"], F.lit('"'), previous, F.lit('"}')), 256)
 
-    return _chain(prepared, keys, start, link, slice_by, order, segment_size)
+    prepared = events.withColumn("_body", ascii_json(_payload(details)))
+    return _chain(prepared, keys, link, GENESIS_HASH, slice_by, order, segment_size, heads)
+
+
+def last_links(chained: DataFrame, keys: list[str]) -> DataFrame:
+    """Last hash and position of each chain, to append a batch after it."""
+    return chained.groupBy(*keys).agg(
+        F.max_by("event_hash", "position").alias("head_hash"), F.max("position").alias("position")
+    )
 
 
 def build_topic_chain(messages: DataFrame, keys: list[str], json_text: Column, slice_by: Column, order: list[Column],
-                      segment_size: int = SEGMENT_SIZE) -> DataFrame:
+                      segment_size: int = SEGMENT_SIZE, heads: DataFrame | None = None) -> DataFrame:
     """Chain in the topic format: SHA-256 of ``previous:json``, starting at the text ``genesis``."""
-    prepared = messages.withColumn("_body", json_text)
 
     def link(previous: Column, event: Column) -> Column:
         return F.sha2(F.concat(previous, F.lit(":"), event["_body"]), 256)
 
-    return _chain(prepared, keys, F.lit(TOPIC_GENESIS), link, slice_by, order, segment_size)
+    prepared = messages.withColumn("_body", json_text)
+    return _chain(prepared, keys, link, TOPIC_GENESIS, slice_by, order, segment_size, heads)
 
 
 def anchor_segments(chained: DataFrame, keys: list[str]) -> DataFrame:

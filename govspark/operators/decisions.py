@@ -94,23 +94,23 @@ def classify_votes(decisions: DataFrame, votes: DataFrame, roles: DataFrame,
     veto that closes it. Aggregates find the first votes and the closing time; the votes themselves are joined, not ranked, so
     that Spark can split a decision with very many votes.
     """
-    subject = decisions.select(F.col("id").alias("decision_id"), "domain_id", "status", F.lit(True).alias("_known"))
-    holder = roles.select(F.col("user_id").alias("voter_id"), "domain_id", F.col("role").alias("voter_role"))
-    seen = votes.join(subject, "decision_id", "left").join(holder, ["voter_id", "domain_id"], "left")
-    eligible = F.col("_known") & (F.col("status") == "awaiting_approval") & F.col("voter_role").isNotNull()
-    stamp = F.struct("voted_at", "id")
-    earliest = F.min(F.struct("voted_at", "id", "vote", "domain_id", "voter_role")).alias("_v")
-    first = seen.where(eligible).groupBy("decision_id", "voter_id").agg(earliest).select(
-        "decision_id", "voter_id", F.struct("_v.voted_at", "_v.id").alias("_first"), "_v.vote", "_v.domain_id", "_v.voter_role"
-    )
+    first = first_votes(decisions, votes, roles)
     closing = _closing(first, roles).select("decision_id", "_closed")
-    joined = seen.join(first.select("decision_id", "voter_id", "_first"), ["decision_id", "voter_id"], "left").join(
+    subject = decisions.select(F.col("id").alias("decision_id"), "domain_id", "status", F.lit(True).alias("_known")).join(
         closing, "decision_id", "left"
     )
-    late = F.coalesce(stamp > F.col("_closed"), F.lit(False))
     if vetoes is not None:
         vetoed = eligible_vetoes(decisions, vetoes, roles).groupBy("decision_id").agg(F.min("vetoed_at").alias("_vetoed"))
-        joined = joined.join(vetoed, "decision_id", "left")
+        subject = subject.join(vetoed, "decision_id", "left")
+    holder = roles.select(F.col("user_id").alias("voter_id"), "domain_id", F.col("role").alias("voter_role"))
+    joined = (
+        votes.join(_earliest(votes).select("decision_id", "voter_id", "_first"), ["decision_id", "voter_id"], "left")
+        .join(subject, "decision_id", "left")
+        .join(holder, ["voter_id", "domain_id"], "left")
+    )
+    stamp = F.struct("voted_at", "id")
+    late = F.coalesce(stamp > F.col("_closed"), F.lit(False))
+    if vetoes is not None:
         late = late | F.coalesce(F.col("voted_at") > F.col("_vetoed"), F.lit(False))
     reason = (
         F.when(F.col("_known").isNull(), "unknown decision")
@@ -124,18 +124,26 @@ def classify_votes(decisions: DataFrame, votes: DataFrame, roles: DataFrame,
     )
 
 
-def first_votes(decisions: DataFrame, votes: DataFrame, roles: DataFrame) -> DataFrame:
-    """First vote per decision and voter with a role; one partially aggregated row each.
+def _earliest(votes: DataFrame) -> DataFrame:
+    """Earliest vote per decision and voter.
 
-    Repeated votes shrink before the joins, so the domain and the role are looked up once per voter and decision.
+    Roles are a snapshot, so a voter may vote on a decision with every vote or with none: the earliest vote is
+    the first that counts, if any does.
     """
     earliest = F.min(F.struct("voted_at", "id", "vote")).alias("_v")
-    reduced = votes.groupBy("decision_id", "voter_id").agg(earliest).select(
+    return votes.groupBy("decision_id", "voter_id").agg(earliest).select(
         "decision_id", "voter_id", F.struct("_v.voted_at", "_v.id").alias("_first"), "_v.vote"
     )
+
+
+def first_votes(decisions: DataFrame, votes: DataFrame, roles: DataFrame) -> DataFrame:
+    """First vote per decision and voter with a role; one partially aggregated row each.
+
+    Repeated votes shrink before the joins, so the domain and the role are looked up once per voter and decision.
+    """
     subject = decisions.where("status = 'awaiting_approval'").select(F.col("id").alias("decision_id"), "domain_id")
     holder = roles.select(F.col("user_id").alias("voter_id"), "domain_id", F.col("role").alias("voter_role"))
-    return reduced.join(subject, "decision_id").join(holder, ["voter_id", "domain_id"])
+    return _earliest(votes).join(subject, "decision_id").join(holder, ["voter_id", "domain_id"])
 
 
 def _required(roles: DataFrame) -> DataFrame:

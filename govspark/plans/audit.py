@@ -107,7 +107,7 @@ def build_chain(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("append_chain", f"""WITH RECURSIVE {d.CHAIN_SQL}
-SELECT id, chain_id, previous_hash, event_hash FROM chained""")
+SELECT id, chain_id, (rn - 1) // 1000 AS segment, rn AS position, previous_hash, event_hash FROM chained""")
 def append_chain(spark: SparkSession, folder: str) -> DataFrame:
     """Chain the first half of the month, then append the second half after the heads."""
     events = d.audit_events(spark, folder)
@@ -115,9 +115,9 @@ def append_chain(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "audit-head")
     a.build_chain(events.where(half), ["chain_id"], _hour(), _order()).write.parquet(path)
     first = spark.read.parquet(path)
-    heads = first.groupBy("chain_id").agg(F.max_by("event_hash", "position").alias("head_hash"))
+    heads = a.last_links(first, ["chain_id"])
     second = a.build_chain(events.where(~half), ["chain_id"], _hour(), _order(), heads=heads)
-    return first.unionByName(second).select("id", "chain_id", "previous_hash", "event_hash")
+    return first.unionByName(second).select("id", "chain_id", "segment", "position", "previous_hash", "event_hash")
 
 
 @query("chain_anchors", f"""WITH RECURSIVE {d.CHAIN_SQL}

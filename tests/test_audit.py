@@ -90,11 +90,18 @@ def test_segments_and_heads(spark):
     assert all(r.valid for r in a.verify_chain(chained, ["chain", "segment"]).collect())
     anchors = a.anchor_segments(chained, ["chain"])
     assert anchors.count() == 6 and {r.details["size"] for r in anchors.collect()} == {"3", "1"}
-    heads = spark.createDataFrame([("x", "f" * 64)], "chain string, head_hash string")
-    appended = build(spark, events, heads=heads, segment_size=3).where("position = 1").collect()
-    assert {r.chain: r.previous_hash for r in appended} == {"x": "f" * 64, "y": GENESIS_HASH}
-    later = build(spark, events, heads=heads, segment_size=3).where("position = 4").collect()
-    assert {r.previous_hash for r in later} == {GENESIS_HASH}
+
+
+@pytest.mark.parametrize("cut", [1, 2, 3, 5, 6])
+def test_appending_equals_building_at_once(spark, tmp_path, cut):
+    events = [event(i, chain) for chain in "xy" for i in range(7) if chain == "x" or i > 2]
+    whole = build(spark, events, segment_size=3)
+    path = str(tmp_path / "log")
+    build(spark, [e for e in events if e["id"] < cut], segment_size=3).write.parquet(path)
+    stored = spark.read.parquet(path)
+    later = build(spark, [e for e in events if e["id"] >= cut], segment_size=3, heads=a.last_links(stored, ["chain"]))
+    columns = ("chain", "segment", "position", "previous_hash", "event_hash")
+    assert rows(stored.unionByName(later), *columns) == rows(whole, *columns)
 
 
 def test_topic_chain(spark):
