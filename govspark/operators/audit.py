@@ -47,8 +47,8 @@ def with_digest_check(events: DataFrame, details: Column | None = None) -> DataF
     return events.withColumn("intact", F.col("event_hash").eqNullSafe(digest(F.col("previous_hash"), details)))
 
 
-def _chain(events: DataFrame, keys: list[str], link, genesis: str, slice_by: Column, order: list[Column],
-           segment_size: int, heads: DataFrame | None) -> DataFrame:
+def _chain(events: DataFrame, keys: list[str], link, genesis: str, order: list[Column], segment_size: int,
+           heads: DataFrame | None, slice_by: Column | None) -> DataFrame:
     """Number the events, cut them into segments and fold each segment; ``link`` is ``(hash, event) -> hash``.
 
     With ``heads`` numbering and hashing go on where the stored chain ends, so the result does not depend on how
@@ -59,7 +59,7 @@ def _chain(events: DataFrame, keys: list[str], link, genesis: str, slice_by: Col
         known = heads.select(*keys, F.col("head_hash").alias("_head"), F.col("position").alias("_done"))
         events = events.join(known, keys, "left")
         done = F.coalesce("_done", F.lit(0))
-    numbered = number_rows(events, keys, slice_by, order, "position").withColumn("position", F.col("position") + done)
+    numbered = number_rows(events, keys, order, "position", slice_by).withColumn("position", F.col("position") + done)
     segmented = numbered.withColumn("segment", F.floor((F.col("position") - 1) / segment_size))
     if heads is not None:
         continued = (F.floor(done / segment_size) == F.col("segment")) & (done % segment_size != 0)
@@ -85,19 +85,20 @@ def _chain(events: DataFrame, keys: list[str], link, genesis: str, slice_by: Col
     ).drop("_body", "_head", "_done")
 
 
-def build_chain(events: DataFrame, keys: list[str], slice_by: Column, order: list[Column],
-                segment_size: int = SEGMENT_SIZE, heads: DataFrame | None = None,
-                details: Column | None = None) -> DataFrame:
+def build_chain(events: DataFrame, keys: list[str], order: list[Column], segment_size: int = SEGMENT_SIZE,
+                heads: DataFrame | None = None, details: Column | None = None,
+                slice_by: Column | None = None) -> DataFrame:
     """Chain the events of each key in ``order``; adds position, segment, previous_hash and event_hash.
 
-    ``heads`` (see ``last_links``) appends to stored chains. Keys must not be null then.
+    ``heads`` (see ``last_links``) appends to stored chains. Keys must not be null then. For ``slice_by`` see
+    ``slices``.
     """
 
     def link(previous: Column, event: Column) -> Column:
         return F.sha2(F.concat(event["_body"], F.lit('"'), previous, F.lit('"}')), 256)
 
     prepared = events.withColumn("_body", ascii_json(_payload(details)))
-    return _chain(prepared, keys, link, GENESIS_HASH, slice_by, order, segment_size, heads)
+    return _chain(prepared, keys, link, GENESIS_HASH, order, segment_size, heads, slice_by)
 
 
 def last_links(chained: DataFrame, keys: list[str]) -> DataFrame:
@@ -107,15 +108,16 @@ def last_links(chained: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def build_topic_chain(messages: DataFrame, keys: list[str], json_text: Column, slice_by: Column, order: list[Column],
-                      segment_size: int = SEGMENT_SIZE, heads: DataFrame | None = None) -> DataFrame:
+def build_topic_chain(messages: DataFrame, keys: list[str], json_text: Column, order: list[Column],
+                      segment_size: int = SEGMENT_SIZE, heads: DataFrame | None = None,
+                      slice_by: Column | None = None) -> DataFrame:
     """Chain in the topic format: SHA-256 of ``previous:json``, starting at the text ``genesis``."""
 
     def link(previous: Column, event: Column) -> Column:
         return F.sha2(F.concat(previous, F.lit(":"), event["_body"]), 256)
 
     prepared = messages.withColumn("_body", json_text)
-    return _chain(prepared, keys, link, TOPIC_GENESIS, slice_by, order, segment_size, heads)
+    return _chain(prepared, keys, link, TOPIC_GENESIS, order, segment_size, heads, slice_by)
 
 
 def anchor_segments(chained: DataFrame, keys: list[str]) -> DataFrame:

@@ -105,9 +105,9 @@ def latest_versions(snapshots: DataFrame, keys: list[str]) -> DataFrame:
 def version_changes(snapshots: DataFrame, keys: list[str], slice_size: int = 1000) -> DataFrame:
     """Changes between each snapshot and its predecessor of the same contract (version numbers may have gaps)."""
     steps = snapshots.select(*keys, "version").distinct()
-    linked = previous_value(
-        steps, keys, F.floor(F.col("version") / slice_size), [F.col("version")], "version", "previous"
-    ).where("previous IS NOT NULL")
+    # A slice holds at most ``slice_size`` versions of one contract.
+    few = F.floor(F.col("version") / slice_size)
+    linked = previous_value(steps, keys, [F.col("version")], "version", "previous", few).where("previous IS NOT NULL")
     step = [*keys, "version"]
     new = snapshots.join(linked, step, "left_semi")
     renamed = snapshots.withColumnRenamed("version", "previous")

@@ -40,9 +40,8 @@ def decision_votes(votes: DataFrame, decision_id) -> DataFrame:
 
 
 def numbered_votes(votes: DataFrame, slice_by: Column | None = None) -> DataFrame:
-    """All votes with their position in time order within the decision."""
-    day = F.date_trunc("day", F.col("voted_at").cast("timestamp")) if slice_by is None else slice_by
-    return number_rows(votes, ["decision_id"], day, [F.col("voted_at"), F.col("id")], "position")
+    """All votes with their position in time order within the decision (for ``slice_by`` see ``slices``)."""
+    return number_rows(votes, ["decision_id"], [F.col("voted_at"), F.col("id")], "position", slice_by)
 
 
 def roles_of(roles: DataFrame, domain_id: str | None = None, user_id: str | None = None) -> DataFrame:
@@ -218,10 +217,10 @@ def vote_tally(votes: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def invalid_transitions(history: DataFrame, keys: list[str], slice_by: Column, order: list[Column],
-                        status: str = "status") -> DataFrame:
+def invalid_transitions(history: DataFrame, keys: list[str], order: list[Column], status: str = "status",
+                        slice_by: Column | None = None) -> DataFrame:
     """Rows whose status may not follow the one before (the first must be pending)."""
-    linked = previous_value(history, keys, slice_by, order, status, "previous_status")
+    linked = previous_value(history, keys, order, status, "previous_status", slice_by)
     before, now = F.col("previous_status"), F.col(status)
     legal = (
         (before.isNull() & (now == "pending"))

@@ -1,10 +1,14 @@
 """Ordered operations on groups of any size.
 
-A window partitioned by the key alone puts a hot key into one task. These forms cut each key into slices, a
-coarse prefix of the order (the day of a timestamp, a thousand sequence numbers), run the window inside a
-slice and carry one small row per slice across the slices of a key. Exact, deterministic and lazy.
+A window partitioned by the key alone puts a hot key into one task. These forms cut each key into slices of its
+order, run the window inside a slice and carry one small row per slice across the slices of a key. Exact and
+deterministic.
+
+By default the slices are ranges of (keys, order) of about equal size, so neither a hot key nor a hot instant can
+fill one task; that needs one range shuffle, written to the shared folder, when the function is called. A caller who
+knows that, say, a thousand versions of one contract are little, gives ``slice_by`` instead and stays lazy: an
+expression that grows with ``order`` (rows of an earlier slice come before rows of a later slice).
 
-``slice_by`` must grow with ``order``: rows of an earlier slice come before rows of a later slice.
 Keys may be null: they are compared as a struct, in which null equals null, so the window and the join share one
 hash partitioning.
 """
@@ -14,20 +18,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from govspark.session import cut_lineage
+
 _GROUP = "_group"
 
 
-def _sliced(df: DataFrame, keys: list[str], slice_by: Column) -> DataFrame:
-    return df.withColumn(_GROUP, F.struct(F.struct(*keys).alias("key"), slice_by.alias("slice")))
+def _sliced(df: DataFrame, keys: list[str], slice_by: Column | None, order: list[Column]) -> DataFrame:
+    if slice_by is not None:
+        return df.withColumn(_GROUP, F.struct(F.struct(*keys).alias("key"), slice_by.alias("slice")))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(ranges, *keys, *order)
+    # Range borders come from a sample: fix them in storage, so that every use of the slices sees the same ones.
+    return cut_lineage(
+        ranged.withColumn(_GROUP, F.struct(F.struct(*keys).alias("key"), F.spark_partition_id().alias("slice")))
+    )
 
 
 def _across_slices() -> Window:
     return Window.partitionBy(f"{_GROUP}.key").orderBy(f"{_GROUP}.slice")
 
 
-def number_rows(df: DataFrame, keys: list[str], slice_by: Column, order: list[Column], name: str) -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], order: list[Column], name: str,
+                slice_by: Column | None = None) -> DataFrame:
     """Position from 1 of every row within its key."""
-    sliced = _sliced(df, keys, slice_by)
+    sliced = _sliced(df, keys, slice_by, order)
     sizes = sliced.groupBy(_GROUP).agg(F.count("*").alias("_size"))
     offsets = sizes.select(_GROUP, (F.sum("_size").over(_across_slices()) - F.col("_size")).alias("_before"))
     inside = Window.partitionBy(_GROUP).orderBy(*order)
@@ -36,10 +50,10 @@ def number_rows(df: DataFrame, keys: list[str], slice_by: Column, order: list[Co
     return numbered.withColumn(name, F.col("_before") + F.col("_local")).drop("_before", "_local", _GROUP)
 
 
-def previous_value(df: DataFrame, keys: list[str], slice_by: Column, order: list[Column], value: str,
-                   name: str) -> DataFrame:
+def previous_value(df: DataFrame, keys: list[str], order: list[Column], value: str, name: str,
+                   slice_by: Column | None = None) -> DataFrame:
     """Value of the preceding row of the key, null on the first row."""
-    sliced = _sliced(df, keys, slice_by)
+    sliced = _sliced(df, keys, slice_by, order)
     last = sliced.groupBy(_GROUP).agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
     carried = last.select(_GROUP, F.lag("_last").over(_across_slices())[value].alias("_carried"))
     inside = Window.partitionBy(_GROUP).orderBy(*order)

@@ -16,17 +16,13 @@ _KEYS = ["chain_id", "segment"]
 _logs: dict[tuple[str, str], str] = {}
 
 
-def _hour() -> Column:
-    return F.date_trunc("hour", F.col("occurred_at").cast("timestamp"))
-
-
 def _order() -> list[Column]:
     return [F.col("occurred_at"), F.col("id")]
 
 
 def chained(spark: SparkSession, folder: str) -> DataFrame:
     """One chain per user."""
-    return a.build_chain(d.audit_events(spark, folder), ["chain_id"], _hour(), _order())
+    return a.build_chain(d.audit_events(spark, folder), ["chain_id"], _order())
 
 
 def stored_log(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,10 +109,10 @@ def append_chain(spark: SparkSession, folder: str) -> DataFrame:
     events = d.audit_events(spark, folder)
     half = F.col("occurred_at") < F.lit("2024-01-16").cast("timestamp_ntz")
     path = fresh_path(spark, "audit-head")
-    a.build_chain(events.where(half), ["chain_id"], _hour(), _order()).write.parquet(path)
+    a.build_chain(events.where(half), ["chain_id"], _order()).write.parquet(path)
     first = spark.read.parquet(path)
     heads = a.last_links(first, ["chain_id"])
-    second = a.build_chain(events.where(~half), ["chain_id"], _hour(), _order(), heads=heads)
+    second = a.build_chain(events.where(~half), ["chain_id"], _order(), heads=heads)
     return first.unionByName(second).select("id", "chain_id", "segment", "position", "previous_hash", "event_hash")
 
 
@@ -204,7 +200,7 @@ chained AS (
   FROM chained c JOIN numbered n ON n.user_id = c.user_id AND n.rn = c.rn + 1 AND (n.rn - 1) % 1000 <> 0)
 SELECT event_id AS id, user_id AS chain_id, event_hash FROM chained""")
 def kafka_chain(spark: SparkSession, folder: str) -> DataFrame:
-    built = a.build_topic_chain(topic_messages(spark, folder), ["chain_id"], F.col("value"), _hour(), _order())
+    built = a.build_topic_chain(topic_messages(spark, folder), ["chain_id"], F.col("value"), _order())
     return built.select("id", "chain_id", "event_hash")
 
 

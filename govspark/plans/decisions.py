@@ -231,9 +231,7 @@ def invalid_transitions(spark: SparkSession, folder: str) -> DataFrame:
     history = table(spark, folder, "events").select(
         "event_id", "user_id", F.create_map(*pairs)[F.col("event_type")].alias("status"), "ts"
     )
-    found = g.invalid_transitions(
-        history, ["user_id"], F.date_trunc("day", F.col("ts").cast("timestamp")), [F.col("ts"), F.col("event_id")]
-    )
+    found = g.invalid_transitions(history, ["user_id"], [F.col("ts"), F.col("event_id")])
     return found.select("event_id", "user_id", "previous_status", "status")
 
 

@@ -28,6 +28,8 @@ def get_session(app: str = "govspark", master: str | None = None, shuffle_partit
         # Split a hot join key even where that costs one more shuffle behind the join.
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Checkpoints go when nothing refers to them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         **conf,
     }

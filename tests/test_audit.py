@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from govspark.functions.canonical import canonical_json, iso_timestamp, json_string, spaced_json
 from govspark.operators import audit as a
-from govspark.operators.slices import number_rows, previous_value
+from govspark.operators.slices import _sliced, number_rows, previous_value
 from govspark.vocabulary import GENESIS_HASH
 from tests.conftest import rows
 
@@ -43,8 +43,7 @@ def frame(spark, events):
 
 
 def build(spark, events, **kwargs):
-    hour = F.date_trunc("day", "occurred_at")
-    return a.build_chain(frame(spark, events), ["chain"], hour, [F.col("occurred_at"), F.col("id")], **kwargs)
+    return a.build_chain(frame(spark, events), ["chain"], [F.col("occurred_at"), F.col("id")], **kwargs)
 
 
 @SETTINGS
@@ -106,7 +105,7 @@ def test_appending_equals_building_at_once(spark, tmp_path, cut):
 
 def test_topic_chain(spark):
     data = spark.createDataFrame([("p", i, json.dumps({"n": i})) for i in range(5)], "chain string, n long, value string")
-    built = a.build_topic_chain(data, ["chain"], F.col("value"), F.floor(F.col("n") / 2), [F.col("n")]).orderBy("n").collect()
+    built = a.build_topic_chain(data, ["chain"], F.col("value"), [F.col("n")]).orderBy("n").collect()
     previous = "genesis"
     for row in built:
         assert row.previous_hash == previous
@@ -181,12 +180,13 @@ def test_empty_chain_has_no_defect(spark):
 
 
 def test_hot_chain(spark):
-    """One chain holds most events; positions and links come from slices and still form one order."""
+    """One chain holds most events, and half of those one instant; positions and links still form one order."""
     data = spark.range(6000).select(
         F.when(F.col("id") % 3 != 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 50)).alias("chain"), "id",
         F.concat(F.lit("m"), "id").alias("value"),
     )
-    built = a.build_topic_chain(data, ["chain"], F.col("value"), F.floor(F.col("id") / 100), [F.col("id")], segment_size=500)
+    order = [F.greatest("id", F.lit(3000)), F.col("id")]
+    built = a.build_topic_chain(data, ["chain"], F.col("value"), order, segment_size=500)
     hot = [r.asDict() for r in built.where("chain = 'hot'").orderBy("position").collect()]
     assert [r["position"] for r in hot] == list(range(1, 4001))
     for number, row in enumerate(hot):
@@ -194,13 +194,15 @@ def test_hot_chain(spark):
         assert row["event_hash"] == hashlib.sha256(f"{previous}:{row['value']}".encode()).hexdigest()
 
 
-def test_sliced_windows_equal_plain_windows(spark):
+@pytest.mark.parametrize("given_slices", [True, False])
+def test_sliced_windows_equal_plain_windows(spark, given_slices):
     random.seed(1)
-    data = [(random.choice(["a", "b", None]), random.randrange(200), i, random.choice("xyz")) for i in range(500)]
+    data = [(random.choice(["a", "a", "a", "b", None]), random.randrange(200), i, random.choice("xyz")) for i in range(500)]
     table = spark.createDataFrame(data, "k string, t int, i int, v string")
     order = [F.col("t"), F.col("i")]
-    got = number_rows(table, ["k"], F.floor(F.col("t") / 7), order, "n")
-    got = previous_value(got, ["k"], F.floor(F.col("t") / 7), order, "v", "p")
+    slices = F.floor(F.col("t") / 7) if given_slices else None
+    got = number_rows(table, ["k"], order, "n", slices)
+    got = previous_value(got, ["k"], order, "v", "p", slices)
     expected, last, count = [], {}, {}
     for key, t, i, v in sorted(data, key=lambda r: (r[1], r[2])):
         count[key] = count.get(key, 0) + 1
@@ -209,6 +211,14 @@ def test_sliced_windows_equal_plain_windows(spark):
     assert [tuple(r) for r in got.select("i", "n", "p").orderBy("i").collect()] == sorted(expected)
 
 
+def test_ranges_split_a_hot_key(spark):
+    """No task of the window gets more than a range of the hot key, although all its rows share one instant."""
+    hot = spark.range(4000).select(F.lit("hot").alias("k"), F.lit(1).alias("t"), "id")
+    sliced = _sliced(hot, ["k"], None, [F.col("t"), F.col("id")])
+    sizes = [r["count"] for r in sliced.groupBy("_group").count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) == 4 and max(sizes) < 2000
+
+
 def test_listings(spark):
     events = frame(spark, [event(i, entity_id=f"e{i % 2}", event_type="xy"[i % 3 == 0]) for i in range(10)])
     assert [r.id for r in a.list_events(events, limit=3, offset=1).collect()] == [8, 7, 6]
