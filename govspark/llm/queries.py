@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govspark.llm import exact, simhash
+from govspark.llm import exact, language, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,3 +46,8 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_simhash_near_dedup")
 def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents"))
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
