@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govspark.llm import exact, language, simhash
+from govspark.llm import decontaminate, exact, language, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +48,11 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents"))
 
 
+@query("op6_benchmark_decontamination")
+def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaked_pairs(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op7_language_id")
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
