@@ -10,9 +10,9 @@ texts that share a key and tells the members of a chain apart by comparing their
 and digest of its own text.
 
 Scale: copies within one Arrow batch are merged before anything is shuffled, so a text that fills a third of the
-corpus reaches its owner as one row per batch. An owner keeps one chain in memory, never a bucket. The directory has
-about as many cells as the job has tasks. Files are written by Spark's committer in ``spark.checkpoint.dir``: a lost
-executor costs its tasks, nothing else.
+corpus reaches its owner as one row per batch. An owner keeps one chain in memory, never a bucket. Files are written by Spark's committer in ``spark.checkpoint.dir``: a lost
+executor costs its tasks, nothing else. The directory has at most ``2 ** MAX_BITS`` cells, so it can be broadcast; for
+larger inputs the capacity grows instead, which only makes an owner's sorted stream longer.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from govspark.session import fresh_path
 
 CAPACITY = 32 << 20
+MAX_BITS = 18
 
 _STAMPED = "_id long, _key long, _sha binary, _bytes long, _copies long, _largest long, _text binary"
 _ENTRY = "bucket int, key long, chain int, sha binary, text binary, copies long, largest long"
@@ -161,13 +162,14 @@ def build_index(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY,
 
     heads = stamps.where("_copies is not null")
     total = heads.agg(F.sum("_bytes")).first()[0] or 0
-    bits = max(0, (total // capacity).bit_length() + 2) if total > capacity else 0
+    capacity = max(capacity, total >> (MAX_BITS - 2))
+    bits = min(MAX_BITS, (total // capacity).bit_length() + 2) if total > capacity else 0
     sizes = heads.groupBy(_cell("_key", bits).alias("cell")).agg(F.sum("_bytes").alias("size"))
     depth, directory = plan_directory({r["cell"]: r["size"] for r in sizes.collect()}, bits, capacity)
     buckets = max(directory) + 1
     cells = spark.createDataFrame(list(enumerate(directory)), "cell long, bucket int")
 
-    texts = stamped.where("_text is not null").withColumn("cell", _cell("_key", depth)).join(cells, "cell")
+    texts = stamped.where("_text is not null").withColumn("cell", _cell("_key", depth)).join(F.broadcast(cells), "cell")
     owned = (
         texts.select("bucket", "_key", "_sha", "_copies", "_largest", "_text")
         .repartition(buckets, "bucket")
