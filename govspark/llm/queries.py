@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govspark.llm import decontaminate, exact, language, packing, pii, simhash
+from govspark.llm import decontaminate, exact, language, licenses, packing, pii, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,11 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.scan(table(spark, folder, "documents"))
 
 
+@query("op5_license_scan")
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 @query("op6_benchmark_decontamination")
 def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaked_pairs(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
