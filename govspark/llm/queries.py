@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govspark.llm import decontaminate, exact, language, licenses, packing, pii, simhash
+from govspark.llm import decontaminate, exact, language, licenses, packing, pii, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+@query("op2_quality_classifier")
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op3_exact_dedup", f"""
     WITH lowered AS (SELECT doc_id, {LOWERED} AS t FROM documents),
     groups AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM lowered GROUP BY t)
