@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govspark.llm import decontaminate, exact, language, licenses, packing, pii, quality, simhash
+from govspark.llm import decontaminate, exact, kneser_ney, language, licenses, packing, phrases, pii, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+@query("op1_substring_dedup")
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = phrases.remove_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op2_quality_classifier")
 def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -53,6 +59,11 @@ def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+@query("op9_lm_scoring")
+def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return kneser_ney.score_held_out(table(spark, folder, "documents"))
+
+
 @query("op10_simhash_near_dedup")
 def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents"))
