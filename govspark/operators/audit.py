@@ -1,21 +1,23 @@
 """Hash-chained audit logs: digests, building, verification, listings, append-only check.
 
-A hash chain is sequential, so one long chain would be built by one task. Chains are therefore cut into
-segments of a fixed number of events. Every segment is a chain of its own that starts at the genesis hash, and
-``anchor_segments`` records the segment heads as events, to be chained in turn. Verification is parallel in any case.
+A hash chain is sequential: each digest covers the one before. A chain of any length is built by one task that reads
+its events in order and keeps nothing but the last hash; the sort before it spills to disk, the texts under the
+digests are made in parallel, and different chains are built by different tasks. Verification needs no order.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from govspark.functions.canonical import ascii_json, iso_timestamp, quoted, quoted_map
-from govspark.operators.slices import number_rows
 from govspark.vocabulary import GENESIS_HASH, TOPIC_GENESIS
 
-SEGMENT_SIZE = 1000
-
 
 def digest(previous_hash: Column, details: Column | None = None) -> Column:
     """SHA-256 of the canonical JSON of the eight covered fields of an event.
@@ -47,58 +49,58 @@ def with_digest_check(events: DataFrame, details: Column | None = None) -> DataF
     return events.withColumn("intact", F.col("event_hash").eqNullSafe(digest(F.col("previous_hash"), details)))
 
 
-def _chain(events: DataFrame, keys: list[str], link, genesis: str, order: list[Column], segment_size: int,
-           heads: DataFrame | None, slice_by: Column | None) -> DataFrame:
-    """Number the events, cut them into segments and fold each segment; ``link`` is ``(hash, event) -> hash``.
+def _chain(events: DataFrame, keys: list[str], link: Callable[[str, str], bytes], genesis: str, order: list[Column],
+           heads: DataFrame | None) -> DataFrame:
+    """Fold the events of each key in ``order``; ``link`` gives what the digest covers, from last hash and ``_body``.
 
-    With ``heads`` numbering and hashing go on where the stored chain ends, so the result does not depend on how
+    With ``heads`` positions and hashes go on where the stored chain ends, so the result does not depend on how
     the events were split into batches.
     """
-    start, done = F.lit(genesis), F.lit(0)
-    if heads is not None:
-        known = heads.select(*keys, F.col("head_hash").alias("_head"), F.col("position").alias("_done"))
-        events = events.join(known, keys, "left")
-        done = F.coalesce("_done", F.lit(0))
-    numbered = number_rows(events, keys, order, "position", slice_by).withColumn("position", F.col("position") + done)
-    segmented = numbered.withColumn("segment", F.floor((F.col("position") - 1) / segment_size))
-    if heads is not None:
-        continued = (F.floor(done / segment_size) == F.col("segment")) & (done % segment_size != 0)
-        start = F.when(continued, F.col("_head")).otherwise(F.lit(genesis))
-    kept = [c for c in segmented.columns if c not in (*keys, "segment", "position")]
-    # A group holds at most ``segment_size`` events.
-    grouped = segmented.groupBy(*keys, "segment").agg(
-        F.array_sort(
-            F.collect_list(F.struct("position", *kept)), lambda x, y: (x["position"] - y["position"]).cast("int")
-        ).alias("events"),
-        F.any_value(start).alias("start"),
-    )
-    hashes = F.aggregate(
-        "events",
-        F.array(F.col("start")),
-        lambda done, event: F.concat(done, F.array(link(F.element_at(done, -1), event))),
-    )
-    size = F.size("events")
-    rows = F.arrays_zip("events", F.slice("hashes", 1, size).alias("before"), F.slice("hashes", 2, size).alias("after"))
-    zipped = grouped.withColumn("hashes", hashes).select(*keys, "segment", F.inline(rows))
-    return zipped.select(
-        *keys, "segment", "events.*", F.col("before").alias("previous_hash"), F.col("after").alias("event_hash")
-    ).drop("_body", "_head", "_done")
-
-
-def build_chain(events: DataFrame, keys: list[str], order: list[Column], segment_size: int = SEGMENT_SIZE,
-                heads: DataFrame | None = None, details: Column | None = None,
-                slice_by: Column | None = None) -> DataFrame:
-    """Chain the events of each key in ``order``; adds position, segment, previous_hash and event_hash.
-
-    ``heads`` (see ``last_links``) appends to stored chains. Keys must not be null then. For ``slice_by`` see
-    ``slices``.
+    if heads is None:
+        events = events.withColumns({"_head": F.lit(genesis), "_done": F.lit(0).cast("long")})
+    else:
+        known = heads.select(*keys, F.col("head_hash").alias("_head"), F.col("position").cast("long").alias("_done"))
+        events = events.join(known, keys, "left").withColumns({
+            "_head": F.coalesce("_head", F.lit(genesis)), "_done": F.coalesce("_done", F.lit(0).cast("long"))
+        })
+    kept = [f for f in events.schema.fields if f.name not in ("_body", "_head", "_done")]
+    added = [T.StructField("position", T.LongType()), T.StructField("previous_hash", T.StringType()),
+             T.StructField("event_hash", T.StringType())]
+    names = [f.name for f in kept]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        started, chain, last, position = False, None, genesis, 0
+        for batch in batches:
+            before, after, places = [], [], []
+            owners = zip(*(batch.column(k).to_pylist() for k in keys), strict=True) if keys else [()] * batch.num_rows
+            bodies, starts, done = (batch.column(c).to_pylist() for c in ("_body", "_head", "_done"))
+            for owner, body, start, passed in zip(owners, bodies, starts, done, strict=True):
+                if not started or owner != chain:
+                    started, chain, last, position = True, owner, start, passed
+                position += 1
+                places.append(position)
+                before.append(last)
+                last = hashlib.sha256(link(last, body)).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in names), pa.array(places, pa.int64()), pa.array(before, pa.string()),
+                 pa.array(after, pa.string())],
+                names=[*names, "position", "previous_hash", "event_hash"],
+            )
+
+    dealt = events.repartition(*keys) if keys else events.repartition(1)
+    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(fold, T.StructType(kept + added))
+
+
+def build_chain(events: DataFrame, keys: list[str], order: list[Column], heads: DataFrame | None = None,
+                details: Column | None = None) -> DataFrame:
+    """Chain the events of each key in ``order``; adds position, previous_hash and event_hash.
+
+    ``heads`` (see ``last_links``) appends to stored chains. Keys must not be null then.
     """
-
-    def link(previous: Column, event: Column) -> Column:
-        return F.sha2(F.concat(event["_body"], F.lit('"'), previous, F.lit('"}')), 256)
-
-    prepared = events.withColumn("_body", ascii_json(_payload(details)))
-    return _chain(prepared, keys, link, GENESIS_HASH, order, segment_size, heads, slice_by)
+    kept = [c for c in events.columns if c not in ("position", "previous_hash", "event_hash")]
+    prepared = events.select(*kept, ascii_json(_payload(details)).alias("_body"))
+    return _chain(prepared, keys, lambda last, body: f'{body}"{last}"}}'.encode(), GENESIS_HASH, order, heads)
 
 
 def last_links(chained: DataFrame, keys: list[str]) -> DataFrame:
@@ -109,30 +111,25 @@ def last_links(chained: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def build_topic_chain(messages: DataFrame, keys: list[str], json_text: Column, order: list[Column],
-                      segment_size: int = SEGMENT_SIZE, heads: DataFrame | None = None,
-                      slice_by: Column | None = None) -> DataFrame:
+                      heads: DataFrame | None = None) -> DataFrame:
     """Chain in the topic format: SHA-256 of ``previous:json``, starting at the text ``genesis``."""
-
-    def link(previous: Column, event: Column) -> Column:
-        return F.sha2(F.concat(previous, F.lit(":"), event["_body"]), 256)
-
     prepared = messages.withColumn("_body", json_text)
-    return _chain(prepared, keys, link, TOPIC_GENESIS, order, segment_size, heads, slice_by)
+    return _chain(prepared, keys, lambda last, body: f"{last}:{body}".encode(), TOPIC_GENESIS, order, heads)
 
 
-def anchor_segments(chained: DataFrame, keys: list[str]) -> DataFrame:
-    """One event per segment that records its head, ready to be chained itself."""
-    tops = chained.groupBy(*keys, "segment").agg(
+def chain_anchors(chained: DataFrame, keys: list[str], every: int) -> DataFrame:
+    """Events that record the head of each unbroken chain after every ``every`` of its events, to be kept elsewhere."""
+    tops = chained.groupBy(*keys, F.floor((F.col("position") - 1) / every).alias("segment")).agg(
         F.max_by("event_hash", "position").alias("head"),
         F.max("occurred_at").alias("occurred_at"),
-        F.count("*").alias("size"),
+        F.max("position").alias("size"),
     )
     return tops.select(
         *keys,
         "segment",
-        F.lit("segment_closed").alias("event_type"),
-        F.lit("chain_segment").alias("entity_type"),
-        F.concat_ws("/", *keys, "segment").alias("entity_id"),
+        F.lit("chain_anchored").alias("event_type"),
+        F.lit("chain").alias("entity_type"),
+        F.concat_ws("/", *keys).alias("entity_id"),
         F.lit("system").alias("actor_id"),
         F.lit("").alias("description"),
         F.create_map(F.lit("head"), "head", F.lit("size"), F.col("size").cast("string")).alias("details"),

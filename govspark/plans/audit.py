@@ -12,7 +12,7 @@ from govspark.plans.registry import query, table
 from govspark.session import fresh_path
 from govspark.vocabulary import GENESIS_HASH
 
-_KEYS = ["chain_id", "segment"]
+_KEYS = ["chain_id"]
 _logs: dict[tuple[str, str], str] = {}
 
 
@@ -81,13 +81,22 @@ def foreign_digest(spark: SparkSession, folder: str) -> DataFrame:
     return events.select("id", a.digest(F.lit(GENESIS_HASH), F.col("details")).alias("event_hash"))
 
 
-@query("text_digest", """
-SELECT doc_id, sha256(to_json(text)) AS digest, length(text) AS size FROM documents WHERE text SIMILAR TO '[ -~]*'""")
+_ASCII = """array_to_string(list_transform(string_split(coalesce(text, ''), ''), lambda c: CASE
+    WHEN c = '"' THEN '\\"' WHEN c = '\\' THEN '\\\\' WHEN c = chr(10) THEN '\\n' WHEN c = chr(13) THEN '\\r' WHEN c = chr(9) THEN '\\t'
+    WHEN c = chr(8) THEN '\\b' WHEN c = chr(12) THEN '\\f'
+    WHEN unicode(c) < 32 OR unicode(c) BETWEEN 127 AND 65535 THEN '\\u' || lower(lpad(hex(unicode(c)), 4, '0'))
+    WHEN unicode(c) > 65535 THEN '\\u' || lower(hex(55296 + (unicode(c) - 65536) // 1024)) || '\\u' || lower(hex(56320 + (unicode(c) - 65536) % 1024))
+    ELSE c END), '')"""
+
+
+@query("text_digest", f"""
+SELECT doc_id, sha256('"' || {_ASCII} || '"') AS digest, length(text) AS size FROM documents""")
 def text_digest(spark: SparkSession, folder: str) -> DataFrame:
-    """Digest of the canonical JSON text of every plain (printable ASCII) document."""
-    plain = table(spark, folder, "documents").where(F.col("text").rlike(r"^[ -~]*\z"))
-    return plain.select("doc_id", F.sha2(json_string(F.col("text")), 256).alias("digest"),
-                        F.length("text").cast("bigint").alias("size"))
+    """Digest of the canonical JSON text of every document: all beyond ASCII escaped."""
+    return table(spark, folder, "documents").select(
+        "doc_id", F.sha2(json_string(F.col("text")), 256).alias("digest"),
+        F.length("text").cast("bigint").alias("size"),
+    )
 
 
 @query("digest_mismatch", f"""WITH RECURSIVE {d.CHAIN_SQL}, {_EDITED}
@@ -97,13 +106,13 @@ def digest_mismatch(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("build_chain", f"""WITH RECURSIVE {d.CHAIN_SQL}
-SELECT id, chain_id, (rn - 1) // 1000 AS segment, rn AS position, previous_hash, event_hash FROM chained""")
+SELECT id, chain_id, rn AS position, previous_hash, event_hash FROM chained""")
 def build_chain(spark: SparkSession, folder: str) -> DataFrame:
-    return chained(spark, folder).select("id", "chain_id", "segment", "position", "previous_hash", "event_hash")
+    return chained(spark, folder).select("id", "chain_id", "position", "previous_hash", "event_hash")
 
 
 @query("append_chain", f"""WITH RECURSIVE {d.CHAIN_SQL}
-SELECT id, chain_id, (rn - 1) // 1000 AS segment, rn AS position, previous_hash, event_hash FROM chained""")
+SELECT id, chain_id, rn AS position, previous_hash, event_hash FROM chained""")
 def append_chain(spark: SparkSession, folder: str) -> DataFrame:
     """Chain the first half of the month, then append the second half after the heads."""
     events = d.audit_events(spark, folder)
@@ -113,46 +122,68 @@ def append_chain(spark: SparkSession, folder: str) -> DataFrame:
     first = spark.read.parquet(path)
     heads = a.last_links(first, ["chain_id"])
     second = a.build_chain(events.where(~half), ["chain_id"], _order(), heads=heads)
-    return first.unionByName(second).select("id", "chain_id", "segment", "position", "previous_hash", "event_hash")
+    return first.unionByName(second).select("id", "chain_id", "position", "previous_hash", "event_hash")
+
+
+@query("build_long_chain", f"""WITH RECURSIVE {d.LONG_CHAIN_SQL}
+SELECT id, event_type, rn AS position, previous_hash, event_hash FROM chained""")
+def build_long_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """One chain per event type: thousands of events each, none of them cut."""
+    built = a.build_chain(d.audit_events(spark, folder), ["event_type"], _order())
+    return built.select("id", "event_type", "position", "previous_hash", "event_hash")
+
+
+@query("verify_long_chain", """
+SELECT event_type, count(*) - 1000 AS events, 1 AS orphans, false AS valid
+FROM events GROUP BY 1 HAVING count(*) > 1300""")
+def verify_long_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """Chains from which the thousand events at positions 201 to 1200 were deleted."""
+    path = fresh_path(spark, "long-chain")
+    a.build_chain(d.audit_events(spark, folder), ["event_type"], _order()).write.parquet(path)
+    stored = spark.read.parquet(path)
+    long_ones = stored.groupBy("event_type").count().where("count > 1300").select("event_type")
+    cut = stored.join(long_ones, "event_type", "left_semi").where("position <= 200 OR position > 1200")
+    verdicts = a.verify_chain(cut, ["event_type"])
+    return verdicts.select("event_type", "events", F.col("orphans").cast("int").alias("orphans"), "valid")
 
 
 @query("chain_anchors", f"""WITH RECURSIVE {d.CHAIN_SQL}
-SELECT chain_id, (rn - 1) // 1000 AS segment, arg_max(event_hash, rn) AS head, CAST(count(*) AS VARCHAR) AS size
+SELECT chain_id, (rn - 1) // 25 AS segment, arg_max(event_hash, rn) AS head, CAST(max(rn) AS VARCHAR) AS size
 FROM chained GROUP BY 1, 2""")
 def chain_anchors(spark: SparkSession, folder: str) -> DataFrame:
-    anchors = a.anchor_segments(stored_log(spark, folder), ["chain_id"])
+    """The head of every chain after every 25 events."""
+    anchors = a.chain_anchors(stored_log(spark, folder), ["chain_id"], 25)
     return anchors.select("chain_id", "segment", F.col("details")["head"].alias("head"),
                           F.col("details")["size"].alias("size"))
 
 
 _VERDICT = """marked AS (
   SELECT *, lag(event_hash) OVER w AS before, row_number() OVER w AS place FROM edited
-  WINDOW w AS (PARTITION BY chain_id, (rn - 1) // 1000 ORDER BY rn))"""
+  WINDOW w AS (PARTITION BY chain_id ORDER BY rn))"""
 
 
 @query("verify_chain", f"""WITH RECURSIVE {d.CHAIN_SQL}, {_EDITED}, {_VERDICT}
-SELECT chain_id, (rn - 1) // 1000 AS segment, count(*) AS events,
+SELECT chain_id, count(*) AS events,
        count(*) FILTER (WHERE computed <> event_hash) AS broken_digests,
        count(*) FILTER (WHERE previous_hash = '{d.ZEROS}') AS roots,
        bool_and(computed = event_hash AND previous_hash = CASE WHEN place = 1 THEN '{d.ZEROS}' ELSE before END) AS valid
-FROM marked GROUP BY 1, 2""")
+FROM marked GROUP BY 1""")
 def verify_chain(spark: SparkSession, folder: str) -> DataFrame:
     verdicts = a.verify_chain(tampered_log(spark, folder), _KEYS)
     return verdicts.select(*_KEYS, "events", "broken_digests", "roots", "valid")
 
 
 @query("verify_sound_chain", """
-SELECT user_id AS chain_id, (rn - 1) // 1000 AS segment, count(*) AS events, true AS valid
-FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) GROUP BY 1, 2""")
+SELECT user_id AS chain_id, count(*) AS events, true AS valid FROM events GROUP BY 1""")
 def verify_sound_chain(spark: SparkSession, folder: str) -> DataFrame:
     return a.verify_chain(stored_log(spark, folder), _KEYS).select(*_KEYS, "events", "valid")
 
 
 @query("chain_defects", f"""WITH RECURSIVE {d.CHAIN_SQL}, {_EDITED}, roots AS (
-  SELECT chain_id, (rn - 1) // 1000 AS segment, count(*) AS n FROM edited WHERE previous_hash = '{d.ZEROS}' GROUP BY 1, 2)
+  SELECT chain_id, count(*) AS n FROM edited WHERE previous_hash = '{d.ZEROS}' GROUP BY 1)
 SELECT id, e.chain_id, concat_ws(',', CASE WHEN computed <> event_hash THEN 'digest' END,
        CASE WHEN previous_hash = '{d.ZEROS}' AND n > 1 THEN 'fork' END) AS reasons
-FROM edited e LEFT JOIN roots r ON r.chain_id = e.chain_id AND r.segment = (e.rn - 1) // 1000
+FROM edited e LEFT JOIN roots r ON r.chain_id = e.chain_id
 WHERE computed <> event_hash OR (previous_hash = '{d.ZEROS}' AND n > 1)""")
 def chain_defects(spark: SparkSession, folder: str) -> DataFrame:
     found = a.chain_defects(tampered_log(spark, folder), _KEYS)
@@ -169,7 +200,7 @@ def verify_prefix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("chain_head", f"""WITH RECURSIVE {d.CHAIN_SQL}
-SELECT chain_id, (rn - 1) // 1000 AS segment, arg_max(event_hash, rn) AS head_hash FROM chained GROUP BY 1, 2""")
+SELECT chain_id, arg_max(event_hash, rn) AS head_hash FROM chained GROUP BY 1""")
 def chain_head(spark: SparkSession, folder: str) -> DataFrame:
     return a.chain_heads(stored_log(spark, folder), _KEYS)
 
@@ -194,10 +225,10 @@ def topic_messages(spark: SparkSession, folder: str) -> DataFrame:
 @query("kafka_chain", f"""WITH RECURSIVE {_TOPIC_SQL}, numbered AS (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM messages),
 chained AS (
-  SELECT event_id, user_id, rn, sha256('genesis:' || body) AS event_hash FROM numbered WHERE (rn - 1) % 1000 = 0
+  SELECT event_id, user_id, rn, sha256('genesis:' || body) AS event_hash FROM numbered WHERE rn = 1
   UNION ALL
   SELECT n.event_id, n.user_id, n.rn, sha256(c.event_hash || ':' || n.body)
-  FROM chained c JOIN numbered n ON n.user_id = c.user_id AND n.rn = c.rn + 1 AND (n.rn - 1) % 1000 <> 0)
+  FROM chained c JOIN numbered n ON n.user_id = c.user_id AND n.rn = c.rn + 1)
 SELECT event_id AS id, user_id AS chain_id, event_hash FROM chained""")
 def kafka_chain(spark: SparkSession, folder: str) -> DataFrame:
     built = a.build_topic_chain(topic_messages(spark, folder), ["chain_id"], F.col("value"), _order())

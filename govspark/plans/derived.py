@@ -287,13 +287,19 @@ AUDIT_SQL = f"""audit AS (
 
 ZEROS = "0" * 64
 
-CHAIN_SQL = f"""{AUDIT_SQL}, numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY ts, id) AS rn FROM audit),
+def _chain_sql(key: str) -> str:
+    """DuckDB text of one unbroken chain per ``key`` of the audit events."""
+    return f"""{AUDIT_SQL}, numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY ts, id) AS rn FROM audit),
 chained AS (
   SELECT id, chain_id, event_type, entity_id, ts, body, rn, '{ZEROS}' AS previous_hash,
          sha256(body || '{ZEROS}' || '"}}') AS event_hash
-  FROM numbered WHERE (rn - 1) % 1000 = 0
+  FROM numbered WHERE rn = 1
   UNION ALL
   SELECT n.id, n.chain_id, n.event_type, n.entity_id, n.ts, n.body, n.rn, c.event_hash,
          sha256(n.body || c.event_hash || '"}}')
-  FROM chained c JOIN numbered n ON n.chain_id = c.chain_id AND n.rn = c.rn + 1 AND (n.rn - 1) % 1000 <> 0)"""
+  FROM chained c JOIN numbered n ON n.{key} = c.{key} AND n.rn = c.rn + 1)"""
+
+
+CHAIN_SQL = _chain_sql("chain_id")
+LONG_CHAIN_SQL = _chain_sql("event_type")

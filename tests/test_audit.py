@@ -81,25 +81,29 @@ def test_chain_equals_python_fold(spark, contents):
     assert [(r.previous_hash, r.event_hash) for r in got] == expected
 
 
-def test_segments_and_heads(spark):
-    events = [event(i, chain) for chain in "xy" for i in range(7)]
-    chained = build(spark, events, segment_size=3)
-    starts = [r.position for r in chained.where((F.col("previous_hash") == GENESIS_HASH) & (F.col("chain") == "x")).collect()]
-    assert sorted(starts) == [1, 4, 7]
-    assert all(r.valid for r in a.verify_chain(chained, ["chain", "segment"]).collect())
-    anchors = a.anchor_segments(chained, ["chain"])
-    assert anchors.count() == 6 and {r.details["size"] for r in anchors.collect()} == {"3", "1"}
+def test_long_chain_is_unbroken(spark):
+    """No event count restarts a chain, and a thousand deleted events are noticed."""
+    events = [event(i) for i in range(2600)]
+    chained = build(spark, events)
+    assert chained.where(F.col("previous_hash") == GENESIS_HASH).count() == 1
+    assert a.verify_chain(chained, ["chain"]).first().valid
+    cut = a.verify_chain(chained.where("position <= 900 OR position > 1900"), ["chain"]).first()
+    assert not cut.valid and cut.orphans == 1 and cut.events == 1600
+    anchors = a.chain_anchors(chained, ["chain"], 1000).orderBy("segment").collect()
+    assert [r.details["size"] for r in anchors] == ["1000", "2000", "2600"]
+    heads = {str(r.position): r.event_hash for r in chained.where("position in (1000, 2000, 2600)").collect()}
+    assert {r.details["size"]: r.details["head"] for r in anchors} == heads
 
 
 @pytest.mark.parametrize("cut", [1, 2, 3, 5, 6])
 def test_appending_equals_building_at_once(spark, tmp_path, cut):
     events = [event(i, chain) for chain in "xy" for i in range(7) if chain == "x" or i > 2]
-    whole = build(spark, events, segment_size=3)
+    whole = build(spark, events)
     path = str(tmp_path / "log")
-    build(spark, [e for e in events if e["id"] < cut], segment_size=3).write.parquet(path)
+    build(spark, [e for e in events if e["id"] < cut]).write.parquet(path)
     stored = spark.read.parquet(path)
-    later = build(spark, [e for e in events if e["id"] >= cut], segment_size=3, heads=a.last_links(stored, ["chain"]))
-    columns = ("chain", "segment", "position", "previous_hash", "event_hash")
+    later = build(spark, [e for e in events if e["id"] >= cut], heads=a.last_links(stored, ["chain"]))
+    columns = ("chain", "position", "previous_hash", "event_hash")
     assert rows(stored.unionByName(later), *columns) == rows(whole, *columns)
 
 
@@ -186,11 +190,11 @@ def test_hot_chain(spark):
         F.concat(F.lit("m"), "id").alias("value"),
     )
     order = [F.greatest("id", F.lit(3000)), F.col("id")]
-    built = a.build_topic_chain(data, ["chain"], F.col("value"), order, segment_size=500)
+    built = a.build_topic_chain(data, ["chain"], F.col("value"), order)
     hot = [r.asDict() for r in built.where("chain = 'hot'").orderBy("position").collect()]
     assert [r["position"] for r in hot] == list(range(1, 4001))
     for number, row in enumerate(hot):
-        previous = "genesis" if number % 500 == 0 else hot[number - 1]["event_hash"]
+        previous = hot[number - 1]["event_hash"] if number else "genesis"
         assert row["event_hash"] == hashlib.sha256(f"{previous}:{row['value']}".encode()).hexdigest()
 
 

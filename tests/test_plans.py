@@ -56,7 +56,7 @@ def test_first_rows_are_cut_before_the_shuffle(spark, sf):
 
 
 def test_verification_is_one_scan_and_no_join(spark, sf):
-    text = plan(verify_chain(stored_log(spark, sf), ["chain_id", "segment"]))
+    text = plan(verify_chain(stored_log(spark, sf), ["chain_id"]))
     assert text.count("FileScan") == 1 and "Join" not in text and text.count("Exchange") == 2
 
 
