@@ -99,8 +99,8 @@ def classify_votes(decisions: DataFrame, votes: DataFrame, roles: DataFrame,
         closing, "decision_id", "left"
     )
     if vetoes is not None:
-        vetoed = eligible_vetoes(decisions, vetoes, roles).groupBy("decision_id").agg(F.min("vetoed_at").alias("_vetoed"))
-        subject = subject.join(vetoed, "decision_id", "left")
+        vetoed = _first_veto(eligible_vetoes(decisions, vetoes, roles))
+        subject = subject.join(vetoed.select("decision_id", F.col("_first.vetoed_at").alias("_vetoed")), "decision_id", "left")
     holder = roles.select(F.col("user_id").alias("voter_id"), "domain_id", F.col("role").alias("voter_role"))
     joined = (
         votes.join(_earliest(votes).select("decision_id", "voter_id", "_first"), ["decision_id", "voter_id"], "left")
@@ -123,6 +123,11 @@ def classify_votes(decisions: DataFrame, votes: DataFrame, roles: DataFrame,
     )
 
 
+def accepted_votes(decisions: DataFrame, votes: DataFrame, roles: DataFrame, vetoes: DataFrame | None = None) -> DataFrame:
+    """The votes that are stored: those that ``classify_votes`` does not refuse."""
+    return classify_votes(decisions, votes, roles, vetoes).where("rejected_because IS NULL").drop("rejected_because")
+
+
 def _earliest(votes: DataFrame) -> DataFrame:
     """Earliest vote per decision and voter.
 
@@ -157,7 +162,7 @@ def _closing(first: DataFrame, roles: DataFrame) -> DataFrame:
     per_decision = first.groupBy("decision_id", "domain_id").agg(
         F.min(F.when(F.col("vote") == "reject", F.col("_first"))).alias("_rejected"),
         F.max(F.when(approver, F.col("_first"))).alias("_last_approval"),
-        F.count_if(approver).alias("required_approvals"),
+        F.count_distinct(F.when(approver, F.col("voter_id"))).alias("required_approvals"),
     )
     joined = per_decision.join(_required(roles), "domain_id", "left")
     done = F.coalesce(F.col("required") > 0, F.lit(False)) & (F.col("required_approvals") == F.col("required"))
@@ -195,8 +200,8 @@ def decision_outcomes(decisions: DataFrame, votes: DataFrame, roles: DataFrame,
     if vetoes is None:
         joined = joined.withColumn("t_veto", F.lit(None).cast(dict(votes.dtypes)["voted_at"]))
     else:
-        first = eligible_vetoes(decisions, vetoes, roles).groupBy("decision_id").agg(F.min("vetoed_at").alias("t_veto"))
-        joined = joined.join(first, "decision_id", "left")
+        first = _first_veto(eligible_vetoes(decisions, vetoes, roles))
+        joined = joined.join(first.select("decision_id", F.col("_first.vetoed_at").alias("t_veto")), "decision_id", "left")
     closed = F.least("t_reject", "t_approve", "t_veto")
     rejected_first = F.col("t_approve").isNull() | (
         F.struct("t_reject", "reject_id") < F.struct(F.col("t_approve"), F.col("approve_id"))
@@ -233,17 +238,64 @@ def invalid_transitions(history: DataFrame, keys: list[str], order: list[Column]
 # --- vetoes ---------------------------------------------------------------------------------------------------
 
 
+def classify_vetoes(decisions: DataFrame, vetoes: DataFrame, roles: DataFrame, votes: DataFrame | None = None) -> DataFrame:
+    """Every veto with its expiry and the reason why it is refused (null if it is stored).
+
+    Stored is the first veto by an eligible role, if it comes before any vote that closes the decision; it closes the
+    decision itself, so a decision has one stored veto at most. A vote precedes a veto of the same instant.
+    """
+    subject = decisions.select(
+        F.col("id").alias("decision_id"), "domain_id", "decision_type", F.col("status").alias("_status")
+    )
+    first = _first_veto(eligible_vetoes(decisions, vetoes, roles))
+    subject = subject.join(first, "decision_id", "left")
+    if votes is not None:
+        closing = _closing(first_votes(decisions, votes, roles), roles).select(
+            "decision_id", F.col("_closed.voted_at").alias("_closed")
+        )
+        subject = subject.join(closing, "decision_id", "left")
+    else:
+        subject = subject.withColumn("_closed", F.lit(None).cast(dict(vetoes.dtypes)["vetoed_at"]))
+    holder = roles.select(F.col("user_id").alias("vetoed_by"), "domain_id", F.col("role").alias("vetoed_by_role"))
+    joined = vetoes.join(subject, "decision_id", "left").join(holder, ["vetoed_by", "domain_id"], "left")
+    closed = (F.struct("vetoed_at", "id") > F.col("_first")) | (F.col("_closed") <= F.col("vetoed_at"))
+    reason = (
+        F.when(F.col("_status").isNull(), "unknown decision")
+        .when(F.col("_status") != "awaiting_approval", "not awaiting approval")
+        .when(F.coalesce(closed, F.lit(False)), "decision closed")
+        .when(F.col("vetoed_by_role").isNull(), "no role in domain")
+        .when(~F.col("vetoed_by_role").isin(*VETO_ROLES), "role not eligible")
+    )
+    return joined.withColumns({"expires_at": _expiry(), "refused_because": reason}).drop("_status", "_first", "_closed")
+
+
+def stored_vetoes(decisions: DataFrame, vetoes: DataFrame, roles: DataFrame, votes: DataFrame | None = None) -> DataFrame:
+    """The vetoes that are stored, at most one per decision, all active."""
+    kept = classify_vetoes(decisions, vetoes, roles, votes).where("refused_because IS NULL").drop("refused_because")
+    return kept.withColumn("status", F.lit("active"))
+
+
+def _first_veto(eligible: DataFrame) -> DataFrame:
+    """Stamp of the first eligible veto of each decision. A later one never counts: this one closed the decision,
+    or the votes had closed it before."""
+    return eligible.groupBy("decision_id").agg(F.min(F.struct("vetoed_at", "id")).alias("_first"))
+
+
+def _expiry() -> Column:
+    hours = F.when(F.col("decision_type") == "emergency", EMERGENCY_VETO_HOURS).otherwise(VETO_HOURS)
+    return F.col("vetoed_at") + F.make_dt_interval(F.lit(0), hours)
+
+
 def eligible_vetoes(decisions: DataFrame, vetoes: DataFrame, roles: DataFrame) -> DataFrame:
-    """Vetoes by an eligible role on a decision that awaits approval, with their expiry."""
+    """Vetoes by an eligible role on a decision that awaited approval at first, with their expiry; whether one is
+    stored depends on what came before it (``classify_vetoes``)."""
     subject = decisions.where("status = 'awaiting_approval'").select(
         F.col("id").alias("decision_id"), "domain_id", "decision_type"
     )
     holder = roles.where(F.col("role").isin(*VETO_ROLES)).select(
         F.col("user_id").alias("vetoed_by"), "domain_id", F.col("role").alias("vetoed_by_role")
     )
-    hours = F.when(F.col("decision_type") == "emergency", EMERGENCY_VETO_HOURS).otherwise(VETO_HOURS)
-    expiry = F.col("vetoed_at") + F.make_dt_interval(F.lit(0), hours)
-    return vetoes.join(subject, "decision_id").join(holder, ["vetoed_by", "domain_id"]).withColumn("expires_at", expiry)
+    return vetoes.join(subject, "decision_id").join(holder, ["vetoed_by", "domain_id"]).withColumn("expires_at", _expiry())
 
 
 def expired_vetoes(vetoes: DataFrame, as_of: Column) -> DataFrame:
@@ -257,9 +309,11 @@ def role_rank(role: Column) -> Column:
 
 
 def judge_overrides(overrides: DataFrame, vetoes: DataFrame, decisions: DataFrame, roles: DataFrame) -> DataFrame:
-    """Every override attempt (``veto_id``, ``overridden_by``) with the reason for its refusal, null if legal.
+    """Every override attempt (``veto_id``, ``overridden_by``, ``attempted_at``) with the reason for its refusal, null
+    if it takes effect.
 
-    Needs an active veto and a role in the domain that ranks strictly higher than the one that vetoed.
+    Needs an active veto and a role in the domain that ranks strictly higher than the one that vetoed. The first
+    such attempt ends the veto; for later ones it is not active. Attempts of one instant go by user.
     """
     subject = decisions.select(F.col("id").alias("decision_id"), "domain_id")
     veto = vetoes.select(F.col("id").alias("veto_id"), "decision_id", "vetoed_by_role", F.col("status").alias("veto_status"))
@@ -276,14 +330,19 @@ def judge_overrides(overrides: DataFrame, vetoes: DataFrame, decisions: DataFram
         .when(F.col("override_role").isNull(), "no role in domain")
         .when(role_rank(F.col("override_role")) <= role_rank(F.col("vetoed_by_role")), "rank too low")
     )
-    return joined.withColumn("refused_because", reason)
+    judged = joined.withColumn("refused_because", reason)
+    stamp = F.struct("attempted_at", "overridden_by")
+    first = judged.groupBy("veto_id").agg(F.min(F.when(F.col("refused_because").isNull(), stamp)).alias("_first"))
+    known = ~F.coalesce(F.col("refused_because").isin("unknown veto", "veto not active"), F.lit(False))
+    late = known & F.coalesce(stamp > F.col("_first"), F.lit(False))
+    return judged.join(first, "veto_id").withColumn(
+        "refused_because", F.when(late, "veto not active").otherwise(F.col("refused_because"))
+    ).drop("_first")
 
 
 def apply_overrides(vetoes: DataFrame, judged: DataFrame) -> DataFrame:
     """Vetoes after the legal overrides: status and the user, the time stays empty, the decision stays vetoed."""
-    legal = judged.where("refused_because IS NULL").groupBy(F.col("veto_id").alias("id")).agg(
-        F.min("overridden_by").alias("overridden_by")
-    )
+    legal = judged.where("refused_because IS NULL").select(F.col("veto_id").alias("id"), "overridden_by").distinct()
     joined = vetoes.drop("overridden_by").join(legal, "id", "left")
     return joined.withColumn("status", F.when(F.col("overridden_by").isNotNull(), "overridden").otherwise(F.col("status")))
 

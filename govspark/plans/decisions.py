@@ -23,14 +23,6 @@ def list_decisions(spark: SparkSession, folder: str) -> DataFrame:
     return page.select("id", "title", "status", "domain_id")
 
 
-@query("decision_votes", f"""WITH {d.VOTES_SQL}
-SELECT decision_id, id, voter_id, vote, row_number() OVER (PARTITION BY decision_id ORDER BY voted_at, id) AS position
-FROM votes""")
-def decision_votes(spark: SparkSession, folder: str) -> DataFrame:
-    numbered = g.numbered_votes(d.votes(spark, folder))
-    return numbered.select("decision_id", "id", "voter_id", "vote", "position")
-
-
 @query("one_decision_votes", f"""WITH {d.VOTES_SQL}
 SELECT id, voter_id, vote FROM votes WHERE decision_id = (SELECT max(o_orderkey) // 2 FROM orders)""")
 def one_decision_votes(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,20 +125,27 @@ closed AS (
   FROM closing)"""
 
 
-@query("valid_votes", f"""WITH {_FIRST_SQL}, numbered AS (
-  SELECT s.*, o.seq, least(c.reject_seq, c.approve_seq) AS closed_seq, f.id AS first_id, f.voted_at AS first_at
+_VOTES_SQL = f"""{_FIRST_SQL}, {d.JUDGED_VETOES_SQL}, numbered AS (
+  SELECT s.*, o.seq, least(c.reject_seq, c.approve_seq) AS closed_seq, f.id AS first_id, f.voted_at AS first_at,
+         (SELECT min(x.vetoed_at) FROM stored x WHERE x.decision_id = s.decision_id) AS vetoed_at
   FROM seen s JOIN ordered o ON o.id = s.id AND o.decision_id = s.decision_id AND o.voter_id = s.voter_id
     AND o.voted_at = s.voted_at
   LEFT JOIN closed c ON c.decision_id = s.decision_id
-  LEFT JOIN firsts f ON f.decision_id = s.decision_id AND f.voter_id = s.voter_id)
-SELECT decision_id, id, voter_id, role AS voter_role, vote,
-       CASE WHEN status IS NULL THEN 'unknown decision' WHEN status <> 'awaiting_approval' THEN 'not awaiting approval'
-            WHEN seq > closed_seq THEN 'decision closed' WHEN role IS NULL THEN 'no role in domain'
-            WHEN id <> first_id OR voted_at <> first_at THEN 'already voted' END AS rejected_because
-FROM numbered""")
+  LEFT JOIN firsts f ON f.decision_id = s.decision_id AND f.voter_id = s.voter_id),
+judged_votes AS (
+  SELECT decision_id, domain_id, id, voter_id, role AS voter_role, vote, voted_at,
+         CASE WHEN status IS NULL THEN 'unknown decision' WHEN status <> 'awaiting_approval' THEN 'not awaiting approval'
+              WHEN seq > closed_seq OR voted_at > vetoed_at THEN 'decision closed' WHEN role IS NULL THEN 'no role in domain'
+              WHEN id <> first_id OR voted_at <> first_at THEN 'already voted' END AS rejected_because
+  FROM numbered),
+accepted AS (SELECT * FROM judged_votes WHERE rejected_because IS NULL)"""
+
+
+@query("valid_votes", f"""WITH {_VOTES_SQL}
+SELECT decision_id, id, voter_id, voter_role, vote, rejected_because FROM judged_votes""")
 def valid_votes(spark: SparkSession, folder: str) -> DataFrame:
-    decisions, votes, roles, _ = _governance(spark, folder)
-    classified = g.classify_votes(decisions, votes, roles)
+    decisions, votes, roles, vetoes = _governance(spark, folder)
+    classified = g.classify_votes(decisions, votes, roles, vetoes)
     return classified.select("decision_id", "id", "voter_id", "voter_role", "vote", "rejected_because")
 
 
@@ -160,7 +159,7 @@ def approval_complete(spark: SparkSession, folder: str) -> DataFrame:
     return g.approval_progress(decisions, votes, roles)
 
 
-_OUTCOME_SQL = f"""{_FIRST_SQL}, {d.STORED_VETOES_SQL},
+_OUTCOME_SQL = f"""{_FIRST_SQL}, {d.JUDGED_VETOES_SQL},
 first_veto AS (SELECT decision_id, min(vetoed_at) AS t_veto FROM stored GROUP BY 1),
 timed AS (
   SELECT d.id AS decision_id, d.domain_id, c.reject_seq, c.approve_seq, r.voted_at AS t_reject, a.voted_at AS t_approve,
@@ -197,21 +196,32 @@ def implied_audit_events(spark: SparkSession, folder: str) -> DataFrame:
     return g.implied_events(_outcomes(spark, folder)).withColumn("occurred_at", F.date_format("occurred_at", "yyyy-MM-dd"))
 
 
-@query("vote_tally", f"""WITH {d.VOTES_SQL}
-SELECT decision_id, count(*) FILTER (WHERE vote = 'approve') AS approve_votes,
-       count(*) FILTER (WHERE vote = 'reject') AS reject_votes, count(*) FILTER (WHERE vote = 'abstain') AS abstain_votes
-FROM votes GROUP BY 1""")
+def _accepted(spark: SparkSession, folder: str) -> DataFrame:
+    decisions, votes, roles, vetoes = _governance(spark, folder)
+    return g.accepted_votes(decisions, votes, roles, vetoes)
+
+
+_TALLY_SQL = """count(*) FILTER (WHERE vote = 'approve') AS approve_votes, count(*) FILTER (WHERE vote = 'reject') AS reject_votes,
+       count(*) FILTER (WHERE vote = 'abstain') AS abstain_votes"""
+
+
+@query("decision_votes", f"""WITH {_VOTES_SQL}
+SELECT decision_id, id, voter_id, vote, row_number() OVER (PARTITION BY decision_id ORDER BY voted_at, id) AS position
+FROM accepted""")
+def decision_votes(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored votes of every decision in time order."""
+    numbered = g.numbered_votes(_accepted(spark, folder))
+    return numbered.select("decision_id", "id", "voter_id", "vote", "position")
+
+
+@query("vote_tally", f"WITH {_VOTES_SQL} SELECT decision_id, {_TALLY_SQL} FROM accepted GROUP BY 1")
 def vote_tally(spark: SparkSession, folder: str) -> DataFrame:
-    return g.vote_tally(d.votes(spark, folder))
+    return g.vote_tally(_accepted(spark, folder))
 
 
-@query("vote_tally_by_role", f"""WITH {_FIRST_SQL}
-SELECT domain_id, role AS voter_role, count(*) FILTER (WHERE vote = 'approve') AS approve_votes,
-       count(*) FILTER (WHERE vote = 'reject') AS reject_votes, count(*) FILTER (WHERE vote = 'abstain') AS abstain_votes
-FROM firsts GROUP BY 1, 2""")
+@query("vote_tally_by_role", f"WITH {_VOTES_SQL} SELECT domain_id, voter_role, {_TALLY_SQL} FROM accepted GROUP BY 1, 2")
 def vote_tally_by_role(spark: SparkSession, folder: str) -> DataFrame:
-    decisions, votes, roles, _ = _governance(spark, folder)
-    return g.vote_tally(g.first_votes(decisions, votes, roles), ["domain_id", "voter_role"])
+    return g.vote_tally(_accepted(spark, folder), ["domain_id", "voter_role"])
 
 
 _STATUS_OF = {"signup": "pending", "click": "awaiting_approval", "view": "awaiting_approval", "purchase": "approved",
@@ -235,14 +245,23 @@ def invalid_transitions(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("event_id", "user_id", "previous_status", "status")
 
 
+@query("veto_refusals", f"""WITH {_FIRST_SQL}, {d.JUDGED_VETOES_SQL}
+SELECT id, decision_id, vetoed_by, vetoed_by_role, refused_because FROM judged_vetoes""")
+def veto_refusals(spark: SparkSession, folder: str) -> DataFrame:
+    """Every veto with the reason why it is refused."""
+    decisions, votes, roles, vetoes = _governance(spark, folder)
+    judged = g.classify_vetoes(decisions, vetoes, roles, votes)
+    return judged.select("id", "decision_id", "vetoed_by", "vetoed_by_role", "refused_because")
+
+
 def stored_vetoes(spark: SparkSession, folder: str) -> DataFrame:
-    """Eligible vetoes as the veto table holds them; one in nine has ended already."""
-    decisions, _, roles, vetoes = _governance(spark, folder)
+    """Stored vetoes as the veto table holds them later; one in nine has ended already."""
+    decisions, votes, roles, vetoes = _governance(spark, folder)
     ended = F.pmod(F.col("decision_id"), F.lit(9)) == 0
-    return g.eligible_vetoes(decisions, vetoes, roles).withColumn("status", F.when(ended, "expired").otherwise("active"))
+    return g.stored_vetoes(decisions, vetoes, roles, votes).withColumn("status", F.when(ended, "expired").otherwise("active"))
 
 
-_STORED_SQL = f"""{d.DECISIONS_SQL}, {d.ROLES_SQL}, {d.VETOES_SQL}, {d.STORED_VETOES_SQL},
+_STORED_SQL = f"""{_FIRST_SQL}, {d.JUDGED_VETOES_SQL},
 kept AS (SELECT *, CASE WHEN decision_id % 9 = 0 THEN 'expired' ELSE 'active' END AS status FROM stored)"""
 
 
@@ -262,28 +281,38 @@ def expired_vetoes(spark: SparkSession, folder: str) -> DataFrame:
     return g.expired_vetoes(stored_vetoes(spark, folder), as_of).select("id", "decision_id")
 
 
+#: Two users try to override every veto, the one with the higher number first.
 _OVERRIDE_SQL = f"""{_STORED_SQL}, attempts AS (
-  SELECT id AS veto_id, 'u' || (decision_id % 8 + 1) AS overridden_by FROM vetoes),
-judged AS (
-  SELECT a.veto_id, a.overridden_by, k.vetoed_by_role, r.role AS override_role,
+  SELECT id AS veto_id, 'u' || ((decision_id + 3 * n) % 8 + 1) AS overridden_by, vetoed_at + INTERVAL 1 MINUTE * (2 - n) AS attempted_at
+  FROM vetoes, (VALUES (0), (1)) AS tries(n)),
+lawful AS (
+  SELECT a.veto_id, a.overridden_by, a.attempted_at, k.vetoed_by_role, r.role AS override_role,
          CASE WHEN k.id IS NULL THEN 'unknown veto' WHEN k.status <> 'active' THEN 'veto not active'
               WHEN r.role IS NULL THEN 'no role in domain'
               WHEN (CASE r.role WHEN 'accountable' THEN 3 WHEN 'responsible' THEN 2 WHEN 'consulted' THEN 1 ELSE 0 END)
                 <= (CASE k.vetoed_by_role WHEN 'accountable' THEN 3 WHEN 'responsible' THEN 2 WHEN 'consulted' THEN 1 ELSE 0 END)
-              THEN 'rank too low' END AS refused_because
+              THEN 'rank too low' END AS lawless
   FROM attempts a LEFT JOIN kept k ON k.id = a.veto_id
-  LEFT JOIN roles r ON r.user_id = a.overridden_by AND r.domain_id = k.domain_id)"""
+  LEFT JOIN roles r ON r.user_id = a.overridden_by AND r.domain_id = k.domain_id),
+judged AS (
+  SELECT l.* EXCLUDE (lawless), CASE WHEN coalesce(lawless, '') NOT IN ('unknown veto', 'veto not active') AND EXISTS (
+      SELECT 1 FROM lawful e WHERE e.veto_id = l.veto_id AND e.lawless IS NULL AND e.attempted_at < l.attempted_at)
+    THEN 'veto not active' ELSE lawless END AS refused_because
+  FROM lawful l)"""
 
 
 def _judged(spark: SparkSession, folder: str) -> DataFrame:
     decisions, _, roles, vetoes = _governance(spark, folder)
-    attempts = vetoes.select(
-        F.col("id").alias("veto_id"), F.concat(F.lit("u"), F.col("decision_id") % 8 + 1).alias("overridden_by")
+    attempts = vetoes.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        F.col("id").alias("veto_id"),
+        F.concat(F.lit("u"), (F.col("decision_id") + 3 * F.col("n")) % 8 + 1).alias("overridden_by"),
+        (F.col("vetoed_at") + F.make_dt_interval(mins=F.lit(2) - F.col("n"))).alias("attempted_at"),
     )
     return g.judge_overrides(attempts, stored_vetoes(spark, folder), decisions, roles)
 
 
-@query("veto_overrides", f"WITH {_OVERRIDE_SQL} SELECT * FROM judged")
+@query("veto_overrides", f"""WITH {_OVERRIDE_SQL}
+SELECT veto_id, overridden_by, vetoed_by_role, override_role, refused_because FROM judged""")
 def veto_overrides(spark: SparkSession, folder: str) -> DataFrame:
     return _judged(spark, folder).select("veto_id", "overridden_by", "vetoed_by_role", "override_role", "refused_because")
 

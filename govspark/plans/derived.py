@@ -233,12 +233,27 @@ VETOES_SQL = f"""vetoes AS (
 
 GOVERNANCE_SQL = f"{DECISIONS_SQL}, {VOTES_SQL}, {ROLES_SQL}, {VETOES_SQL}"
 
-STORED_VETOES_SQL = """stored AS (
-  SELECT v.*, r.role AS vetoed_by_role, d.domain_id,
-         v.vetoed_at + CASE WHEN d.decision_type = 'emergency' THEN INTERVAL 1 HOUR ELSE INTERVAL 24 HOUR END AS expires_at
-  FROM vetoes v JOIN decisions d ON d.id = v.decision_id AND d.status = 'awaiting_approval'
-  JOIN roles r ON r.user_id = v.vetoed_by AND r.domain_id = d.domain_id
-  WHERE r.role IN ('accountable', 'responsible'))"""
+#: What a veto needs: an awaiting decision, no closing vote up to its instant, no stored veto before, an eligible role.
+#: ``closed`` holds the sequence numbers of the closing votes (see plans/decisions.py), ``ordered`` the votes by number.
+JUDGED_VETOES_SQL = """veto_candidates AS (
+  SELECT v.*, d.id AS known_decision, d.status, d.domain_id, r.role AS vetoed_by_role,
+         v.vetoed_at + CASE WHEN d.decision_type = 'emergency' THEN INTERVAL 1 HOUR ELSE INTERVAL 24 HOUR END AS expires_at,
+         (SELECT min(o.voted_at) FROM closed c JOIN ordered o ON o.seq = least(c.reject_seq, c.approve_seq)
+          WHERE c.decision_id = v.decision_id) AS vote_closed_at
+  FROM vetoes v LEFT JOIN decisions d ON d.id = v.decision_id
+  LEFT JOIN roles r ON r.user_id = v.vetoed_by AND r.domain_id = d.domain_id),
+veto_order AS (
+  SELECT *, sum(CASE WHEN status = 'awaiting_approval' AND vetoed_by_role IN ('accountable', 'responsible') THEN 1 ELSE 0 END)
+            OVER (PARTITION BY decision_id ORDER BY vetoed_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS eligible_before
+  FROM veto_candidates),
+judged_vetoes AS (
+  SELECT *, CASE WHEN known_decision IS NULL THEN 'unknown decision'
+                 WHEN status <> 'awaiting_approval' THEN 'not awaiting approval'
+                 WHEN vote_closed_at <= vetoed_at OR eligible_before > 0 THEN 'decision closed'
+                 WHEN vetoed_by_role IS NULL THEN 'no role in domain'
+                 WHEN vetoed_by_role NOT IN ('accountable', 'responsible') THEN 'role not eligible' END AS refused_because
+  FROM veto_order),
+stored AS (SELECT * EXCLUDE (status) FROM judged_vetoes WHERE refused_because IS NULL)"""
 
 
 def assignments(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from govspark.operators.expectations import Expectation
 from govspark.plans import derived as d
 from govspark.plans.audit import topic_messages
-from govspark.plans.decisions import stored_vetoes
+from govspark.plans.decisions import _FIRST_SQL, stored_vetoes
 from govspark.plans.lineage import EVENTS_SQL, run_events
 from govspark.plans.observability import _BIN
 from govspark.plans.registry import query, table
@@ -135,7 +135,7 @@ def stream_lineage(spark: SparkSession, folder: str) -> DataFrame:
     return _finish(spark, s.stream_edges(stream), "edges").select("source_urn", "target_urn", "job_urn")
 
 
-_VETO_SQL = f"""{d.DECISIONS_SQL}, {d.ROLES_SQL}, {d.VETOES_SQL}, {d.STORED_VETOES_SQL}"""
+_VETO_SQL = f"""{_FIRST_SQL}, {d.JUDGED_VETOES_SQL}"""
 
 
 @query("stream_veto_expiry", f"""WITH {_VETO_SQL}
