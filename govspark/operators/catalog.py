@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,9 +82,14 @@ def upsert(catalog: DataFrame, changes: DataFrame, key: str = "dataset_id", upda
 
 
 def search(catalog: DataFrame, keyword: str, fields: list[str], limit: int = 20, order: str = "dataset_id") -> DataFrame:
-    """Case-insensitive keyword search, first ``limit`` rows by ``order``."""
-    text = F.lower(F.concat_ws(" ", *fields))
-    return catalog.where(F.contains(text, F.lit(keyword.lower()))).orderBy(order).limit(limit)
+    """Case-insensitive keyword search in each of ``fields``, first ``limit`` rows by ``order``."""
+    held = [F.coalesce(F.contains(F.lower(f), F.lit(keyword.lower())), F.lit(False)) for f in fields]
+    return catalog.where(reduce(or_, held)).orderBy(order).limit(limit)
+
+
+def get(catalog: DataFrame, dataset_id: str, key: str = "dataset_id") -> DataFrame:
+    """The row of one dataset, or no row."""
+    return catalog.where(F.col(key) == dataset_id)
 
 
 # Fixed value: type name that every field of a change record carries.

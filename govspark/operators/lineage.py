@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import count
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from govspark.functions.urns import DEFAULT_PLATFORM, dataset_urn, job_urn
@@ -45,14 +47,18 @@ def job_records(events: DataFrame, platform: str = DEFAULT_PLATFORM) -> DataFram
     return events.select(urn.alias("job_urn"), F.to_json(record).alias("record"))
 
 
-def run_events(jobs: DataFrame, producer: str = DEFAULT_PLATFORM, event_type: str = "COMPLETE") -> DataFrame:
-    """Run events for rows with ``job_name``, ``inputs``, ``outputs``; random run id, time of the query."""
+def run_events(jobs: DataFrame, producer: str = DEFAULT_PLATFORM, event_type: str = "COMPLETE",
+               run_id: Column | None = None, event_time: Column | None = None) -> DataFrame:
+    """Run events for rows with ``job_name``, ``inputs``, ``outputs``.
+
+    Without ``run_id`` and ``event_time`` the run gets a random id and the time of the query.
+    """
     if event_type not in EVENT_TYPES:
         raise ValueError(f"unknown run event type {event_type!r}")
     return jobs.select(
         F.lit(event_type).alias("event_type"),
-        F.current_timestamp().alias("event_time"),
-        F.create_map(F.lit("runId"), F.uuid()).alias("run"),
+        (F.current_timestamp() if event_time is None else event_time).alias("event_time"),
+        F.create_map(F.lit("runId"), F.uuid() if run_id is None else run_id).alias("run"),
         F.struct(F.lit(producer).alias("namespace"), F.col("job_name").alias("name")).alias("job"),
         "inputs",
         "outputs",
@@ -65,6 +71,25 @@ def run_events(jobs: DataFrame, producer: str = DEFAULT_PLATFORM, event_type: st
 _SCHEMA_URL = "https://openlineage.io/spec/1-0-5/OpenLineage.json#/definitions/RunEvent"
 
 
+def emit_events(events: DataFrame, path: str) -> None:
+    """Append run events to the event table, by type."""
+    events.write.mode("append").partitionBy("event_type").parquet(path)
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """The event table; a run event that was appended again counts once (run, type and time name an event)."""
+    stored = spark.read.parquet(path).withColumn("_run", F.col("run")["runId"])
+    return stored.dropDuplicates(["_run", "event_type", "event_time"]).drop("_run")
+
+
+def edges_by(edges: DataFrame, source: str | None = None, target: str | None = None, job: str | None = None) -> DataFrame:
+    """Edges with the given source, target and job; what is None is free."""
+    for name, value in (("source_urn", source), ("target_urn", target), ("job_urn", job)):
+        if value is not None:
+            edges = edges.where(F.col(name) == value)
+    return edges
+
+
 def merge_edges(known: DataFrame, arrived: DataFrame) -> DataFrame:
     """Edge table after an upsert by source, target and job."""
     return known.unionByName(arrived).dropDuplicates(["source_urn", "target_urn", "job_urn"])
@@ -78,12 +103,14 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return up.join(down, "urn", "full_outer").fillna(0, ["sources", "targets"])
 
 
-def ancestors(edges: DataFrame, start: DataFrame | None = None, max_depth: int = 20) -> DataFrame:
-    """All datasets upstream of each dataset (``urn``, ``ancestor``, shortest ``depth``).
+def ancestors(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """All datasets upstream (``urn``, ``ancestor``, shortest ``depth``) of the datasets in ``start`` (column ``urn``).
+
+    Without ``start`` of every dataset, which is the whole closure: give ``start`` on a large graph.
 
     Breadth-first: a round joins only the pairs found last with the edges and drops known pairs. Each round writes its
     new pairs to the shared checkpoint folder, so the plan stays short and a lost executor does not undo it.
-    Rounds end when nothing is new; a longer chain than ``max_depth`` raises instead of ending early.
+    Rounds end when nothing is new, however deep the lineage is.
     """
     pairs = edges.select(F.col("source_urn").alias("parent"), F.col("target_urn").alias("child")).distinct()
     pairs = cut_lineage(pairs)
@@ -91,7 +118,7 @@ def ancestors(edges: DataFrame, start: DataFrame | None = None, max_depth: int =
     frontier = cut_lineage(seeds.select(F.col("child").alias("urn"), F.col("parent").alias("ancestor"),
                                         F.lit(1).alias("depth")))
     found = frontier
-    for depth in range(2, max_depth + 2):
+    for depth in count(2):
         step = (
             frontier.join(pairs, F.col("ancestor") == F.col("child"))
             .select("urn", F.col("parent").alias("ancestor"))
@@ -102,4 +129,5 @@ def ancestors(edges: DataFrame, start: DataFrame | None = None, max_depth: int =
         if frontier.isEmpty():
             return found
         found = found.unionByName(frontier)
-    raise ValueError(f"lineage is deeper than {max_depth}")
+        if depth % 10 == 0:  # keeps the union short on deep lineage
+            found = cut_lineage(found)

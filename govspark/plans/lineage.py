@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from govspark.functions.urns import DEFAULT_PLATFORM
 from govspark.operators import lineage as ln
 from govspark.plans.registry import query, table
+from govspark.session import fresh_path
 
 
 def _dataset(namespace: Column, name: Column) -> Column:
@@ -65,13 +66,23 @@ def lineage_job_io(spark: SparkSession, folder: str) -> DataFrame:
     return ln.job_records(run_events(spark, folder))
 
 
-@query("lineage_events")
+@query("lineage_events", f"""
+SELECT kind AS event_type, md5('run-' || p_partkey) AS run_id, '2024-01-01 00:0' || step || ':00' AS event_time,
+       '{DEFAULT_PLATFORM}' AS job_namespace, CASE WHEN p_size <> 2 THEN 'load_' || p_brand END AS job_name,
+       CAST(2 AS INTEGER) AS inputs, CAST(CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS outputs,
+       '{DEFAULT_PLATFORM}' AS producer
+FROM part, (VALUES ('START', 0), ('COMPLETE', 1)) AS kinds(kind, step)""")
 def lineage_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Run events for one job per part (random ids and the current time, so there is no SQL form)."""
-    jobs = run_events(spark, folder).select(F.col("job.name").alias("job_name"), "inputs", "outputs")
-    emitted = ln.run_events(jobs)
-    return emitted.select(
-        "event_type", F.col("run")["runId"].alias("run_id"), F.col("job.namespace").alias("job_namespace"),
+    """Start and completion of one job per part, appended to the event table and read back; one append is repeated."""
+    path = fresh_path(spark, "run-events")
+    jobs = run_events(spark, folder).select(
+        F.col("job.name").alias("job_name"), "inputs", "outputs", F.md5(F.col("run")["runId"]).alias("run_id")
+    )
+    for kind, time in (("START", "2024-01-01 00:00:00"), ("COMPLETE", "2024-01-01 00:01:00"), ("COMPLETE", "2024-01-01 00:01:00")):
+        emitted = ln.run_events(jobs, event_type=kind, run_id=F.col("run_id"), event_time=F.lit(time).cast("timestamp"))
+        ln.emit_events(emitted, path)
+    return ln.read_events(spark, path).select(
+        "event_type", F.col("run")["runId"].alias("run_id"), F.date_format("event_time", "yyyy-MM-dd HH:mm:ss").alias("event_time"), F.col("job.namespace").alias("job_namespace"),
         F.col("job.name").alias("job_name"), F.size("inputs").alias("inputs"), F.size("outputs").alias("outputs"),
         "producer",
     )
@@ -85,6 +96,23 @@ def lineage_upsert(spark: SparkSession, folder: str) -> DataFrame:
     return ln.merge_edges(edges, edges).select("source_urn", "target_urn", "job_urn")
 
 
+_MART = "urn:li:dataset:(urn:li:dataPlatform:mart,size_7,PROD)"
+_JOB = f"urn:li:dataJob:(urn:li:dataFlow:({DEFAULT_PLATFORM},unknown,PROD),unknown)"
+_RAW = "urn:li:dataset:(urn:li:dataPlatform:raw,unknown,PROD)"
+
+
+@query("lineage_lookup", f"""WITH {EVENTS_SQL}
+SELECT 'source' AS known, source_urn, target_urn, job_urn FROM edges WHERE source_urn = '{_RAW}'
+UNION ALL SELECT 'target', source_urn, target_urn, job_urn FROM edges WHERE target_urn = '{_MART}'
+UNION ALL SELECT 'job', source_urn, target_urn, job_urn FROM edges WHERE job_urn = '{_JOB}'""")
+def lineage_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges by source, by target and by job."""
+    edges = ln.lineage_edges(run_events(spark, folder)).select("source_urn", "target_urn", "job_urn")
+    found = [ln.edges_by(edges, **{kind: urn}).select(F.lit(kind).alias("known"), "*")
+             for kind, urn in (("source", _RAW), ("target", _MART), ("job", _JOB))]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query("lineage_neighbours", f"""WITH {EVENTS_SQL},
 up AS (SELECT target_urn AS urn, count(DISTINCT source_urn) AS sources FROM edges GROUP BY 1),
 down AS (SELECT source_urn AS urn, count(DISTINCT target_urn) AS targets FROM edges GROUP BY 1)
@@ -122,3 +150,20 @@ reach AS (
 SELECT urn, ancestor, CAST(min(depth) AS INTEGER) AS depth FROM reach GROUP BY 1, 2""")
 def lineage_reach(spark: SparkSession, folder: str) -> DataFrame:
     return ln.ancestors(order_edges(spark, folder))
+
+
+@query("lineage_reach_of", """WITH RECURSIVE edges AS (
+  SELECT 'region:' || n_regionkey AS s, 'nation:' || n_nationkey AS t FROM nation
+  UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey FROM customer
+  UNION ALL SELECT 'customer:' || o_custkey, 'order:' || o_orderkey FROM orders),
+reach AS (
+  SELECT t AS urn, s AS ancestor, 1 AS depth FROM edges
+  WHERE t IN (SELECT 'order:' || o_orderkey FROM orders WHERE o_orderkey % 100 = 0)
+  UNION SELECT r.urn, e.s, r.depth + 1 FROM reach r JOIN edges e ON e.t = r.ancestor)
+SELECT urn, ancestor, CAST(min(depth) AS INTEGER) AS depth FROM reach GROUP BY 1, 2""")
+def lineage_reach_of(spark: SparkSession, folder: str) -> DataFrame:
+    """Searched for: every order whose key is divisible by 100, against all edges."""
+    asked = table(spark, folder, "orders").where("o_orderkey % 100 = 0").select(
+        F.concat(F.lit("order:"), "o_orderkey").alias("urn")
+    )
+    return ln.ancestors(order_edges(spark, folder), asked)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from govspark.operators.expectations import Expectation
+from govspark.operators.lineage import lineage_edges, merge_edges
 from govspark.plans import derived as d
 from govspark.plans.audit import topic_messages
 from govspark.plans.decisions import _FIRST_SQL, stored_vetoes
@@ -44,6 +45,17 @@ def replay(spark: SparkSession, batch: DataFrame, name: str, order: Column, buil
     return spark.read.schema(stream.schema).parquet(f"{sink}/data")
 
 
+def landed(spark: SparkSession, batch: DataFrame, name: str, build: Callable[[DataFrame], DataFrame], mark: Column,
+           steps: int = 4) -> DataFrame:
+    """Let a table arrive in ``steps`` batches out of time order (by a hash of ``mark``), with a restart after each."""
+    source, sink = fresh_path(spark, name), fresh_path(spark, f"{name}-out")
+    for step in range(steps):
+        batch.where(F.pmod(F.xxhash64(mark), F.lit(steps)) == step).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(batch.schema).parquet(source)
+        s.land(stream, build, f"{sink}/data", f"{sink}/checkpoint")
+    return spark.read.parquet(f"{sink}/data").drop("batch")
+
+
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the supplied tables as a stream."""
     schema = table(spark, folder, name).schema
@@ -95,13 +107,13 @@ def stream_hash_chain_query(spark: SparkSession, folder: str) -> DataFrame:
 @query("stream_rates", f"""
 SELECT event_type, {_BIN} AS window_start, count(*) AS requests, round(count(*) / 300.0, 6)::DOUBLE AS rate,
        round(100.0 * count(*) FILTER (WHERE value > 100) / count(*), 6)::DOUBLE AS error_percent
-FROM events GROUP BY 1, 2
-HAVING time_bucket(INTERVAL 5 MINUTE, min(ts)) + INTERVAL 5 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+FROM events GROUP BY 1, 2""")
 def stream_rates(spark: SparkSession, folder: str) -> DataFrame:
-    """Closed five-minute windows: those that the watermark has passed when the input ends."""
-    events = table_stream(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    rates = s.stream_rates(events, "ts", ["event_type"], F.col("value") > 100)
-    done = _finish(spark, rates, "rates")
+    """All five-minute windows of events that arrive out of order, days late."""
+    events = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    partials = landed(spark, events, "rates", lambda b: s.rate_partials(b, "ts", ["event_type"], F.col("value") > 100),
+                      F.col("event_id"))
+    done = s.merge_rates(partials, ["event_type"])
     return done.select(
         "event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "requests",
         F.round("rate", 6).alias("rate"), F.round("error_percent", 6).alias("error_percent"),
@@ -114,13 +126,13 @@ WITH spread AS (
   FROM events, (SELECT unnest(range(5)) AS back))
 SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests, round(count(*) / 300.0, 6)::DOUBLE AS rate,
        round(100.0 * count(*) FILTER (WHERE value > 100) / count(*), 6)::DOUBLE AS error_percent
-FROM spread GROUP BY start
-HAVING start + INTERVAL 5 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+FROM spread GROUP BY start""")
 def stream_rates_sliding(spark: SparkSession, folder: str) -> DataFrame:
     """The same over five minutes, every minute, for all services together."""
-    events = table_stream(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    rates = s.stream_rates(events, "ts", [], F.col("value") > 100, slide="1 minute")
-    done = _finish(spark, rates, "sliding")
+    events = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    partials = landed(spark, events, "sliding", lambda b: s.rate_partials(b, "ts", [], F.col("value") > 100, slide="1 minute"),
+                      F.col("event_id"))
+    done = s.merge_rates(partials, [])
     return done.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "requests",
         F.round("rate", 6).alias("rate"), F.round("error_percent", 6).alias("error_percent"),
@@ -135,6 +147,25 @@ def stream_lineage(spark: SparkSession, folder: str) -> DataFrame:
     return _finish(spark, s.stream_edges(stream), "edges").select("source_urn", "target_urn", "job_urn")
 
 
+@query("stream_rates_closed", f"""
+SELECT event_type, {_BIN} AS window_start, count(*) AS requests
+FROM events GROUP BY 1, 2
+HAVING time_bucket(INTERVAL 5 MINUTE, min(ts)) + INTERVAL 5 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def stream_rates_closed(spark: SparkSession, folder: str) -> DataFrame:
+    """The form with a watermark: a window appears once, when the watermark (here ten minutes) has passed it."""
+    events = table_stream(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    done = _finish(spark, s.stream_rates(events, "ts", ["event_type"], F.col("value") > 100), "closed")
+    return done.select("event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "requests")
+
+
+@query("stream_lineage_upsert", f"WITH {EVENTS_SQL} SELECT DISTINCT source_urn, target_urn, job_urn FROM edges")
+def stream_lineage_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges of run events that arrive out of order; no edge is dropped for being late."""
+    runs = run_events(spark, folder)
+    edges = landed(spark, runs, "late-runs", lambda b: lineage_edges(b).distinct(), F.col("run")["runId"])
+    return merge_edges(edges.limit(0), edges).select("source_urn", "target_urn", "job_urn")
+
+
 _VETO_SQL = f"""{_FIRST_SQL}, {d.JUDGED_VETOES_SQL}"""
 
 
@@ -151,6 +182,19 @@ def stream_veto_expiry(spark: SparkSession, folder: str) -> DataFrame:
     return expired.select("veto_id", "decision_id")
 
 
+@query("stream_late_vetoes", f"""WITH {_VETO_SQL}
+SELECT id AS veto_id, CAST(decision_id AS VARCHAR) AS decision_id FROM stored
+WHERE decision_id % 9 <> 0 AND (SELECT max(vetoed_at) FROM stored) > expires_at""")
+def stream_late_vetoes(spark: SparkSession, folder: str) -> DataFrame:
+    """Vetoes that arrive out of order, years late: all that expired are found."""
+    vetoes = stored_vetoes(spark, folder).select(
+        F.col("id").alias("veto_id"), F.col("decision_id").cast("string").alias("decision_id"), "status",
+        F.col("vetoed_at").cast("timestamp").alias("event_time"), F.col("expires_at").cast("timestamp").alias("expires_at"),
+    )
+    rows = landed(spark, vetoes, "late-vetoes", lambda b: b, F.col("veto_id"))
+    return s.expired_so_far(rows).select("veto_id", "decision_id")
+
+
 _GATE_SUITE = [
     Expectation("expect_table_row_count_to_be_between", {"min_value": 1}),
     Expectation("expect_column_values_to_not_be_null", {"column": "event_id"}),
@@ -160,17 +204,18 @@ _GATE_SUITE = [
 
 
 @query("stream_quality_gate", """
-WITH checked AS (SELECT (count(*) >= 1)::INT AS rows_ok, (count(event_id) = count(*))::INT AS key_ok,
-  bool_and(value BETWEEN 0 AND 300)::INT AS value_ok, (count(DISTINCT event_id) = count(*))::INT AS unique_ok FROM events),
+WITH checked AS (SELECT event_id % 3 AS b, (count(*) >= 1)::INT AS rows_ok, (count(event_id) = count(*))::INT AS key_ok,
+  bool_and(value BETWEEN 0 AND 300)::INT AS value_ok, (count(DISTINCT event_id) = count(*))::INT AS unique_ok FROM events GROUP BY 1),
 scored AS (SELECT *, ((rows_ok + key_ok) / 2.0 + value_ok + unique_ok + 3) / 6.0 AS s FROM checked)
-SELECT 'events' AS dataset_id, round(s, 6)::DOUBLE AS dq_score, (rows_ok + key_ok + value_ok + unique_ok)::BIGINT AS expectations_passed,
+SELECT CAST(b AS INTEGER) AS batch, 'events' AS dataset_id, round(s, 6)::DOUBLE AS dq_score, (rows_ok + key_ok + value_ok + unique_ok)::BIGINT AS expectations_passed,
        CASE WHEN s < 0.7 THEN 'refused' ELSE 'promoted' END AS verdict FROM scored""")
 def stream_quality_gate(spark: SparkSession, folder: str) -> DataFrame:
-    """The events table arrives as one micro-batch."""
-    sink = fresh_path(spark, "gate")
-    s.stream_quality_gate(
-        table_stream(spark, folder, "events"), "events", "app", "bronze", "silver", _GATE_SUITE,
-        f"{sink}/verdicts", f"{sink}/checkpoint",
-    )
+    """The events table arrives in three micro-batches, each with a verdict."""
+    source, sink = fresh_path(spark, "gate-in"), fresh_path(spark, "gate")
+    events = table(spark, folder, "events")
+    for step in range(3):
+        events.where(F.col("event_id") % 3 == step).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        s.stream_quality_gate(stream, "events", "app", "bronze", "silver", _GATE_SUITE, f"{sink}/verdicts", f"{sink}/checkpoint")
     verdicts = spark.read.parquet(f"{sink}/verdicts")
-    return verdicts.select("dataset_id", F.round("dq_score", 6).alias("dq_score"), "expectations_passed", "verdict")
+    return verdicts.select("batch", "dataset_id", F.round("dq_score", 6).alias("dq_score"), "expectations_passed", "verdict")

@@ -99,3 +99,13 @@ def event_retention_default(spark: SparkSession, folder: str) -> DataFrame:
     """The stated limits: 100 000 messages and seven days."""
     kept = t.retain(table(spark, folder, "events"), "ts", "event_id", F.lit("2024-01-31").cast("timestamp_ntz"))
     return kept.select("event_id")
+
+
+@query("broken_messages", """
+SELECT event_id AS "offset", CASE event_id % 3 WHEN 0 THEN 'no json' WHEN 1 THEN '[1]' ELSE '{"actor_id": ' END AS value
+FROM events WHERE event_id % 50 = 0""")
+def broken_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every fiftieth message is broken in one of three ways; all others stay readable."""
+    bad = F.element_at(F.array(F.lit("no json"), F.lit("[1]"), F.lit('{"actor_id": ')), (F.col("offset") % 3 + 1).cast("int"))
+    mixed = messages(spark, folder).withColumn("value", F.when(F.col("offset") % 50 == 0, bad).otherwise(F.col("value")))
+    return t.broken_envelopes(mixed).select("offset", "value")

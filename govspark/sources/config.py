@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from pathlib import Path
+import re
 from typing import Any
+from urllib.parse import unquote
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,20 +54,53 @@ DEFAULT_RULES = (
 )
 
 
+def default_suite_records() -> dict[str, list[dict[str, Any]]]:
+    """The default suites as they stand in their files."""
+    return yaml.safe_load(DEFAULT_SUITES)
+
+
 def default_suites() -> dict[str, list[Expectation]]:
-    return {name: [Expectation.of(r) for r in items] for name, items in yaml.safe_load(DEFAULT_SUITES).items()}
+    return {name: [Expectation.of(r) for r in items] for name, items in default_suite_records().items()}
+
+
+def _texts(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """Name and text of the YAML files below a path of any file system; of a path that does not exist, none.
+
+    Only a path that is truly absent gives none: a store that cannot be reached raises. Files are named by their
+    folder ``suite_name=...`` (see ``write_suites``), else by their own name.
+    """
+    try:
+        files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+    found = files.select(F.col("_metadata.file_path").alias("path"), "value").collect()  # configuration, a few kilobytes
+    return sorted((_stem(r["path"]), r["value"]) for r in found)
 
 
-def read_suites(folder: str) -> dict[str, list[Expectation]]:
+def _stem(path: str) -> str:
+    folder = re.search(r"/suite_name=([^/]+)/", path)
+    return unquote(folder[1]) if folder else unquote(path.rsplit("/", 1)[-1].rsplit(".", 1)[0])
+
+
+def read_suites(spark: SparkSession, folder: str) -> dict[str, list[Expectation]]:
     """All suites of a folder by file name; a file without a list of expectations is an empty suite."""
     found = {}
-    for path in sorted(Path(folder).glob("*.yaml")):
-        data = yaml.safe_load(path.read_text())
+    for name, text in _texts(spark, folder):
+        data = yaml.safe_load(text)
         items = data.get("expectations") or [] if isinstance(data, dict) else []
-        found[path.stem] = [Expectation.of(r) for r in items]
+        found[name] = [Expectation.of(r) for r in items]
     return found
 
 
+def write_suites(spark: SparkSession, suites: dict[str, list[dict[str, Any]]], folder: str) -> None:
+    """One YAML file per suite (a list of expectation records), in a folder ``suite_name=...`` each."""
+    rows = [(name, yaml.safe_dump({"expectations": items})) for name, items in suites.items()]
+    texts = spark.createDataFrame(rows, "suite_name string, value string")
+    texts.write.partitionBy("suite_name").text(folder)
+
+
 def pick_suite(suites: dict[str, list[Expectation]], suite_name: str, layer: str) -> list[Expectation]:
     """The named suite, else the layer's default, else no expectations."""
     return suites.get(suite_name, suites.get(f"default_{layer}", []))
@@ -111,7 +146,7 @@ def _contract(path: str, text: str) -> dict[str, Any]:
     column = {"nullable": True, "description": "", "pii": False}
     return {
         "path": path,
-        "name": raw.get("name", Path(path).stem),
+        "name": raw.get("name", _stem(path)),
         **{f: raw[f] for f in ("dataset_id", "domain_id", "owner_id")},
         "jurisdiction": raw.get("jurisdiction"),
         "freshness_hours": sla.get("freshness_hours"),
@@ -147,10 +182,7 @@ def contract_columns(contracts: DataFrame) -> DataFrame:
     )
 
 
-def read_rules(path: str) -> list[Rule]:
-    """Rules of one file; a missing file means no rules."""
-    file = Path(path)
-    if not file.exists():
-        return []
-    data = yaml.safe_load(file.read_text()) or {}
-    return [Rule(**record) for record in data.get("rules", [])]
+def read_rules(spark: SparkSession, path: str) -> list[Rule]:
+    """Rules of one file, or of all files of a folder; only a path that does not exist means no rules."""
+    found = [yaml.safe_load(text) or {} for _, text in _texts(spark, path)]
+    return [Rule(**record) for data in found for record in data.get("rules", [])]

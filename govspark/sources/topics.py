@@ -37,10 +37,25 @@ def read_json_lines(spark: SparkSession, folder: str, per_trigger: int | None =
     return reader.load(folder)
 
 
+def _parsed(messages: DataFrame, value: str) -> DataFrame:
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    return messages.withColumn("_m", F.from_json(value, f"{ENVELOPE_SCHEMA}, _broken string", options))
+
+
+def _is_broken(value: str) -> Column:
+    is_object = F.coalesce(F.col(value).rlike(r"^\s*\{"), F.lit(False))
+    return F.col("_m").isNull() | F.col("_m._broken").isNotNull() | ~is_object
+
+
 def parse_envelopes(messages: DataFrame, value: str = "value") -> DataFrame:
-    """Message text to envelope columns; text that is no JSON object fails the query instead of vanishing."""
-    parsed = messages.withColumn("m", F.from_json(value, ENVELOPE_SCHEMA, {"mode": "FAILFAST"}))
-    return parsed.select(*[c for c in messages.columns if c != value], "m.*")
+    """Message text to envelope columns; text that is no JSON object of this form goes to ``broken_envelopes``."""
+    kept = _parsed(messages, value).where(~_is_broken(value))
+    return kept.select(*[c for c in messages.columns if c != value], "_m.*").drop("_broken")
+
+
+def broken_envelopes(messages: DataFrame, value: str = "value") -> DataFrame:
+    """The other messages, unchanged (text, and offset where there is one), for a side table."""
+    return _parsed(messages, value).where(_is_broken(value)).select(messages.columns)
 
 
 def normalise(envelopes: DataFrame, now: Column | None = None) -> DataFrame:

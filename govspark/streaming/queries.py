@@ -38,20 +38,52 @@ def finish(query: StreamingQuery) -> None:
         raise failure
 
 
+def land(stream: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
+    """Write ``build`` of every micro-batch into a folder of its own and stop when all input is processed.
+
+    Nothing is kept between batches and no watermark drops anything: what ``build`` returns must be mergeable, and
+    the reader merges. A repeated batch overwrites its own folder, so the table is the same after a restart.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        build(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    finish(
+        stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
 def audit_ingest(messages: DataFrame, now: Column | None = None) -> DataFrame:
     """Topic messages as normalised envelopes. No watermark: the audit log never drops a late event."""
     return normalise(parse_envelopes(messages), now)
 
 
 def stream_rates(events: DataFrame, time: str, keys: list[str], is_error: Column, width: str = "5 minutes",
-                 seconds: int = 300, slide: str | None = None) -> DataFrame:
-    """Request rate and error share per window; a window appears once the watermark has passed it."""
+                 seconds: int = 300, slide: str | None = None, watermark: str = WATERMARK) -> DataFrame:
+    """Request rate and error share per window, once, when the watermark has passed it.
+
+    A row later than ``watermark`` is dropped; where that must not be, use ``rate_partials`` and ``merge_rates``.
+    """
+    return merge_rates(rate_partials(events.withWatermark(time, watermark), time, keys, is_error, width, slide), keys,
+                       seconds, merge=False)
+
+
+def rate_partials(events: DataFrame, time: str, keys: list[str], is_error: Column, width: str = "5 minutes",
+                  slide: str | None = None) -> DataFrame:
+    """Requests and errors per window, of a table or of one micro-batch (see ``land``)."""
     window = F.window(time, width, slide) if slide else F.window(time, width)
-    grouped = events.withWatermark(time, WATERMARK).groupBy(window.alias("w"), *keys).agg(
+    grouped = events.groupBy(window.alias("w"), *keys).agg(
         F.count("*").alias("requests"), F.count_if(is_error).alias("errors")
     )
-    return grouped.select(
-        F.col("w.start").alias("window_start"),
+    return grouped.select(F.col("w.start").alias("window_start"), *keys, "requests", "errors")
+
+
+def merge_rates(partials: DataFrame, keys: list[str], seconds: int = 300, merge: bool = True) -> DataFrame:
+    """Request rate and error share per window over all partial counts, however late they came."""
+    if merge:
+        partials = partials.groupBy("window_start", *keys).agg(F.sum("requests").alias("requests"), F.sum("errors").alias("errors"))
+    return partials.select(
+        "window_start",
         *keys,
         "requests",
         (F.col("requests") / F.lit(float(seconds))).alias("rate"),
@@ -59,13 +91,14 @@ def stream_rates(events: DataFrame, time: str, keys: list[str], is_error: Column
     )
 
 
-def stream_edges(events: DataFrame, time: str = "event_time") -> DataFrame:
+def stream_edges(events: DataFrame, time: str = "event_time", watermark: str = WATERMARK) -> DataFrame:
     """Lineage edges of a run event stream; an event that is delivered again within the watermark counts once.
 
-    A run sends several events (start, complete), so an event is known by run, type and time.
+    A run sends several events (start, complete), so an event is known by run, type and time. A later one is
+    dropped; where no edge may be lost, ``land`` the edges of each batch and merge them with ``merge_edges``.
     """
     identified = events.withColumn("_run", F.col("run")["runId"])
-    fresh = identified.withWatermark(time, WATERMARK).dropDuplicatesWithinWatermark(["_run", "event_type", time])
+    fresh = identified.withWatermark(time, watermark).dropDuplicatesWithinWatermark(["_run", "event_type", time])
     return lineage_edges(fresh)
 
 
@@ -102,12 +135,24 @@ def _expired(veto_id: str, decision_id: str, micros: int) -> pd.DataFrame:
     return pd.DataFrame({"veto_id": [veto_id], "decision_id": [decision_id], "expires_at": [expires_at]})
 
 
-def stream_veto_expiry(vetoes: DataFrame) -> DataFrame:
+def expired_so_far(landed: DataFrame) -> DataFrame:
+    """Vetoes whose expiry event time has passed, over all veto rows landed so far (``veto_id``, ``decision_id``,
+    ``status``, ``event_time``, ``expires_at``). A veto that arrives late expires like any other."""
+    rest = ["decision_id", "status", "expires_at"]
+    latest = landed.groupBy("veto_id").agg(F.max_by(F.struct(*rest), "event_time").alias("r")).select("veto_id", "r.*")
+    now = landed.agg(F.max("event_time").alias("now"))
+    return latest.join(now, F.col("expires_at") < F.col("now")).where("status = 'active'").select(
+        "veto_id", "decision_id", "expires_at"
+    )
+
+
+def stream_veto_expiry(vetoes: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """Vetoes at the moment event time passes their expiry (``veto_id``, ``event_time``, ``status``, ...).
 
-    One small state per open veto; vetoes are spread by their id.
+    One small state per open veto; vetoes are spread by their id. A row later than ``watermark`` is dropped; where
+    that must not be, ``land`` the rows and ask ``expired_so_far``.
     """
-    prepared = vetoes.withWatermark("event_time", WATERMARK).select(
+    prepared = vetoes.withWatermark("event_time", watermark).select(
         "veto_id", "decision_id", "status", "event_time", F.unix_micros("expires_at").alias("expires_micros")
     )
     return prepared.groupBy("veto_id").applyInPandasWithState(
@@ -124,6 +169,7 @@ def stream_quality_gate(batches: DataFrame, dataset_id: str, domain_id: str, sou
     """
 
     def gate(batch: DataFrame, number: int) -> None:
+        batch.persist()
         request = evaluate_suite(batch, suite).select(
             F.lit(dataset_id).alias("dataset_id"), F.lit(domain_id).alias("domain_id"), "expectation_type", "success"
         )
@@ -133,6 +179,7 @@ def stream_quality_gate(batches: DataFrame, dataset_id: str, domain_id: str, sou
         promotion_verdicts(scored).write.mode("overwrite").parquet(f"{path}/batch={number}")
         if after:
             after(batch, number)
+        batch.unpersist()
 
     finish(
         batches.writeStream.foreachBatch(gate)

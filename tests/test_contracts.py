@@ -171,7 +171,7 @@ def test_suites(spark, tmp_path):
     (tmp_path / "finance.yaml").write_text("expectations:\n- {expectation_type: e1, kwargs: {column: x}}\n")
     (tmp_path / "default_gold.yaml").write_text("expectations:\n- expectation_type: e2\n- expectation_type: e3\n")
     (tmp_path / "empty.yaml").write_text("[]")
-    suites = config.read_suites(str(tmp_path))
+    suites = config.read_suites(spark, str(tmp_path))
     assert [e.kind for e in config.pick_suite(suites, "finance", "gold")] == ["e1"]
     assert [e.kind for e in config.pick_suite(suites, "default", "gold")] == ["e2", "e3"]
     assert config.pick_suite(suites, "empty", "gold") == [] == config.pick_suite(suites, "default", "platinum")
@@ -184,5 +184,5 @@ def test_suites(spark, tmp_path):
 
 def test_rule_files(tmp_path):
     (tmp_path / "r.yaml").write_text("rules:\n- {name: n, trigger: t, condition: column matches x, action: set_pii=true}\n")
-    assert config.read_rules(str(tmp_path / "r.yaml"))[0].auto_approve is False
-    assert config.read_rules(str(tmp_path / "missing.yaml")) == []
+    assert config.read_rules(spark, str(tmp_path / "r.yaml"))[0].auto_approve is False
+    assert config.read_rules(spark, str(tmp_path / "missing.yaml")) == []

@@ -60,8 +60,24 @@ def test_ancestors_with_diamond_and_cycle(spark):
     assert {r.ancestor for r in ln.ancestors(edges, start).collect()} == set("abcd")
 
 
-def test_depth_limit_raises(spark):
-    edges = graph(spark, *[(str(i), str(i + 1)) for i in range(6)])
-    assert ln.ancestors(edges, max_depth=6).count() == 21
-    with pytest.raises(ValueError, match="deeper"):
-        ln.ancestors(edges, max_depth=3)
+def test_deep_lineage(spark):
+    edges = graph(spark, *[(str(i), str(i + 1)) for i in range(50)])
+    start = spark.createDataFrame([("50",)], "urn string")
+    assert rows(ln.ancestors(edges, start), "depth") == sorted(((i,) for i in range(1, 51)), key=repr)
+
+
+def test_emitted_events_and_lookup(spark, tmp_path):
+    jobs = spark.createDataFrame([("load", [("a", "x")], [("b", "z")])], f"job_name string, inputs {DATASETS}, outputs {DATASETS}")
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "events")
+    events = ln.run_events(jobs, run_id=F.lit("r1"), event_time=F.lit("2024-01-01").cast("timestamp"))
+    for _ in range(2):
+        ln.emit_events(events, path)
+    ln.emit_events(ln.run_events(jobs, event_type="FAIL"), path)
+    stored = ln.read_events(spark, path)
+    assert sorted(r.event_type for r in stored.collect()) == ["COMPLETE", "FAIL"]
+    edges = graph(spark, ("a", "b"), ("a", "c"), ("b", "c"))
+    assert rows(ln.edges_by(edges, source="a"), "target_urn") == [("b",), ("c",)]
+    assert rows(ln.edges_by(edges, target="c", job="j"), "source_urn") == [("a",), ("b",)]
+    assert ln.edges_by(edges, source="a", job="k").isEmpty()

@@ -97,9 +97,28 @@ def test_ingest_defaults_and_bad_messages(spark, tmp_path):
     feed.put([('{"event_type": "e", "details": {"a": "1"}, "timestamp": "2024-01-01T00:00:00Z"}',), ("{}",)])
     got = feed.run(lambda m: s.audit_ingest(m, F.lit(at(9)))).orderBy("timestamp").collect()
     assert [(r.event_type, r.actor_id, r.details, r.timestamp.minute) for r in got] == [("e", "", {"a": "1"}, 0), (None, "", {}, 9)]
-    feed.put([("not json",)])
-    with pytest.raises(Exception):  # noqa: B017
-        feed.run(lambda m: s.audit_ingest(m, F.lit(at(9))))
+    bad = [("not json",), ("[1]",), ('{"event_type": ',), (None,)]
+    feed.put([*bad, ('{"event_type": "later"}',)])
+    assert feed.run(lambda m: s.audit_ingest(m, F.lit(at(9)))).count() == 3
+    aside = t.broken_envelopes(spark.createDataFrame([*bad, ("{}",)], "value string"))
+    assert rows(aside) == sorted(bad, key=repr)
+
+
+def test_nothing_late_is_lost(spark, tmp_path):
+    """Batches out of order, far beyond any watermark, and a restart between them."""
+    feed = Feed(spark, tmp_path, "ts timestamp, service string, bad boolean")
+    where = (f"{tmp_path}/landed", f"{tmp_path}/landing")
+    for data in ([(at(5000), "a", True)], [(at(0), "a", False), (at(5001), "a", False)], [(at(1), "a", True)]):
+        feed.put(data)
+        stream = spark.readStream.schema(feed.schema).parquet(f"{feed.folder}/in")
+        s.land(stream, lambda b: s.rate_partials(b, "ts", ["service"], F.col("bad")), *where)
+    done = s.merge_rates(spark.read.parquet(where[0]), ["service"])
+    assert rows(done, "requests", "error_percent") == [(2, 50.0), (2, 50.0)]
+    vetoes = spark.createDataFrame(
+        [("a", "x", "active", at(900), at(950)), ("b", "x", "active", at(0), at(60)), ("c", "x", "active", at(0), at(60)),
+         ("c", "x", "overridden", at(30), at(60))],
+        "veto_id string, decision_id string, status string, event_time timestamp, expires_at timestamp")
+    assert rows(s.expired_so_far(vetoes), "veto_id") == [("b",)]
 
 
 def test_quality_gate_per_batch(spark, tmp_path):
