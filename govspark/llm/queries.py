@@ -33,7 +33,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-@query("op1_substring_dedup")
+@query("op1_substring_dedup", r"""
+    WITH words AS (
+      SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    windows AS (
+      SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS t
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35)),
+    repeated AS (SELECT t FROM windows GROUP BY t HAVING count(*) > 1),
+    covered AS (
+      SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM windows JOIN repeated USING (t))),
+    placed AS (
+      SELECT doc_id, p, word, c.p IS NULL AS stays
+      FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words) LEFT JOIN covered c USING (doc_id, p)),
+    kept AS (
+      SELECT doc_id, count(*) FILTER (NOT stays) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (stays) AS t
+      FROM placed GROUP BY 1)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM words LEFT JOIN kept USING (doc_id)
+""")
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = phrases.remove_repeats(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -74,9 +91,63 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.scan(table(spark, folder, "documents"))
 
 
-@query("op5_license_scan")
+#: Literal wording of the templates: number, label, notice, key phrase, whether it is a base phrase.
+_LICENSES = """
+    (0, 'mit', 'released under the mit license', 'under the mit license', true),
+    (1, 'apache-2', 'licensed under the apache license version 2 0', 'apache license version 2', true),
+    (2, 'cc-by-nc', 'licensed under cc by nc 4 0', 'cc by nc', true),
+    (3, 'gpl-3', 'licensed under the gnu general public license version 3', 'gnu general public license version 3', false),
+    (4, 'gpl-2', 'licensed under the gnu general public license version 2', 'gnu general public license version 2', false),
+    (5, 'lgpl', 'licensed under the gnu lesser general public license', 'gnu lesser general public license', false),
+    (6, 'agpl-3', 'licensed under the gnu affero general public license', 'gnu affero general public license', false),
+    (7, 'mpl-2', 'subject to the terms of the mozilla public license v 2 0', 'mozilla public license', false),
+    (8, 'cc-by-sa', 'licensed under cc by sa 4 0', 'cc by sa', false),
+    (9, 'cc0', 'dedicated to the public domain under cc0 1 0', 'public domain under cc0', false),
+    (10, 'mit', 'permission is hereby granted free of charge to any person obtaining a copy of this software',
+     'permission is hereby granted free of charge', false),
+    (11, 'bsd', 'redistribution and use in source and binary forms with or without modification are permitted',
+     'redistribution and use in source and binary forms', false),
+    (12, 'unlicense', 'this is free and unencumbered software released into the public domain',
+     'free and unencumbered software', false)"""
+
+
+@query("op5_license_scan", rf"""
+    WITH words AS (
+      SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    templates(k, label, notice, phrase, base) AS (VALUES {_LICENSES}),
+    spelt AS (
+      SELECT k, label, base, string_split(notice, ' ') AS notice, string_split(phrase, ' ') AS phrase,
+             len(string_split(split_part(' ' || notice || ' ', ' ' || phrase || ' ', 1), ' ')) - 1 AS lead FROM templates),
+    postings AS (SELECT k, unnest(notice) AS word, unnest(range(len(notice))) AS p FROM spelt),
+    weights AS (
+      SELECT word, ln(((SELECT count(*) FROM words) + 1) / ((SELECT count(*) FROM words WHERE list_contains(w, word)) + 1)) AS idf
+      FROM (SELECT DISTINCT word FROM postings)),
+    rare AS (
+      SELECT k, p, word, idf FROM postings JOIN weights USING (word)
+      QUALIFY row_number() OVER (PARTITION BY k ORDER BY idf DESC, p) <= 4),
+    places AS (
+      SELECT doc_id, w, s.k, label, base, lead, unnest(list_filter(range(len(w) - len(phrase) + 1),
+             lambda i: w[i + 1 : i + len(phrase)] = phrase)) AS start
+      FROM words, spelt s WHERE list_contains(w, phrase[len(phrase)]) AND list_contains(w, phrase[1])),
+    supported AS (
+      SELECT doc_id, k, label, base, start,
+             CASE WHEN sum(idf) > 0 THEN sum(CASE WHEN start - lead + p >= 0 AND w[start - lead + p + 1] = word THEN idf ELSE 0 END) / sum(idf)
+                  ELSE 1 END AS support
+      FROM places JOIN rare USING (k) GROUP BY ALL),
+    told AS (SELECT * FROM supported WHERE base OR support >= 0.5),
+    summed AS (
+      SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+             string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(support) AS score
+      FROM told GROUP BY 1)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+           coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+           round(coalesce(score, 0), 6)::DOUBLE AS score
+    FROM words LEFT JOIN summed USING (doc_id)
+""")
 def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return licenses.scan(table(spark, folder, "documents"))
+    found = licenses.scan(table(spark, folder, "documents"))
+    return found.withColumn("score", F.round("score", 6))
 
 
 @query("op6_benchmark_decontamination")
