@@ -182,7 +182,7 @@ def test_suites(spark, tmp_path):
     assert len(config.default_suites()["default_gold"]) == 7
 
 
-def test_rule_files(tmp_path):
+def test_rule_files(spark, tmp_path):
     (tmp_path / "r.yaml").write_text("rules:\n- {name: n, trigger: t, condition: column matches x, action: set_pii=true}\n")
     assert config.read_rules(spark, str(tmp_path / "r.yaml"))[0].auto_approve is False
     assert config.read_rules(spark, str(tmp_path / "missing.yaml")) == []
