@@ -2,47 +2,36 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from govspark.session import fresh_path
 from govspark.vocabulary import DRIFT_THRESHOLD
 
-# Rows that one range should hold, and the limits on the number of ranges (which bounds the driver and the broadcast).
-RANGE_ROWS = 5_000_000
-MIN_RANGES, MAX_RANGES = 64, 4096
+#: Distinct values that one range should hold.
+RANGE_VALUES = 2_000_000
 _SERIES_TERMS = 100
 
 
-def _ranges(values: DataFrame, column: str, buckets: int | None) -> Bucketizer:
-    """Cut points from a quantile sketch over one column; at most ``MAX_RANGES`` numbers come to the driver.
-
-    A range holds about an equal part of the rows, plus the copies of one value. The cut points only spread the
-    work; the result does not depend on them.
-    """
-    if buckets is None:
-        buckets = min(max(values.count() // RANGE_ROWS, MIN_RANGES), MAX_RANGES)
-    steps = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(values.approxQuantile(column, steps, 1 / (4 * buckets))))
-    splits = [-math.inf, *cuts, math.inf] if cuts else [-math.inf, 0.0, math.inf]
-    return Bucketizer(splits=splits, inputCol=column, outputCol="bucket", handleInvalid="keep")
-
-
-def ks_statistic(reference: DataFrame, current: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
+def ks_statistic(reference: DataFrame, current: DataFrame, column: str, range_values: int = RANGE_VALUES) -> DataFrame:
     """One row: both sample sizes and the largest distance of the two distribution functions.
 
-    Values are counted first (combined before the shuffle, so repeated values cost one row each), then cut
-    into ranges of about equal size. Running sums run inside a range and start from the
-    totals of the ranges before; one row per range is all that is ever ordered in one place.
+    The input is read once: values are counted (combined before the shuffle, so repeated values cost one row each) and
+    stored. The counts are then dealt into ranges of about equal size, as many as they need, and stored by range,
+    because borders come from a sample. Running sums run inside a range and start from the totals of the
+    ranges before; one row per range is all that is ever ordered in one place.
     """
     value = F.col(column).cast("double").alias("v")
     sides = (
         reference.select(value, F.lit(1).alias("r")).unionByName(current.select(value, F.lit(0).alias("r")))
     ).where("v IS NOT NULL")
-    counts = sides.groupBy("v").agg(F.sum("r").alias("n1"), F.sum(F.lit(1) - F.col("r")).alias("n2"))
-    ranged = _ranges(sides, "v", buckets).transform(counts)
+    spark = sides.sparkSession
+    counted_path, ranged_path = fresh_path(spark, "counts"), fresh_path(spark, "ranges")
+    sides.groupBy("v").agg(F.sum("r").alias("n1"), F.sum(F.lit(1) - F.col("r")).alias("n2")).write.parquet(counted_path)
+    counts = spark.read.parquet(counted_path)
+    ranges = max(1, -(-counts.count() // range_values))
+    counts.repartitionByRange(ranges, "v").withColumn("bucket", F.spark_partition_id()).write.parquet(ranged_path)
+    ranged = spark.read.parquet(ranged_path)
     totals = ranged.groupBy("bucket").agg(F.sum("n1").alias("t1"), F.sum("n2").alias("t2"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
@@ -54,10 +43,9 @@ def ks_statistic(reference: DataFrame, current: DataFrame, column: str, buckets:
         F.sum("t2").over(whole).alias("size2"),
     )
     inside = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    # ``offsets`` holds one row per range, at most ``MAX_RANGES``, which bounds the broadcast.
     steps_up = ranged.select(
         "bucket", F.sum("n1").over(inside).alias("c1"), F.sum("n2").over(inside).alias("c2")
-    ).join(F.broadcast(offsets), "bucket")
+    ).join(offsets, "bucket")  # one row per range: Spark broadcasts it by its size
     gap = F.abs((F.col("b1") + F.col("c1")) / F.col("size1") - (F.col("b2") + F.col("c2")) / F.col("size2"))
     return steps_up.agg(
         F.max("size1").alias("reference_size"), F.max("size2").alias("current_size"), F.max(gap).alias("statistic")
@@ -82,8 +70,8 @@ def ks_p_value(statistic: Column, size1: Column, size2: Column) -> Column:
 
 
 def detect_drift(reference: DataFrame, current: DataFrame, column: str, threshold: float = DRIFT_THRESHOLD,
-                 buckets: int | None = None) -> DataFrame:
+                 range_values: int = RANGE_VALUES) -> DataFrame:
     """Statistic, p-value and the drift flag (``p < threshold``)."""
-    tested = ks_statistic(reference, current, column, buckets)
+    tested = ks_statistic(reference, current, column, range_values)
     p_value = ks_p_value(F.col("statistic"), F.col("reference_size"), F.col("current_size"))
     return tested.withColumn("p_value", p_value).withColumn("has_drift", F.col("p_value") < threshold)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from govspark.session import fresh_path
 from govspark.sources.layers import read_dataset, write_dataset
 from govspark.vocabulary import AUTOMATIC_PROMOTIONS, LAYERS, PROMOTION_THRESHOLDS
 
@@ -63,18 +65,25 @@ def with_decision_id(verdicts: DataFrame) -> DataFrame:
     return verdicts.withColumn("governance_decision_id", F.when(needed, F.concat_ws("-", *pieces)))
 
 
-def promote(root: str, verdicts: DataFrame) -> DataFrame:
+def promote(root: str, verdicts: DataFrame, at_once: int = 8) -> DataFrame:
     """Copy the promoted datasets one layer up; return the verdicts with ids.
 
-    ``verdicts`` is a request batch of one operator call (a handful of datasets). Only names reach the
-    driver; each copy is a Spark job from one layer folder to the next.
+    ``verdicts`` is a request batch of one operator call. It is decided once and stored in the shared folder. Only names
+    reach the driver; each copy is a Spark job from one layer folder to the next, ``at_once`` of them side by side.
+    A copy is the next version of its target, so a repeated call adds a version and loses none.
     """
-    decided = with_decision_id(verdicts)
     spark = verdicts.sparkSession
-    moves = decided.where("promoted").select("domain_id", "dataset_id", "source_layer", "target_layer")
-    for move in moves.toLocalIterator():
+    path = fresh_path(spark, "verdicts")
+    with_decision_id(verdicts).write.parquet(path)
+    decided = spark.read.parquet(path)
+    moves = decided.where("promoted").select("domain_id", "dataset_id", "source_layer", "target_layer").distinct()
+
+    def copy(move: Row) -> None:
         data = read_dataset(spark, root, move.source_layer, move.domain_id, move.dataset_id)
         write_dataset(data, root, move.target_layer, move.domain_id, move.dataset_id)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        list(pool.map(copy, moves.collect()))
     return decided
 
 

@@ -4,8 +4,8 @@ A window partitioned by the key alone puts a hot key into one task. These forms
 order, run the window inside a slice and carry one small row per slice across the slices of a key. Exact and
 deterministic.
 
-By default the slices are ranges of (keys, order) of about equal size, so neither a hot key nor a hot instant can
-fill one task; that needs one range shuffle, written to the shared folder, when the function is called. A caller who
+By default the slices are ranges of (keys, order) of about ``RANGE_ROWS`` rows, so neither a hot key nor a hot instant
+can fill one task; that needs a count and one range shuffle, written to the shared folder, when the function is called. A caller who
 knows that, say, a thousand versions of one contract are little, gives ``slice_by`` instead and stays lazy: an
 expression that grows with ``order`` (rows of an earlier slice come before rows of a later slice).
 
@@ -18,20 +18,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from govspark.session import cut_lineage
+from govspark.session import fresh_path
 
 _GROUP = "_group"
 
+#: Rows that one range should hold.
+RANGE_ROWS = 2_000_000
 
-def _sliced(df: DataFrame, keys: list[str], slice_by: Column | None, order: list[Column]) -> DataFrame:
+
+def _sliced(df: DataFrame, keys: list[str], slice_by: Column | None, order: list[Column],
+            range_rows: int = RANGE_ROWS) -> DataFrame:
     if slice_by is not None:
         return df.withColumn(_GROUP, F.struct(F.struct(*keys).alias("key"), slice_by.alias("slice")))
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    ranges = max(1, -(-df.count() // range_rows))
     ranged = df.repartitionByRange(ranges, *keys, *order)
-    # Range borders come from a sample: fix them in storage, so that every use of the slices sees the same ones.
-    return cut_lineage(
-        ranged.withColumn(_GROUP, F.struct(F.struct(*keys).alias("key"), F.spark_partition_id().alias("slice")))
-    )
+    # Range borders come from a sample: fix them in storage, so that every use of the slices sees the same ones. As
+    # Parquet, so that each use reads its own columns alone.
+    path = fresh_path(spark, "slices")
+    ranged.withColumn(_GROUP, F.struct(F.struct(*keys).alias("key"), F.spark_partition_id().alias("slice"))).write.parquet(path)
+    return spark.read.schema(df.schema.add(_GROUP, spark.read.parquet(path).schema[_GROUP].dataType)).parquet(path)
 
 
 def _across_slices() -> Window:

@@ -569,6 +569,8 @@ def _profile_sql(name: str) -> str:
     return (
         f"SELECT '{name}' AS \"column\", count(*) AS rows, count({name}) AS non_null, "
         f"count(DISTINCT {name}) AS distinct_values, CAST({mean} AS DOUBLE) AS mean, "
+        f"CAST(min({name}) AS VARCHAR) AS minimum, CAST(max({name}) AS VARCHAR) AS maximum, "
+        f"CAST({f'round(stddev_samp({name}), 4)' if numeric else 'NULL'} AS DOUBLE) AS deviation, 1.0::DOUBLE AS consistency, "
         f"round(count({name}) / count(*)::DOUBLE, 6) AS completeness, "
         f"round(count(DISTINCT {name}) / count({name})::DOUBLE, 6) AS uniqueness, "
         f"(count(*) - count({name})) * 20 > count(*) AS above_five_percent_null FROM t"
@@ -587,6 +589,10 @@ def profile_table_query(spark: SparkSession, folder: str) -> DataFrame:
         "non_null",
         "distinct_values",
         F.round("mean", 4).alias("mean"),
+        "minimum",
+        "maximum",
+        F.round("deviation", 4).alias("deviation"),
+        "consistency",
         F.round("completeness", 6).alias("completeness"),
         F.round("uniqueness", 6).alias("uniqueness"),
         "above_five_percent_null",

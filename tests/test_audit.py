@@ -218,7 +218,7 @@ def test_sliced_windows_equal_plain_windows(spark, given_slices):
 def test_ranges_split_a_hot_key(spark):
     """No task of the window gets more than a range of the hot key, although all its rows share one instant."""
     hot = spark.range(4000).select(F.lit("hot").alias("k"), F.lit(1).alias("t"), "id")
-    sliced = _sliced(hot, ["k"], None, [F.col("t"), F.col("id")])
+    sliced = _sliced(hot, ["k"], None, [F.col("t"), F.col("id")], 1000)
     sizes = [r["count"] for r in sliced.groupBy("_group").count().collect()]
     assert sum(sizes) == 4000 and len(sizes) == 4 and max(sizes) < 2000
 
