@@ -93,20 +93,20 @@ def classify_votes(decisions: DataFrame, votes: DataFrame, roles: DataFrame,
     veto that closes it. Aggregates find the first votes and the closing time; the votes themselves are joined, not ranked, so
     that Spark can split a decision with very many votes.
     """
-    first = first_votes(decisions, votes, roles)
-    closing = _closing(first, roles).select("decision_id", "_closed")
-    subject = decisions.select(F.col("id").alias("decision_id"), "domain_id", "status", F.lit(True).alias("_known")).join(
-        closing, "decision_id", "left"
-    )
+    subject = decisions.select(F.col("id").alias("decision_id"), "domain_id", "status", F.lit(True).alias("_known"))
     if vetoes is not None:
         vetoed = _first_veto(eligible_vetoes(decisions, vetoes, roles))
         subject = subject.join(vetoed.select("decision_id", F.col("_first.vetoed_at").alias("_vetoed")), "decision_id", "left")
     holder = roles.select(F.col("user_id").alias("voter_id"), "domain_id", F.col("role").alias("voter_role"))
-    joined = (
-        votes.join(_earliest(votes).select("decision_id", "voter_id", "_first"), ["decision_id", "voter_id"], "left")
-        .join(subject, "decision_id", "left")
-        .join(holder, ["voter_id", "domain_id"], "left")
+    # One row per decision and voter carries all that is known about them, so the votes are joined once.
+    first = _earliest(votes).join(subject, "decision_id", "left").join(holder, ["voter_id", "domain_id"], "left")
+    counting = first.where("status = 'awaiting_approval' AND voter_role IS NOT NULL")
+    closing = _closing(counting, roles).select("decision_id", "_closed")
+    about = first.join(closing, "decision_id", "left").drop("vote").withColumnsRenamed(
+        {"decision_id": "_decision", "voter_id": "_voter"}
     )
+    same = (F.col("decision_id") == F.col("_decision")) & F.col("voter_id").eqNullSafe(F.col("_voter"))
+    joined = votes.join(about, same, "left").drop("_decision", "_voter")
     stamp = F.struct("voted_at", "id")
     late = F.coalesce(stamp > F.col("_closed"), F.lit(False))
     if vetoes is not None:
