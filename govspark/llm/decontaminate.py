@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from govspark.llm.words import ALPHANUMERIC, Slice, run_hashes, slices
+from govspark.llm.words import ALPHANUMERIC, Slice, bounded_batches, run_hashes, slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -246,6 +246,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     tables give empty leaks. A column named leaks in ``docs`` is replaced; clashing names in ``benchmark`` are no
     matter, as only its id and text are read.
     """
+    bounded_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     found = docs.drop("leaks").withColumn("leaks", F.array().cast(_MATCH))
     for items in _chunks(benchmark, item_id, item_text):

@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from govspark.llm.words import bounded_batches
 from govspark.session import fresh_path
 
 CAPACITY = 32 << 20
@@ -153,6 +154,7 @@ def build_index(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY,
     Index: bucket, key, chain (place among the texts of one key), sha, text, copies, largest (id).
     Stamps: _id, _key, _sha, _bytes.
     """
+    bounded_batches(spark)
     stamped = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(
         _stamp, _STAMPED
     )

@@ -42,7 +42,7 @@ from govspark.llm.arrays import (
     write_array,
 )
 from govspark.llm.language import held_out
-from govspark.llm.words import BLANK_SEPARATED, mix, slices
+from govspark.llm.words import BLANK_SEPARATED, bounded_batches, mix, slices
 from govspark.session import fresh_path
 
 RANGE_BYTES = 16 << 20
@@ -303,6 +303,7 @@ class Model:
 def train(texts: DataFrame, range_bytes: int = RANGE_BYTES) -> Model:
     """Count the texts (one column, null: empty) and write the model to the shared folder."""
     spark = texts.sparkSession
+    bounded_batches(spark)
     folder = local_folder(fresh_path(spark, "ngrams"))
     column = texts.columns[0]
     size = texts.agg(F.sum(F.octet_length(column))).first()[0] or 0

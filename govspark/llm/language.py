@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from govspark.llm.words import text_buffer
+from govspark.llm.words import bounded_batches, text_buffer
 
 FEATURES = 4096
 SAMPLE = 4000
@@ -153,6 +153,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> Model |
 
     At most ``sample`` rows are used: ``sample / languages`` of each language, drawn by a hash of the id.
     """
+    bounded_batches(rows.sparkSession)
     known = rows.where("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
@@ -189,6 +190,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     Columns of those names in ``docs`` are replaced. Without a model every text is ``und``.
     """
     added = ["lang_pred", "lang_score", "lang_ambiguous"]
+    bounded_batches(docs.sparkSession)
     docs = docs.drop(*added)
     names = docs.columns
     source = docs.select("*", F.col(text).alias("_language_text"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from govspark.llm.words import BLANK_SEPARATED, slices
+from govspark.llm.words import BLANK_SEPARATED, bounded_batches, slices
 from govspark.session import fresh_path
 
 CAPACITY = 2048
@@ -104,6 +104,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     path = fresh_path(spark, "lengths")
     docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                 F.col("text").alias("_text")).mapInArrow(

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from govspark.llm.words import BLANK_SEPARATED, slices
+from govspark.llm.words import BLANK_SEPARATED, bounded_batches, slices
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -372,6 +372,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     the SHA-256 of the base spans joined so. Null and empty texts have none. Repeated rows are each scanned; a null id
     is carried through; an empty table gives an empty result; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     field = Field().fit(labelled_rows())
     shared = docs.sparkSession.sparkContext.broadcast((field.emit, field.step, field.begin))
 

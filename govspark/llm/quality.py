@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from govspark.llm.language import held_out
-from govspark.llm.words import BLANK_SEPARATED, text_buffer
+from govspark.llm.words import BLANK_SEPARATED, bounded_batches, text_buffer
 
 FEATURES = 1 << 15
 GRAMS = (1, 2, 3, 4)
@@ -171,6 +171,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     learned from. Without both classes every score is 0.5. An empty table gives an empty result; other columns of
     either table are ignored.
     """
+    bounded_batches(docs.sparkSession)
     plain = docs.select("doc_id", "text")
     model = fit(plain.where(~held_out("doc_id", 3, 1)), labels.select("doc_id", "quality").where(~held_out("doc_id", 3, 1)),
                 sample)

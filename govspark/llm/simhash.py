@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from govspark.llm.graph import components
-from govspark.llm.words import BLANK_SEPARATED, Slice, slices
+from govspark.llm.words import BLANK_SEPARATED, Slice, bounded_batches, slices
 from govspark.session import fresh_path
 
 SHINGLE = 4
@@ -89,6 +89,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     one space, repeats included. A bit is set if set in more than half the hashes. Fewer words make one shingle; no
     words (or a null text) make fingerprint zero.
     """
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(
         _fingerprint, "_id long, _print long"
     )

@@ -11,9 +11,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 SLICE_BYTES = 1 << 20
 
+#: Rows and bytes of the batches of whole texts that go to and from Python.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
 #: Bytes that belong to a word: all but blank and the controls from tab to carriage return.
 BLANK_SEPARATED = np.ones(256, dtype=bool)
 BLANK_SEPARATED[[0x20, *range(0x09, 0x0E)]] = False
@@ -31,6 +35,16 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch limits to a few megabytes, so that batches of long texts, with copies on both
+    sides, fit beside each other in an executor. Lower limits stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        if now is None or not 0 < int(now.rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """``base ** 0 .. base ** (n - 1)`` modulo 2**64."""
     known = _powers.get(int(base))
