@@ -13,7 +13,7 @@ an anchor, and only anchors are counted over the whole corpus.
 2. Confirm windows of those others by counting them, and fetch the words of every confirmed phrase, once, from one
    bucket that holds it.
 3. Compile and stream. Each bucket of documents gets the words of the confirmed phrases that its documents may hold,
-   compiled into an Aho-Corasick automaton over word numbers: the dictionary is sharded by where it is needed, so no
+   compiled into an Aho-Corasick automaton over spelt word numbers: the dictionary is sharded by where it is needed, so no
    document meets phrases it cannot hold, and the work stays in proportion to the input. All documents stream
    through their bucket's automaton, which locates every occurrence of a phrase by its words, not by hash. A window
    recurs if its anchor is located and its windows are confirmed.
@@ -46,7 +46,7 @@ from govspark.llm.arrays import (
     unpack_sorted,
     write_array,
 )
-from govspark.llm.words import BLANK_SEPARATED, Slice, mix, run_hashes, slices
+from govspark.llm.words import BLANK_SEPARATED, Slice, bounded_batches, mix, run_hashes, slices
 from govspark.session import fresh_path
 
 WINDOW = 35
@@ -345,33 +345,40 @@ def _write_confirmed(folder: str):
 
 
 class Automaton:
-    """The confirmed phrases of one bucket over numbers of their words; other words are number 0."""
+    """The confirmed phrases of one bucket. A word is spelt by three letters of its number, each from an alphabet of
+    its own, so that no node has many children and a match can only begin at a word; unknown words are number 0."""
+
+    LETTERS = np.array([0x100, 0x4000, 0x8000], dtype=np.uint32)
 
     def __init__(self, lines: list[bytes]) -> None:
         self.numbers: dict[bytes, int] = {}
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        self.length = 0
-        for i, line in enumerate(lines):
-            words = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in line.split(b" "))
-            self.length = len(words)
-            self.machine.add_word(words, i)
-        if lines:
+        phrases = [[self.numbers.setdefault(w, len(self.numbers) + 1) for w in line.split(b" ")] for line in lines]
+        self.length = len(phrases[0]) if phrases else 0
+        self.base = max(2, int(np.ceil((len(self.numbers) + 1) ** (1 / 3))) + 1)
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, phrase in enumerate(phrases):
+            self.machine.add_word(self.spell(np.array(phrase)), i)
+        if phrases:
             self.machine.make_automaton()
 
+    def spell(self, numbers: np.ndarray) -> str:
+        digits = np.stack([numbers // self.base**2, numbers // self.base % self.base, numbers % self.base], axis=1)
+        return (digits.astype(np.uint32) + self.LETTERS).astype("<u4").tobytes().decode("utf-32-le")
+
     def locate(self, part: Slice, hashes: np.ndarray) -> np.ndarray:
         """For every word of a slice, the phrase that starts there, or -1."""
         out = np.full(len(hashes), -1, dtype=np.int64)
-        if not len(self.machine):
+        if not self.length:
             return out
         _, first, place = np.unique(hashes, return_index=True, return_inverse=True)
         number = np.array([self.numbers.get(part.data[a:b].tobytes(), 0) for a, b in
                            zip(part.starts[first].tolist(), part.ends[first].tolist(), strict=True)], dtype=np.int64)[place]
         for a, b in zip(part.words[:-1].tolist(), part.words[1:].tolist(), strict=True):
             if b - a >= self.length:
-                found = list(self.machine.iter(tuple(number[a:b].tolist())))
+                found = list(self.machine.iter(self.spell(number[a:b])))
                 if found:
                     ends, which = zip(*found, strict=True)
-                    out[np.array(ends) + (a - self.length + 1)] = which
+                    out[(np.array(ends) + 1) // 3 + (a - self.length)] = which
         return out
 
 
@@ -437,6 +444,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     staged_path, side = fresh_path(spark, "staged"), fresh_path(spark, "phrases")
     folder = local_folder(side)
     docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).cast("long").alias("doc_id"),
