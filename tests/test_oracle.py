@@ -26,6 +26,7 @@ def test_entry(spark):
     assert result.count() == 3 and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_run_events_without_sql(spark, sf):
+def test_run_events_are_told_apart(spark, sf):
+    """A start and a completion per run, although the completion was appended twice."""
     events = QUERIES["lineage_events"](spark, sf)
-    assert events.count() == events.select("run_id").distinct().count() == 200
+    assert events.count() == 400 and events.select("run_id").distinct().count() == 200
