@@ -5,16 +5,15 @@ not matter; shingles are five words. A document leaks an item if some window of
 weighted Jaccard similarity of at least ``SIMILARITY`` = 0.8 with the item: shingles are multisets, and a
 shingle weighs ln(1 + items / items that have it), so boilerplate common to many items weighs little.
 
-Candidates come from SimHash over item-sized windows. Items are put into size classes; a class slides a window of
-``c`` words (at most 0.8 of its shortest item) with a step such that every whole copy of an item contains at least two
-full windows, whatever its place. The index holds the fingerprints of all ``c``-word windows of the items at every
-offset, so a window inside a verbatim copy meets its own fingerprint. The 64 bits are cut into three blocks; each
-item fingerprint is filed under all values within two bits of each of its blocks. Two fingerprints within
-``RADIUS`` = 8 bits differ in at most two bits in one block, so every one of them is found. Candidates are
-aligned with the item by the offset, and the exact similarity decides.
+A window is cut off where the text ends or starts.
 
-Items shorter than five words match as one shingle of all their words. A copy with edits so dense that neither of its
-windows stays within the radius is missed; ``tests/llm`` measures that against brute force.
+Candidates follow from the bound: a window at or above ``SIMILARITY`` holds at least 0.8 of the item's weight, so at
+least one of any shingles that weigh more than 0.2 of the item together. Each item's rarest shingles up to that weight
+are its anchors, and every place of a text that holds an anchor opens all windows around it. Their similarities
+come from running sums, with multisets counted by the place at which a shingle becomes surplus; the exact sum
+decides at the threshold. So no pair is missed, wherever the edits are, however many there are and however long the item.
+
+Items shorter than five words match as one shingle of all their words.
 
 Scale: one pass over whole texts without a shuffle. The benchmark is the stated query set; it is broadcast in chunks
 of ``ITEMS`` items and ``ITEM_BYTES`` bytes, each chunk one pass, so its size is bounded however many items there are.
@@ -40,35 +39,19 @@ ITEMS = 512
 ITEM_BYTES = 1 << 20
 #: Lowest bit and width of the blocks.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
-LONGEST = 250  # shingles of a window; the counters of a bit are bytes
+PRESENT_BITS = 20
+#: Above what running sums may be off; the exact sum decides within it.
+MARGIN = 1e-9
+#: Pairs of a place and an item that are looked at together.
+PAIRS = 1 << 20
 
 _MATCH = "array<struct<item_id: long, first_word: long, last_word: long, similarity: double>>"
-_LANES = np.array([sum(1 << (8 * j) for j in range(8) if b >> j & 1) for b in range(256)], dtype=np.uint64)
-_ONES = np.uint64(0x0101010101010101)
-
-
-class BitSums:
-    """Running sums of every bit of the shingle hashes; one byte counter per bit."""
-
-    def __init__(self, hashes: np.ndarray) -> None:
-        octets = hashes.view(np.uint8).reshape(-1, 8)
-        self.sums = np.zeros((8, len(hashes) + 1), dtype=np.uint64)
-        for lane in range(8):
-            np.cumsum(_LANES[octets[:, lane]], out=self.sums[lane, 1:])
-
-    def fingerprints(self, starts: np.ndarray, counts: np.ndarray | int) -> np.ndarray:
-        """SimHash of ``counts`` shingles (at most 255) from each start: bits set in more than half of them."""
-        rise = (np.uint64(127) - np.asarray(counts, np.uint64) // np.uint64(2)) * _ONES
-        ends = starts + counts
-        out = np.zeros(len(starts), dtype=np.uint64)
-        for lane in range(8):
-            high = ((self.sums[lane][ends] - self.sums[lane][starts] + rise) >> np.uint64(7)) & _ONES
-            out |= ((high * np.uint64(0x0102040810204080)) >> np.uint64(56)) << np.uint64(8 * lane)
-        return out
 
 
 @dataclass
 class SizeClass:
+    """Fingerprints that are found within ``RADIUS`` bits. The search for leaks does not use it: it needs no radius."""
+
     words: int  #: words of a window
     shingle: int
     step: int
@@ -106,24 +89,60 @@ class SizeClass:
         return np.concatenate(rows), np.concatenate(own)
 
 
+def _sorted(weights: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in order and their weights."""
+    keys = sorted(weights)
+    return np.array(keys, np.uint64), np.array([weights[s] for s in keys], np.float64)
+
+
 def _multiset(hashes: np.ndarray) -> dict[int, int]:
     values, counts = np.unique(hashes, return_counts=True)
     return dict(zip(values.tolist(), counts.tolist(), strict=True))
 
 
+@dataclass
+class Anchors:
+    """Anchor shingles of the items with one shingle length, in order, and the items that have them."""
+
+    keys: np.ndarray
+    items: np.ndarray
+    present: np.ndarray  #: by the low bits of a shingle: whether an anchor has them
+
+    @classmethod
+    def of(cls, pairs: list[tuple[int, int]]) -> Anchors:
+        keys, items = np.array([s for s, _ in pairs], np.uint64), np.array([i for _, i in pairs], np.int64)
+        order = np.argsort(keys, kind="stable")
+        present = np.zeros(1 << PRESENT_BITS, dtype=bool)
+        present[keys & np.uint64(len(present) - 1)] = True
+        return cls(keys[order], items[order], present)
+
+    def places(self, shingles: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs (place, item) where the place has an anchor of the item, in blocks."""
+        hit = np.flatnonzero(self.present[shingles & np.uint64(len(self.present) - 1)])
+        low = np.searchsorted(self.keys, shingles[hit], "left")
+        many = np.searchsorted(self.keys, shingles[hit], "right") - low
+        hit, low, many = hit[many > 0], low[many > 0], many[many > 0]
+        ends = np.cumsum(many)
+        at = 0
+        while at < len(hit):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+            some, first = many[at:to], np.cumsum(many[at:to]) - many[at:to]
+            within = np.arange(int(some.sum())) - np.repeat(first, some)
+            yield np.repeat(hit[at:to], some), self.items[np.repeat(low[at:to], some) + within]
+            at = to
+
+
 class Index:
-    """Fingerprints and shingles of a bounded chunk of items."""
+    """Shingles and anchors of a bounded chunk of items."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]) -> None:
         column = pa.array([t for _, t in items], pa.large_string())
         self.ids, self.lengths, self.shingles = [i for i, _ in items], [], []
-        runs: list[np.ndarray] = []
         for part in slices(column, ALPHANUMERIC, lower=True):
             words = part.hashes()
             for a, b in zip(part.words[:-1], part.words[1:], strict=True):
                 n, k = int(b - a), min(SHINGLE, int(b - a))
                 own = run_hashes(words[a:b], np.arange(n - k + 1), k) if n else np.zeros(0, np.uint64)
-                runs.append(own)
                 self.lengths.append(n)
                 self.shingles.append(_multiset(own))
         seen: dict[int, int] = {}
@@ -133,38 +152,23 @@ class Index:
         total = max(1, len(items))
         self.rare = float(np.log1p(total))
         self.weights = {s: float(np.log1p(total / n)) for s, n in seen.items()}
-        self.classes = self._classes(runs)
-        self.ready = False
-
-    def _classes(self, runs: list[np.ndarray]) -> list[SizeClass]:
-        sizes = [SHINGLE]
-        while sizes[-1] < LONGEST + SHINGLE - 1:
-            sizes.append(min(LONGEST + SHINGLE - 1, max(sizes[-1] + 1, sizes[-1] * 5 // 4)))
-        grouped: dict[tuple[int, int], list[int]] = {}
-        for i, n in enumerate(self.lengths):
-            if 0 < n < SHINGLE:
-                grouped.setdefault((n, n), []).append(i)
-            elif n:
-                words = max(s for s in sizes if s <= max(SHINGLE, n * 4 // 5))
-                grouped.setdefault((words, SHINGLE), []).append(i)
-        classes = []
-        for (words, shingle), members in sorted(grouped.items()):
-            count = words - shingle + 1
-            prints, items, offsets = [], [], []
-            for i in members:
-                places = np.arange(self.lengths[i] - words + 1)
-                prints.append(BitSums(runs[i]).fingerprints(places, count))
-                items.append(np.full(len(places), i))
-                offsets.append(places)
-            step = max(1, (min(self.lengths[i] for i in members) - words + 1) // 2)
-            classes.append(SizeClass(words, shingle, step, *map(np.concatenate, (prints, items, offsets))))
-        return classes
-
-    def prepare(self) -> None:
-        if not self.ready:
-            for size in self.classes:
-                size.prepare()
-            self.ready = True
+        self.common = _sorted({s: w for s, w in self.weights.items() if w < self.rare})
+        self.own = [(np.array(list(m), np.uint64), np.array([self.weights[s] for s in m]),
+                     np.array(list(m.values()), np.int64)) for m in self.shingles]
+        self.anchors = self._anchors()
+
+    def _anchors(self) -> dict[int, Anchors]:
+        """By shingle length: the rarest shingles of each item, until what is left is less than a leak must hold."""
+        grouped: dict[int, list[tuple[int, int]]] = {}
+        for i, (n, shingles) in enumerate(zip(self.lengths, self.shingles, strict=True)):
+            if n:
+                left = total = sum(self.weights[s] * c for s, c in shingles.items())
+                for s in sorted(shingles, key=lambda s: -self.weights[s]):
+                    if left < (SIMILARITY - MARGIN) * total:
+                        break
+                    grouped.setdefault(min(SHINGLE, n), []).append((s, i))
+                    left -= self.weights[s] * shingles[s]
+        return {k: Anchors.of(pairs) for k, pairs in grouped.items()}
 
     def similarity(self, item: int, found: dict[int, int]) -> float:
         own = self.shingles[item]
@@ -177,55 +181,78 @@ class Index:
         """Per text of the slice, per item: best similarity and the first and last word of that window."""
         words = part.hashes()
         out: dict[int, dict[int, tuple[float, int, int]]] = {}
-        cache: dict[int, tuple[np.ndarray, BitSums]] = {}
-        tested: set[tuple[int, int]] = set()
-        first, last = part.words[:-1], part.words[1:]
-        for size in self.classes:
-            if size.shingle not in cache:
-                k = size.shingle
-                shingles = np.zeros(len(words), np.uint64)
-                if len(words) >= k:
-                    shingles[: len(words) - k + 1] = run_hashes(words, np.arange(len(words) - k + 1), k)
-                cache[k] = (shingles, BitSums(shingles))
-            shingles, bits = cache[size.shingle]
-            starts, counts = self._windows(first, last, size)
-            for at in range(0, len(starts), 1 << 17):
-                begin = starts[at : at + (1 << 17)]
-                rows, entries = size.near(bits.fingerprints(begin, counts[at : at + (1 << 17)]))
-                aligned = {(int(begin[r] - size.offsets[e]), int(size.items[e])) for r, e in zip(rows, entries)}
-                for guess, item in aligned - tested:
-                    tested.add((guess, item))
-                    self._verify(guess, item, size.shingle, shingles, part, out)
+        for k, anchors in self.anchors.items():
+            starts = part.runs(k)
+            shingles = np.zeros(len(words), np.uint64)
+            shingles[starts] = run_hashes(words, starts, k)
+            inside = np.zeros(len(words), bool)
+            inside[starts] = True
+            counts = np.array(self.lengths) - k + 1  # shingles of each item
+            for place, item in anchors.places(shingles):
+                place, item = place[inside[place]], item[inside[place]]
+                text = np.searchsorted(part.words, place, "right") - 1
+                order = np.lexsort((place, item, text))
+                place, item, text = place[order], item[order], text[order]
+                fresh = np.ones(len(place), bool)  # no window has both this anchor and the one before
+                fresh[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (np.diff(place) >= counts[item[1:]])
+                heads = np.flatnonzero(fresh)
+                tails = np.append(heads[1:], len(place))[: len(heads)] - 1
+                for a, b in zip(heads.tolist(), tails.tolist(), strict=True):
+                    t, i = int(text[a]), int(item[a])
+                    low, high = int(part.words[t]), int(part.words[t + 1])
+                    best = self._best(i, k, shingles[low : high - k + 1], int(place[a]) - low, int(place[b]) - low)
+                    if best and best[0] > out.get(t, {}).get(i, (0.0,))[0]:
+                        out.setdefault(t, {})[i] = best
         return out
 
-    @staticmethod
-    def _windows(first: np.ndarray, last: np.ndarray, size: SizeClass) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and shingle counts of the windows: every step, the end of each text, and short texts as a whole."""
-        room = last - first - size.words
-        steps = np.where(room >= 0, room // size.step + 1, 0)
-        inner = np.repeat(first, steps) + (np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)) * size.step
-        ends = (last - size.words)[(room >= 0) & (room % size.step != 0)]
-        short = first[(room < 0) & (last - first >= size.shingle)]
-        few = (last - first)[(room < 0) & (last - first >= size.shingle)] - size.shingle + 1
-        full = size.words - size.shingle + 1
-        starts = np.concatenate([inner, ends, short])
-        return starts, np.concatenate([np.full(len(inner) + len(ends), full), few])
-
-    def _verify(self, guess: int, item: int, k: int, shingles: np.ndarray, part: Slice, out: dict) -> None:
-        length = self.lengths[item]
-        inside = min(max(guess + length // 2, 0), len(shingles) - 1)
-        text = int(np.searchsorted(part.words, inside, "right")) - 1
-        low, high = int(part.words[text]), int(part.words[text + 1])
-        for shift in (0, -1, 1, -2, 2):
-            a, b = max(low, guess + shift), min(high, guess + shift + length)
-            if b - a < k:
-                continue
-            score = self.similarity(item, _multiset(shingles[a : b - k + 1]))
-            best = out.setdefault(text, {})
-            if score >= SIMILARITY and score > best.get(item, (0.0,))[0]:
-                best[item] = (score, a - low, b - 1 - low)
-            if score == 1.0:
+    def _best(self, item: int, k: int, shingles: np.ndarray, first: int, last: int) -> tuple[float, int, int] | None:
+        """The first best of the windows around the anchors from ``first`` to ``last``, if it is a leak."""
+        keys, weights, counts = self.own[item]
+        size, end = self.lengths[item] - k + 1, len(shingles)
+        starts = np.arange(first - size + 1, last + 1)
+        low = max(int(starts[0]), 0)
+        region = shingles[low : min(last + size, end)]
+        at = np.minimum(np.searchsorted(keys, region), len(keys) - 1)
+        mine = keys[at] == region
+        # An occurrence counts in a window unless as many as the item has lie before it in that window.
+        spots, kinds = np.flatnonzero(mine), at[mine]
+        order = np.argsort(kinds, kind="stable")
+        rank, most = np.arange(len(order)), counts[kinds[order]]
+        earlier = np.maximum(rank - most, 0)
+        surplus = (rank >= most) & (kinds[order[earlier]] == kinds[order])
+        before = np.where(surplus, spots[order[earlier]], -1 - low - size)
+        left = np.maximum(np.maximum(spots[order] - size, before) + 1 + low, starts[0]) - starts[0]
+        right = np.minimum(spots[order] + low, last) + 1 - starts[0]
+        gain = np.where(left < right, weights[kinds[order]], 0.0)
+        change = np.bincount(np.minimum(left, right), gain, len(starts) + 1) - np.bincount(right, gain, len(starts) + 1)
+        both = np.cumsum(change)[:-1]
+        own = float((weights * counts).sum())
+        if both.max() < (SIMILARITY - MARGIN) * own:
+            return None
+        sums = np.concatenate([[0.0], np.cumsum(np.where(mine, weights[at], self._weights(region)))])
+        begin, stop = np.maximum(starts, 0), np.minimum(starts + size, end)
+        scores = both / (sums[stop - low] - sums[begin - low] + own - both)
+        best = float(scores.max())
+        if best < SIMILARITY - MARGIN:
+            return None
+        near = np.flatnonzero(scores >= best - 4 * MARGIN if best < SIMILARITY + MARGIN else scores >= best - MARGIN / 100)
+        exact: tuple[float, int, int] | None = None
+        for i in near.tolist():
+            a, b = int(begin[i]), int(stop[i])
+            score = self.similarity(item, _multiset(shingles[a:b]))
+            if score >= SIMILARITY and (exact is None or score > exact[0]):
+                exact = (score, a, b + k - 2)
+            if exact and best >= SIMILARITY + MARGIN:
                 break
+        return exact
+
+    def _weights(self, shingles: np.ndarray) -> np.ndarray:
+        """Weights of any shingles; one that no item has, or a single item has, is rare."""
+        keys, weights = self.common
+        if not len(keys):
+            return np.full(len(shingles), self.rare)
+        at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
+        return np.where(keys[at] == shingles, weights[at], self.rare)
 
 
 def _chunks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int | None, str | None]]]:
@@ -262,7 +289,6 @@ def _search(docs: DataFrame, shared, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        index.prepare()
         for batch in batches:
             before = batch.column(names.index("leaks")).to_pylist()
             for part in slices(batch.column(len(names)), ALPHANUMERIC, lower=True):

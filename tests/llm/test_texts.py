@@ -277,6 +277,49 @@ def test_edited_copies_are_found(spark):
     assert got <= expected.keys() and exact <= got and len(got) >= 0.95 * len(expected) and len(expected) > 100
 
 
+def index_leaks(docs: list[tuple], items: list[tuple]) -> dict[tuple, float]:
+    index, out = decontaminate.Index(items), {}
+    for part in slices(pa.array([t for _, t in docs], pa.string()), ALPHANUMERIC, lower=True):
+        for one, found in index.matches(part).items():
+            out.update({(docs[part.first + one][0], items[i][0]): s for i, (s, _, _) in found.items()})
+    return out
+
+
+@pytest.mark.parametrize("n", [33, 50, 55, 59, 120])
+def test_an_edit_at_every_place_is_found(n):
+    """One changed, left out or added word at each place: the pairs and similarities of brute force."""
+    random.seed(n)
+    words = ["w" + "".join(random.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    items = [(i, " ".join(random.choice(words) for _ in range(n))) for i in range(3)]
+    docs = []
+    for at, edit in itertools.product(range(n), range(3)):
+        copy = items[at % 3][1].split()
+        copy[at : at + 1] = [["changed"], [], [copy[at], "more"]][edit]
+        around = [[random.choice(words) for _ in range(n + random.randint(0, 20))] for _ in range(2)]
+        docs.append((3 * at + edit, " ".join([*around[0], *copy, *around[1]])))
+    expected, got = brute_leaks(docs, items), index_leaks(docs, items)
+    assert got.keys() == expected.keys() and len(got) > len(docs) // 6
+    assert all(math.isclose(got[k], expected[k]) for k in got)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**9), st.integers(1, 90), st.integers(2, 40), st.integers(0, 8))
+def test_many_edits_and_repeated_words_equal_brute_force(seed, n, vocabulary, edits):
+    """Few different words, so that shingles repeat, and items that share a passage."""
+    rng = random.Random(seed)
+    draw = lambda m: [f"v{rng.randrange(vocabulary)}" for _ in range(m)]
+    passage = draw(n // 3)
+    items = [(i, " ".join([*passage, *draw(n - len(passage))])) for i in range(4)]
+    docs = []
+    for d in range(6):
+        copy = rng.choice(items)[1].split()
+        for _ in range(edits):
+            copy[rng.randrange(len(copy))] = f"v{rng.randrange(vocabulary)}"
+        docs.append((d, " ".join([*(f"f{i}" for i in range(n)), *copy, *draw(rng.randint(0, 60))])))
+    expected, got = brute_leaks(docs, items), index_leaks(docs, items)
+    assert got.keys() == expected.keys() and all(math.isclose(got[k], expected[k]) for k in got)
+
+
 def test_leak_edges(spark, edge, empty):
     passage = next(r.text for r in edge.collect() if r.text and len(r.text.split()) == 60)
     benchmark = spark.createDataFrame([(1, passage.upper(), "x"), (1, passage, "y"), (2, None, "z"), (3, "", "z"), (None, "?!", "z")],
