@@ -3,7 +3,8 @@
 Words are runs of digits, letters and non-ASCII characters after lower-casing A-Z, so punctuation and line ends do
 not matter; shingles are five words. A document leaks an item if some window of it, as long as the item, has a
 weighted Jaccard similarity of at least ``SIMILARITY`` = 0.8 with the item: shingles are multisets, and a
-shingle weighs ln(1 + items / items that have it), so boilerplate common to many items weighs little.
+shingle weighs ln(1 + items / items that have it), so boilerplate common to many items weighs little. Items are counted
+over the whole benchmark, however it is cut into chunks.
 
 A window is cut off where the text ends or starts.
 
@@ -16,7 +17,8 @@ decides at the threshold. So no pair is missed, wherever the edits are, however
 Items shorter than five words match as one shingle of all their words.
 
 Scale: one pass over whole texts without a shuffle. The benchmark is the stated query set; it is broadcast in chunks
-of ``ITEMS`` items and ``ITEM_BYTES`` bytes, each chunk one pass, so its size is bounded however many items there are.
+of ``ITEMS`` items and ``ITEM_BYTES`` bytes, each chunk one pass, so its size is bounded however many items there are. Shingles are counted by Spark; those
+that two items or more have, and their weights, go to the driver and to every worker: 16 bytes each.
 """
 
 from __future__ import annotations
@@ -89,10 +91,19 @@ class SizeClass:
         return np.concatenate(rows), np.concatenate(own)
 
 
-def _sorted(weights: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in order and their weights."""
-    keys = sorted(weights)
-    return np.array(keys, np.uint64), np.array([weights[s] for s in keys], np.float64)
+def _common(seen: dict[int, int], total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that two items or more have, in order, and their weights."""
+    keys = sorted(s for s, n in seen.items() if n > 1)
+    return np.array(keys, np.uint64), np.log1p(total / np.array([seen[s] for s in keys], np.float64))
+
+
+def _item_shingles(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Words and shingles of every text."""
+    for part in slices(column, ALPHANUMERIC, lower=True):
+        words = part.hashes()
+        for a, b in zip(part.words[:-1], part.words[1:], strict=True):
+            n, k = int(b - a), min(SHINGLE, int(b - a))
+            yield n, run_hashes(words[a:b], np.arange(n - k + 1), k) if n else np.zeros(0, np.uint64)
 
 
 def _multiset(hashes: np.ndarray) -> dict[int, int]:
@@ -135,24 +146,21 @@ class Anchors:
 class Index:
     """Shingles and anchors of a bounded chunk of items."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]) -> None:
-        column = pa.array([t for _, t in items], pa.large_string())
-        self.ids, self.lengths, self.shingles = [i for i, _ in items], [], []
-        for part in slices(column, ALPHANUMERIC, lower=True):
-            words = part.hashes()
-            for a, b in zip(part.words[:-1], part.words[1:], strict=True):
-                n, k = int(b - a), min(SHINGLE, int(b - a))
-                own = run_hashes(words[a:b], np.arange(n - k + 1), k) if n else np.zeros(0, np.uint64)
-                self.lengths.append(n)
-                self.shingles.append(_multiset(own))
+    def __init__(self, items: list[tuple[int | None, str | None]], total: int | None = None,
+                 common: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """``total`` and ``common``: items of the whole benchmark and ``_common`` of it; by default ``items`` are all."""
+        own = list(_item_shingles(pa.array([t for _, t in items], pa.large_string())))
+        self.ids, self.lengths = [i for i, _ in items], [n for n, _ in own]
+        self.shingles = [_multiset(hashes) for _, hashes in own]
         seen: dict[int, int] = {}
         for shingles in self.shingles:
             for s in shingles:
                 seen[s] = seen.get(s, 0) + 1
-        total = max(1, len(items))
-        self.rare = float(np.log1p(total))
-        self.weights = {s: float(np.log1p(total / n)) for s, n in seen.items()}
-        self.common = _sorted({s: w for s, w in self.weights.items() if w < self.rare})
+        total = len(items) if total is None else total
+        self.rare = float(np.log1p(max(1, total)))
+        self.common = _common(seen, total) if common is None else common
+        known = np.array(list(seen), np.uint64)
+        self.weights = dict(zip(known.tolist(), self._weights(known).tolist(), strict=True))
         self.own = [(np.array(list(m), np.uint64), np.array([self.weights[s] for s in m]),
                      np.array(list(m.values()), np.int64)) for m in self.shingles]
         self.anchors = self._anchors()
@@ -173,7 +181,8 @@ class Index:
     def similarity(self, item: int, found: dict[int, int]) -> float:
         own = self.shingles[item]
         both = sum(self.weights[s] * min(n, own[s]) for s, n in found.items() if s in own)
-        total = sum(self.weights.get(s, self.rare) * n for s, n in found.items())
+        others = self._weights(np.array(list(found), np.uint64)).tolist()
+        total = sum(w * n for w, n in zip(others, found.values(), strict=True))
         total += sum(self.weights[s] * n for s, n in own.items())
         return both / (total - both) if total > both else 1.0
 
@@ -247,7 +256,7 @@ class Index:
         return exact
 
     def _weights(self, shingles: np.ndarray) -> np.ndarray:
-        """Weights of any shingles; one that no item has, or a single item has, is rare."""
+        """Weights of any shingles, also of other chunks' items; one that no item or a single item has is rare."""
         keys, weights = self.common
         if not len(keys):
             return np.full(len(shingles), self.rare)
@@ -255,11 +264,24 @@ class Index:
         return np.where(keys[at] == shingles, weights[at], self.rare)
 
 
-def _chunks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int | None, str | None]]]:
-    """The benchmark in chunks of at most ITEMS items and about ITEM_BYTES bytes; one chunk at a time is collected."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t"))
-    n, size = items.agg(F.count("*"), F.sum(F.octet_length("t"))).first()
-    parts = max(-(-n // (ITEMS // 2)) if n > ITEMS else 1, -(-(size or 0) // ITEM_BYTES), 1)
+def _common_of(items: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """``_common`` of a whole benchmark, counted by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, hashes in _item_shingles(batch.column("t")):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes).view(np.int64))], names=["shingle"])
+
+    counted = items.select("t").mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 1").toArrow()
+    keys = counted["shingle"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.log1p(total / counted["count"].to_numpy()[order].astype(np.float64))
+
+
+def _chunks(items: DataFrame, n: int, size: int) -> Iterator[list[tuple[int | None, str | None]]]:
+    """``n`` items of ``size`` bytes in chunks of at most about ITEMS items and ITEM_BYTES bytes; one at a time is
+    collected."""
+    parts = max(-(-n // (ITEMS // 2)) if n > ITEMS else 1, -(-size // ITEM_BYTES), 1)
     for part in range(parts):
         mine = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part) if parts > 1 else items
         yield sorted(((r["i"], r["t"]) for r in mine.collect()), key=repr)
@@ -276,19 +298,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     bounded_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     found = docs.drop("leaks").withColumn("leaks", F.array().cast(_MATCH))
-    for items in _chunks(benchmark, item_id, item_text):
-        found = _search(found, context.broadcast(Index(items)), text)
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
+    total, size = items.agg(F.count("*"), F.sum(F.octet_length("t"))).first()
+    common = _common_of(items, total)
+    shared = context.broadcast(common)
+    for chunk in _chunks(items, total, size or 0):
+        index = Index(chunk, total, common)
+        index.common = None  # sent once, not with each chunk
+        found = _search(found, context.broadcast(index), shared, text)
     return found
 
 
-def _search(docs: DataFrame, shared, text: str) -> DataFrame:
+def _search(docs: DataFrame, chunk, shared, text: str) -> DataFrame:
     names = docs.columns
     source = docs.withColumn("_leak_text", F.col(text))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()),
                                ("similarity", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index = chunk.value
+        index.common = shared.value
         for batch in batches:
             before = batch.column(names.index("leaks")).to_pylist()
             for part in slices(batch.column(len(names)), ALPHANUMERIC, lower=True):

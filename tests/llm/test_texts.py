@@ -342,6 +342,27 @@ def test_benchmark_in_chunks(spark, edge, monkeypatch):
     assert {r[:2] for r in whole} == {r[:2] for r in collected(decontaminate.leaked_pairs(edge, benchmark), "doc_id", "item_id")}
 
 
+def test_chunks_weigh_shingles_over_the_whole_benchmark(spark, monkeypatch):
+    """Boilerplate of some items and passages of two: the chunk an item falls into does not change its similarity."""
+    random.seed(6)
+    draw = lambda n: " ".join(f"w{random.randrange(4000)}" for _ in range(n))
+    boilerplate, passages = draw(14), [draw(12) for _ in range(20)]
+    items = [(i, f"{draw(20)} {passages[i % 20]} {boilerplate if i % 3 else draw(9)}") for i in range(40)]
+    docs = []
+    for i, text in items:
+        copy = text.split()
+        copy[random.randrange(len(copy))] = "changed"
+        docs.append((i, f"{draw(60)} {' '.join(copy)} {boilerplate if i % 2 else ''} {draw(30)}"))
+        docs.append((100 + i, f"{draw(60)} {' '.join(text.split()[:-4])} {passages[i // 2]}"))
+    data, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    expected = brute_leaks(docs, items)
+    for most in (decontaminate.ITEMS, 16):
+        monkeypatch.setattr(decontaminate, "ITEMS", most)
+        got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaked_pairs(data, benchmark).collect()}
+        assert got.keys() == expected.keys() and len(got) > 30
+        assert all(math.isclose(got[k], expected[k]) for k in got)
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.integers(0, 2**64 - 1), st.sets(st.integers(0, 63), max_size=8))
 def test_every_print_within_the_radius_is_a_candidate(value, flips):
