@@ -7,8 +7,8 @@ its sources and one of its duplicate clusters. The search starts at the successo
 smallest residual that holds it, and goes on through larger residuals until a bin without a conflict is found: the
 tightest compatible bin. Without one, a new bin opens.
 
-Scale: pieces are spread over shards of about ``SHARD_ROWS`` by a hash of document and piece, so neither a hot source
-nor a group of copies gathers in one task, and the number of shards grows with the input. A shard is packed by
+Scale: pieces are spread over shards of about ``SHARD_ROWS`` by a hash of document, row and piece; the row number is written
+with the lengths. So neither a hot source nor a group of copies or of repeated rows gathers in one task, and the number of shards grows with the input. A shard is packed by
 itself, on four small columns without texts; it leaves a few bins open at its end, which is what splitting costs.
 """
 
@@ -109,7 +109,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                 F.col("text").alias("_text")).mapInArrow(
         _measure, "doc_id long, source string, tokens long, cluster long"
-    ).write.parquet(path)
+    ).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
     measured = spark.read.parquet(path)
     many = F.greatest(F.ceil(F.col("tokens") / capacity), F.lit(1)).cast("long")
     pieces = measured.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)))
@@ -119,7 +119,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     spread = pieces.select(
         "doc_id", "source", "cluster", "piece", first.alias("first_token"),
         F.least(F.col("tokens") - first, F.lit(capacity)).cast("long").alias("n_tokens"),
-        F.pmod(F.xxhash64("doc_id", "cluster", "piece"), F.lit(shards)).alias("shard"),
+        F.pmod(F.xxhash64("doc_id", "cluster", "row", "piece"), F.lit(shards)).alias("shard"),
     )
     columns = [c.split()[0] for c in _PACKED.split(", ")]
 

@@ -479,6 +479,14 @@ def test_packing_places_everything(edge, empty):
     assert packing.pack(empty).collect() == []
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_repeated_rows_spread_over_the_shards(spark, doc_id):
+    rows = [(doc_id, "one two three", "s")] * 2000 + [(i, f"text {i}", "t") for i in range(1000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), shard_rows=100)
+    shards = Counter(r.shard for r in got.collect())
+    assert sum(shards.values()) == 3000 and len(shards) == 30 and max(shards.values()) < 200
+
+
 def test_tightest_compatible_bin():
     """Best fit as one would do it by looking at every bin."""
     random.seed(6)
