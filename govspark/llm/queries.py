@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govspark.llm import decontaminate, exact, kneser_ney, language, licenses, packing, phrases, pii, quality, simhash
+from govspark.llm import decontaminate, exact, kneser_ney, language, licenses, packing, phrases, pii, quality, simhash, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -158,3 +158,45 @@ def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 @query("op7_language_id")
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
+
+
+@query("op11_spelling_variants", r"""
+    WITH RECURSIVE crc AS MATERIALIZED (
+      SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+    lowered AS (
+      SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r
+      FROM documents),
+    spelt AS (
+      SELECT r, count(*) AS m, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || r)) AS x FROM lowered GROUP BY doc_id, r),
+    octets AS (
+      SELECT r, m, list_transform(range(len(x) // 2), lambda i: (strpos('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) - 1) * 16
+             + strpos('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 1) AS b FROM spelt),
+    hashed AS MATERIALIZED (
+      SELECT r, m, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, y: xor(t[(xor(c, y) & 255) + 1], c >> 8)), 4294967295) AS h
+      FROM octets, crc),
+    words AS MATERIALIZED (
+      SELECT w AS word, sum(m)::BIGINT AS n
+      FROM (SELECT m, CASE WHEN h % 97 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS w FROM hashed)
+      WHERE length(w) >= 5 GROUP BY w HAVING sum(m) >= 3),
+    without AS (
+      SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+      FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+    near AS (
+      SELECT a.word, b.word AS other FROM without a JOIN without b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+      UNION SELECT a.word, b.word FROM without a JOIN words b ON a.rest = b.word
+      UNION SELECT b.word, a.word FROM without a JOIN words b ON a.rest = b.word),
+    best AS (
+      SELECT near.word, count(*) AS n_near, arg_min(other, (-n, other)) AS form, max(n) AS form_n
+      FROM near JOIN words ON other = words.word GROUP BY 1),
+    forms AS MATERIALIZED (
+      SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form,
+             CASE WHEN form_n >= 2 * n THEN form_n END AS form_n
+      FROM words LEFT JOIN best USING (word)),
+    chains(word, here, next) AS (
+      SELECT word, word, form FROM forms
+      UNION ALL SELECT chains.word, chains.next, forms.form FROM chains JOIN forms ON chains.next = forms.word)
+    SELECT word, form, chains.here AS root, n, n_near, form_n FROM forms JOIN chains USING (word) WHERE chains.next IS NULL
+""")
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, folder, "documents"))
