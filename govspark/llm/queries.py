@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govspark.llm import decontaminate, exact, kneser_ney, language, licenses, packing, phrases, pii, quality, simhash, variants
+from govspark.llm import (
+    alignment,
+    decontaminate,
+    exact,
+    kneser_ney,
+    language,
+    licenses,
+    packing,
+    phrases,
+    pii,
+    quality,
+    simhash,
+    variants,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -200,3 +213,8 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return variants.spelling_variants(table(spark, folder, "documents"))
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, folder, "documents"))
