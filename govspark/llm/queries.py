@@ -14,6 +14,7 @@ from govspark.llm import (
     kneser_ney,
     language,
     licenses,
+    neighbours,
     packing,
     phrases,
     pii,
@@ -218,3 +219,19 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_token_alignment")
 def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align_tokens(table(spark, folder, "documents"))
+
+
+@query("op13_nearest_neighbours", """
+    WITH sound AS (
+      SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+      WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    pairs AS (
+      SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(
+             range(1, len(q.v) + 1), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])), lambda a, b: a + b)) AS score
+      FROM sound q JOIN sound c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank, vec_id, score
+    FROM pairs QUALIFY rank <= 10
+""")
+def op13_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, folder, "embeddings"))
