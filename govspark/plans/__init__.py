@@ -5,6 +5,7 @@ from govspark.plans import (  # noqa: F401
     catalog,
     compliance,
     contracts,
+    counters,
     decisions,
     lineage,
     observability,
