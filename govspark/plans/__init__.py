@@ -11,6 +11,7 @@ from govspark.plans import (  # noqa: F401
     observability,
     privacy,
     quality,
+    stored,
     streams,
     topics,
 )
