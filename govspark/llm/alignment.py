@@ -11,8 +11,9 @@ their numbers, and per document which of them it holds how often, all packed. Th
 back to the chunks that hold them and evaluated chunk by chunk. What is shuffled are the distinct pairs of chunks and
 the packed chunks, never single links; nothing is collected or broadcast.
 
-Encoding: both tokenizers treat stretches that begin with white space (A) or spaces (B) independently of each other,
-so every distinct stretch is encoded once by the library and remembered.
+Encoding: neither tokenizer has a token that goes on behind a space after anything but white space, and neither looks
+across such a place. So the stretches between these places are independent, and every distinct one is encoded once
+by the libraries, many in one call, and remembered.
 
 Rows: texts that are null, empty, or not spelt back by either tokenizer have no tokens: zeros and ''. Null ids are
 carried through, repeated rows count each time, other columns are ignored, an empty table gives an empty result.
@@ -21,7 +22,7 @@ carried through, repeated rows count each time, other columns are ignored, an em
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
@@ -40,12 +41,17 @@ from govspark.session import fresh_path
 FOLDER, FILE_A, FILE_B = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of the texts that are aligned together, tokens between the places where long texts may be split, encoded
 #: stretches a worker remembers, and the longest of them worth remembering.
-SLICE_CHARS, LANE, REMEMBERED, LONGEST = 1 << 20, 512, 400_000, 64
+SLICE_CHARS, LANE, REMEMBERED, LONGEST = 1 << 20, 512, 600_000, 64
+#: Stretches that are encoded in one call.
+CALL = 2000
 
-#: White space in the sense of Unicode, and all else; Python's own class has four separators more.
-STRETCH_A = re.compile(r"[^\S\x1c-\x1f]+[\S\x1c-\x1f]*")
-STRETCH_B = re.compile(" +[^ ]*")
-ODD_SPACE = re.compile(r"[^\S\x1c-\x1f ]")
+#: Fixed value: where a byte-level vocabulary cuts a text before it merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+#: White space in the sense of Unicode (Python's class has four separators more), white space but the space, and the rest.
+_SPACE, _ODD, _REST = r"[^\S\x1c-\x1f]", r"[^\S\x1c-\x1f ]", r"[\S\x1c-\x1f]"
+#: From a space to before the next one that follows anything but white space.
+STRETCH = re.compile(f" +{_REST}*(?:{_ODD}{_SPACE}*{_REST}*)*")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -56,68 +62,52 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
-class Encoder:
-    """Token ids of stretches of text, each encoded once."""
+class Vocabulary:
+    """A tokenizer: how each token is spelt, and the ids of a text."""
 
-    def __init__(self, stretch: re.Pattern, spelling: list[bytes], encode: Callable[[list[str]], list[list[int]]]):
-        self.stretch, self.spelling, self._encode = stretch, spelling, encode
+    def __init__(self, spelling: list[bytes], encode: Callable[[str], list[int]]):
+        self.spelling, self._encode = spelling, encode
         self.size = np.array([len(s) for s in spelling], dtype=np.int64)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
-        self.sound = np.zeros(0, bool)
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode ``new`` and put it behind what is known."""
-        coded = self._encode(new)
-        sound = [b"".join(map(self.spelling.__getitem__, ids)) == s.encode() for ids, s in zip(coded, new)]
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        self.sound = np.concatenate([self.sound, np.array(sound, bool)])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(c) for c in coded], dtype=np.int64)])
-        self.ids = np.concatenate([self.ids, np.array([i for c in coded for i in c], dtype=np.int32)])
-
-    def __call__(self, stretches: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of the texts (given as their stretches) in a row, where each text begins and the last ends, and whether
-        the tokens of each text spell it."""
-        if len(self.known) > REMEMBERED:
-            self._forget()
-        flat = [s for text in stretches for s in text]
-        new = list({s for s in flat if s not in self.known})
-        if new:
-            self._learn(new)
-        place = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        for s in new:  # long ones are known for this call only; their ids stay until all is forgotten
-            if len(s) > LONGEST:
-                self.known[s] = -1
-        texts = np.concatenate([[0], np.cumsum([len(t) for t in stretches])])
-        first, sizes = self.ends[place], self.ends[place + 1] - self.ends[place]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.ids[np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])]
-        bounds = ends[texts]
-        wrong = np.concatenate([[0], np.cumsum(~self.sound[place])])[texts]
-        holds = wrong[1:] == wrong[:-1]
-        for k in np.flatnonzero(~holds).tolist():
-            spelt = b"".join(map(self.spelling.__getitem__, ids[bounds[k] : bounds[k + 1]].tolist()))
-            holds[k] = spelt == "".join(stretches[k]).encode()
-        return ids, bounds, holds
-
-
-def _byte_bpe(path: str) -> Encoder:
-    from tokenizers import Tokenizer
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    def spelt(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.spelling.__getitem__, ids.tolist()))
+
+    def encode(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all stretches in a row, how many each has, and whether they spell it."""
+        if len(stretches) > CALL:
+            parts = [self.encode(stretches[i : i + CALL]) for i in range(0, len(stretches), CALL)]
+            return tuple(np.concatenate(x) for x in zip(*parts))
+        whole = "".join(stretches)
+        ids = np.array(self._encode(whole), dtype=np.int32)
+        if len(stretches) == 1:
+            return ids, np.array([len(ids)]), np.array([self.spelt(ids) == whole.encode()])
+        want = np.cumsum([len(s.encode()) for s in stretches])
+        have = np.cumsum(self.size[ids])
+        at = np.searchsorted(have, want)
+        if len(ids) and have[-1] == want[-1] and (have[np.minimum(at, len(have) - 1)] == want).all() and self.spelt(ids) == whole.encode():
+            return ids, np.diff(at, prepend=-1), np.ones(len(stretches), bool)
+        half = len(stretches) // 2  # one of them is not spelt back: find it
+        parts = [self.encode(stretches[:half]), self.encode(stretches[half:])]
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _byte_bpe(path: str) -> Vocabulary:
+    """The vocabulary of the file; an id is also the rank of its merge, which is all that the faster of the two libraries
+    that know this kind of vocabulary needs. Tests compare it with the other one."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        content = json.load(file)
+    special = {t["id"] for t in content["added_tokens"]}
     alphabet = byte_alphabet()
-    spelling = [b""] * tokenizer.get_vocab_size()
-    for token, i in tokenizer.get_vocab().items():
-        spelling[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
-    return Encoder(STRETCH_A, spelling, lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)])
+    ranks = {bytes(alphabet[c] for c in token): i for token, i in content["model"]["vocab"].items() if i not in special}
+    spelling = [b""] * (max(ranks.values()) + 1)
+    for token, i in ranks.items():
+        spelling[i] = token
+    return Vocabulary(spelling, tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary)
 
 
-def _piece_bpe(path: str) -> Encoder:
+def _piece_bpe(path: str) -> Vocabulary:
     from sentencepiece import SentencePieceProcessor
 
     processor = SentencePieceProcessor(model_file=path)
@@ -126,19 +116,69 @@ def _piece_bpe(path: str) -> Encoder:
         piece = processor.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if processor.is_byte(i) else piece.replace("▁", " ").encode()
 
-    spelling = [spelt(i) for i in range(processor.get_piece_size())]
     space = [processor.piece_to_id("▁")]
+    # The model puts a space before what it is given, but not before nothing; every stretch begins with one.
+    return Vocabulary([spelt(i) for i in range(processor.get_piece_size())], lambda text: processor.encode(text[1:]) or space)
+
 
-    def encode(texts: list[str]) -> list[list[int]]:
-        """The model puts a space before what it is given, but not before nothing; every stretch begins with one."""
-        return [ids or space for ids in processor.encode([t[1:] for t in texts], num_threads=1)]
+class Memory:
+    """What both tokenizers make of the stretches seen so far."""
 
-    return Encoder(STRETCH_B, spelling, encode)
+    def __init__(self, a: Vocabulary, b: Vocabulary):
+        self.vocabularies = (a, b)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = [np.zeros(0, np.int32)] * 2
+        self.ends = [np.zeros(1, np.int64)] * 2
+        self.sound = [np.zeros(0, bool)] * 2
+
+    def _learn(self, new: list[str]) -> None:
+        self.known.update(zip(new, range(len(self.sound[0]), len(self.sound[0]) + len(new))))
+        for k, vocabulary in enumerate(self.vocabularies):
+            ids, sizes, sound = vocabulary.encode(new)
+            self.ids[k] = np.concatenate([self.ids[k], ids])
+            self.ends[k] = np.concatenate([self.ends[k], self.ends[k][-1] + np.cumsum(sizes)])
+            self.sound[k] = np.concatenate([self.sound[k], sound])
+
+    def __call__(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each tokenizer the ids of all texts in a row and where each text begins and the last ends. A text that
+        is empty or that one of them does not spell back has none."""
+        if len(self.sound[0]) > REMEMBERED:
+            self._forget()
+        flat, counts = [], []
+        for text in texts:
+            found = STRETCH.findall(text)
+            flat += found
+            counts.append(len(found))
+        if new := list(set(flat).difference(self.known)):
+            self._learn(new)
+        place = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        for s in new:
+            if len(s) > LONGEST:
+                del self.known[s]
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        holds = np.ones(len(texts), dtype=bool)
+        for vocabulary, ids, ends, sound in zip(self.vocabularies, self.ids, self.ends, self.sound):
+            wrong = np.concatenate([[0], np.cumsum(~sound[place])])[bounds]
+            for k in np.flatnonzero(wrong[1:] != wrong[:-1]).tolist():
+                own = place[bounds[k] : bounds[k + 1]].tolist()
+                holds[k] &= b"".join(vocabulary.spelt(ids[ends[p] : ends[p + 1]]) for p in own) == texts[k].encode()
+        kept = place[np.repeat(holds, counts)]
+        bounds = np.concatenate([[0], np.cumsum(np.where(holds, counts, 0))])
+        out = []
+        for ids, ends in zip(self.ids, self.ends):
+            first, sizes = ends[kept], ends[kept + 1] - ends[kept]
+            stops = np.concatenate([[0], np.cumsum(sizes)])
+            out.append((ids[np.repeat(first - stops[:-1], sizes) + np.arange(stops[-1])], stops[bounds]))
+        return out
 
 
 @lru_cache(maxsize=1)
-def encoders(folder: str) -> tuple[Encoder, Encoder]:
-    return _byte_bpe(f"{folder}/{FILE_A}"), _piece_bpe(f"{folder}/{FILE_B}")
+def memory(folder: str) -> Memory:
+    """The two tokenizers of a worker, and what it remembers."""
+    return Memory(_byte_bpe(f"{folder}/{FILE_A}"), _piece_bpe(f"{folder}/{FILE_B}"))
 
 
 # --- lockstep merging ---------------------------------------------------------------------------------------------
@@ -214,16 +254,10 @@ def decimal_table(most: int) -> tuple[np.ndarray, np.ndarray]:
 class Aligned:
     """Alignment of some texts: per text the numbers of tokens, groups, links, the digest, and its pairs of ids."""
 
-    def __init__(self, texts: list[str | None], a: Encoder, b: Encoder):
-        spaced = [f" {t}" if t else "" for t in texts]
-        stretches_a = [a.stretch.findall(t) for t in spaced]
-        stretches_b = [x if not ODD_SPACE.search(t) else b.stretch.findall(t) for x, t in zip(stretches_a, spaced)]
-        ids_a, bounds_a, good_a = a(stretches_a)
-        ids_b, bounds_b, good_b = b(stretches_b)
-        good = good_a & good_b
-        sizes_a, sizes_b = np.diff(bounds_a) * good, np.diff(bounds_b) * good
-        ids_a, ids_b = (x[np.repeat(good, np.diff(bounds))] for x, bounds in ((ids_a, bounds_a), (ids_b, bounds_b)))
-        bounds_a, bounds_b = (np.concatenate([[0], np.cumsum(s)]) for s in (sizes_a, sizes_b))
+    def __init__(self, texts: list[str | None], known: Memory):
+        a, b = known.vocabularies
+        (ids_a, bounds_a), (ids_b, bounds_b) = known([f" {t}" if t else "" for t in texts])
+        sizes_a, sizes_b = np.diff(bounds_a), np.diff(bounds_b)
         end_a, end_b = np.cumsum(a.size[ids_a]), np.cumsum(b.size[ids_b])
         some = np.flatnonzero(sizes_a)
         of_some = [np.append(x[some], x[-1]) for x in (bounds_a, bounds_b)]
@@ -262,7 +296,8 @@ def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
 def _align(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     """One row per batch. A pair's key is id_a * size of B + id_b; ``keys`` are the chunk's distinct ones in order,
     ``bag`` numbers (distinct text, key), ``times`` says how often each is linked."""
-    a, b = encoders(folder)
+    known = memory(folder)
+    a, b = known.vocabularies
     width = len(b.spelling)
     schema = None
     for number, batch in enumerate(batches):
@@ -270,7 +305,7 @@ def _align(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
         own = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         numbers, digests, texts, keys, times, done = [], [], [], [], [], 0
         for part in _slices(codes.dictionary.to_pylist()):
-            found = Aligned(part, a, b)
+            found = Aligned(part, known)
             key = found.id_a.astype(np.int64) * width + found.id_b
             pairs = np.sort(found.text * np.int64(len(a.spelling) * width) + key)
             first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, np.int64)
@@ -337,7 +372,7 @@ def align_tokens(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fo
     held = chunks.select("chunk", "keys", "totals").mapInArrow(_pairs, "chunk long, key long, n long")
     path = fresh_path(spark, "alignment-counts")
     held.groupBy("key").agg(F.sum("n").alias("n")).write.parquet(path)
-    counts = spark.read.parquet(path).withColumn("b", F.col("key") % F.lit(len(encoders(folder)[1].spelling)))
+    counts = spark.read.parquet(path).withColumn("b", F.col("key") % F.lit(len(_piece_bpe(f"{folder}/{FILE_B}").spelling)))
     highest = counts.groupBy("b").agg(F.max("n").alias("highest"))
     ranked = counts.join(highest, "b").select("key", "n", (F.col("n") == F.col("highest")).alias("best"))
     known = held.select("chunk", "key").join(ranked, "key").select("chunk", "key", "n", "best")

@@ -122,13 +122,15 @@ def test_odd_texts(spark, libraries):
 def test_stretches_are_forgotten_and_learnt_again(libraries, monkeypatch):
     tokenizer, processor = libraries
     monkeypatch.setattr(alignment, "REMEMBERED", 5)
-    a, b = alignment._byte_bpe(f"{alignment.FOLDER}/{alignment.FILE_A}"), alignment._piece_bpe(f"{alignment.FOLDER}/{alignment.FILE_B}")
+    monkeypatch.setattr(alignment, "CALL", 3)
+    known = alignment.Memory(*alignment.memory(alignment.FOLDER).vocabularies)
     random.seed(4)
     for _ in range(20):
-        text = " " + "".join(random.choice(ODD[:20]) for _ in range(12)) + "y" * random.choice([1, 90])
-        for encoder, want in ((a, tokenizer.encode(text, add_special_tokens=False).ids), (b, processor.encode(text[1:]))):
-            ids, bounds, holds = encoder([encoder.stretch.findall(text)])
-            assert holds.all() and ids.tolist() == want and bounds.tolist() == [0, len(want)]
+        texts = [" " + "".join(random.choice(ODD[:20]) for _ in range(12)) + "y" * random.choice([1, 90]) for _ in range(3)]
+        (ids_a, bounds_a), (ids_b, bounds_b) = known(texts)
+        for k, text in enumerate(texts):
+            assert ids_a[bounds_a[k] : bounds_a[k + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+            assert ids_b[bounds_b[k] : bounds_b[k + 1]].tolist() == processor.encode(text[1:])
 
 
 @pytest.mark.parametrize("length", [1, 3, 512])
