@@ -1,7 +1,8 @@
 """Laplace noise.
 
-Plain floating-point Laplace sampling leaks information through the spacing of doubles (Mironov 2012);
-use it for reporting, not against an adversary who sees many releases.
+Plain floating-point Laplace sampling (``laplace``) leaks information through the spacing of doubles (Mironov 2012); use it for
+reporting, not against an adversary who sees many releases. ``discrete_laplace`` is for values on a fixed grid: a
+released value is one of the grid's, whatever the true value was, so its low bits tell nothing.
 """
 
 from __future__ import annotations
@@ -24,3 +25,19 @@ def laplace(scale: Column, uniform: Column | None = None) -> Column:
     # rand() may return 0 exactly; the floor keeps the logarithm finite.
     tail = F.greatest(F.lit(1.0) - F.lit(2.0) * F.abs(centred), F.lit(1.0 / _STEPS))
     return -scale * F.signum(centred) * F.log(tail)
+
+
+def geometric(rate: Column, uniform: Column) -> Column:
+    """Failures before the first success, where each of them has probability exp(-rate)."""
+    return F.floor(-F.log(F.greatest(uniform, F.lit(0.5 / _STEPS))) / rate)
+
+
+def discrete_laplace(rate: Column, first: Column | None = None, second: Column | None = None) -> Column:
+    """Whole number z with probability proportional to exp(-rate * |z|): the difference of two geometric draws.
+
+    Two fresh draws per row unless uniform values are given. The draws have 52 bits, so numbers rarer than that do not
+    occur.
+    """
+    up = F.lit(1.0) - F.rand() if first is None else first
+    down = F.lit(1.0) - F.rand() if second is None else second
+    return geometric(rate, up) - geometric(rate, down)

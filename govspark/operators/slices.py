@@ -5,7 +5,8 @@ order, run the window inside a slice and carry one small row per slice across th
 deterministic.
 
 By default the slices are ranges of (keys, order) of about ``RANGE_ROWS`` rows, so neither a hot key nor a hot instant
-can fill one task; that needs a count and one range shuffle, written to the shared folder, when the function is called. A caller who
+can fill one task. The input is evaluated once, into the shared folder, when the function is called; it is counted there,
+sampled for the borders of the ranges, and shuffled once. A caller who
 knows that, say, a thousand versions of one contract are little, gives ``slice_by`` instead and stays lazy: an
 expression that grows with ``order`` (rows of an earlier slice come before rows of a later slice).
 
@@ -31,8 +32,11 @@ def _sliced(df: DataFrame, keys: list[str], slice_by: Column | None, order: list
     if slice_by is not None:
         return df.withColumn(_GROUP, F.struct(F.struct(*keys).alias("key"), slice_by.alias("slice")))
     spark = df.sparkSession
-    ranges = max(1, -(-df.count() // range_rows))
-    ranged = df.repartitionByRange(ranges, *keys, *order)
+    whole = fresh_path(spark, "sliced")
+    df.write.parquet(whole)
+    stored = spark.read.schema(df.schema).parquet(whole)
+    ranges = max(1, -(-stored.count() // range_rows))
+    ranged = stored.repartitionByRange(ranges, *keys, *order)
     # Range borders come from a sample: fix them in storage, so that every use of the slices sees the same ones. As
     # Parquet, so that each use reads its own columns alone.
     path = fresh_path(spark, "slices")
@@ -68,3 +72,17 @@ def previous_value(df: DataFrame, keys: list[str], order: list[Column], value: s
     )
     picked = F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_lagged"))
     return local.join(carried, _GROUP).withColumn(name, picked).drop("_first", "_lagged", "_carried", _GROUP)
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[Column], amount: Column, name: str,
+                slice_by: Column | None = None) -> DataFrame:
+    """Sum of ``amount`` over the rows of the key up to and with this one; nulls add nothing."""
+    sliced = _sliced(df, keys, slice_by, order).withColumn("_amount", amount)
+    sums = sliced.groupBy(_GROUP).agg(F.sum("_amount").alias("_sum"))
+    earlier = _across_slices().rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(_GROUP, F.sum("_sum").over(earlier).alias("_before"))
+    inside = Window.partitionBy(_GROUP).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = sliced.withColumn("_local", F.sum("_amount").over(inside))
+    none = F.lit(0).cast(sliced.schema["_amount"].dataType)
+    total = F.coalesce("_before", none) + F.coalesce("_local", none)
+    return local.join(offsets, _GROUP).withColumn(name, total).drop("_before", "_local", "_amount", _GROUP)

@@ -17,8 +17,10 @@ from govspark.operators.privacy import (
     policy_from_contract,
     spent_budget,
 )
+from govspark.operators.releases import noisy_on_grid, release, remaining_budget
 from govspark.plans import derived as d
 from govspark.plans.registry import query, table
+from govspark.session import fresh_path
 from govspark.vocabulary import CLASSIFICATIONS, CONTROLS, EPSILON, REQUIRED_CONTROLS, ROLE_PERMISSIONS
 
 _TYPE_CASE = "CASE " + " ".join(f"WHEN regexp_matches(name, '{p}', 'i') THEN '{t}'" for t, p in TYPE_PATTERNS) + " END"
@@ -146,6 +148,74 @@ def dp_budget(spark: SparkSession, folder: str) -> DataFrame:
     return budget.withColumn("epsilon_total", F.round("epsilon_total", 6))
 
 
+def _draw(seed: int, identity: str, side: str) -> str:
+    """Repeatable uniform value of the SQL form."""
+    return f"((CAST('0x' || substr(sha256('{seed}|' || {identity} || '|{side}'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)"
+
+
+def _discrete(seed: int, identity: str, rate: str) -> str:
+    return f"(floor(-ln({_draw(seed, identity, 'up')}) / ({rate})) - floor(-ln({_draw(seed, identity, 'down')}) / ({rate})))"
+
+
+@query("dp_grid_aggregates", f"""
+WITH metrics AS (SELECT o_orderpriority, o_orderstatus, sum(o_totalprice) AS total FROM orders GROUP BY 1, 2)
+SELECT o_orderpriority, o_orderstatus,
+       ((floor(total / 0.25 + 0.5) + {_discrete(3, "o_orderpriority || '|' || o_orderstatus", "0.5 / 400")}) * 0.25)::DOUBLE AS noisy_value
+FROM metrics""")
+def dp_grid_aggregates(spark: SparkSession, folder: str) -> DataFrame:
+    """Sums of prices (a customer changes them by 100 at most) on a grid of quarters."""
+    metrics = table(spark, folder, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.sum("o_totalprice").alias("total"))
+    noisy = noisy_on_grid(metrics, "total", F.lit(0.5), 100.0, 0.25, seed=3, identity=["o_orderpriority", "o_orderstatus"])
+    return noisy.select("o_orderpriority", "o_orderstatus", "noisy_value")
+
+
+# Seven line numbers ask for each of twenty datasets, the first four in a first batch; the second batch repeats them. One has
+# no budget.
+_RELEASES_SQL = f"""asked AS (
+  SELECT 's' || l_suppkey % 20 || '-' || l_linenumber AS request_id, 's' || l_suppkey % 20 AS dataset_id, l_linenumber AS n, 0.1 * (1 + l_linenumber % 4) AS epsilon,
+         count(*) AS value, CASE WHEN l_linenumber <= 4 THEN 0 ELSE 1 END AS batch
+  FROM lineitem GROUP BY ALL),
+ahead AS (SELECT *, sum(epsilon::DECIMAL(38,12)) OVER (PARTITION BY dataset_id, batch ORDER BY n) AS so_far FROM asked),
+first AS (SELECT dataset_id, sum(epsilon::DECIMAL(38,12)) AS spent FROM ahead WHERE batch = 0 AND so_far <= 0.95 AND dataset_id <> 's7' GROUP BY 1),
+judged AS (
+  SELECT ahead.*, CASE WHEN dataset_id = 's7' THEN 'dataset has no budget'
+         WHEN so_far + CASE WHEN batch = 1 THEN coalesce(spent, 0) ELSE 0 END > 0.95 THEN 'budget exhausted' END AS reason
+  FROM ahead LEFT JOIN first USING (dataset_id)),
+answers AS (
+  SELECT request_id, dataset_id, epsilon::DOUBLE AS epsilon, reason IS NULL AS released, reason,
+         CASE WHEN reason IS NULL THEN (floor(value + 0.5) + {_discrete(5, "request_id", "epsilon::DOUBLE")})::DOUBLE END AS noisy_value
+  FROM judged)"""
+
+
+def _released(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    dataset = F.concat(F.lit("s"), F.col("l_suppkey") % 20).alias("dataset_id")
+    asked = table(spark, folder, "lineitem").groupBy(dataset, "l_linenumber").agg(F.count("*").alias("value")).select(
+        F.concat_ws("-", "dataset_id", "l_linenumber").alias("request_id"), "dataset_id",
+        F.col("l_linenumber").alias("requested_at"), "value", (F.lit(0.1) * (1 + F.col("l_linenumber") % 4)).alias("epsilon"),
+    )
+    budgets = asked.select("dataset_id").distinct().where("dataset_id <> 's7'").withColumn("budget", F.lit(0.95))
+    path = fresh_path(spark, "ledger")
+    release(path, asked.where("requested_at <= 4"), budgets, seed=5)
+    return release(path, asked, budgets, seed=5), budgets
+
+
+@query("dp_releases", f"WITH {_RELEASES_SQL} SELECT request_id, dataset_id, round(epsilon, 6)::DOUBLE AS epsilon, released, reason, noisy_value FROM answers")
+def dp_releases(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts released until the budget of their dataset is spent; what was answered before is answered the same."""
+    answers, _ = _released(spark, folder)
+    return answers.withColumn("epsilon", F.round("epsilon", 6))
+
+
+@query("dp_remaining", f"""WITH {_RELEASES_SQL},
+spent AS (SELECT dataset_id, coalesce(sum(epsilon) FILTER (WHERE released), 0) AS spent, count(*) FILTER (WHERE NOT released) AS refused FROM answers GROUP BY 1)
+SELECT dataset_id, CASE WHEN dataset_id = 's7' THEN 0.0 ELSE 0.95 END::DOUBLE AS budget, round(spent, 6)::DOUBLE AS spent,
+       round(CASE WHEN dataset_id = 's7' THEN 0.0 ELSE 0.95 END - spent, 6)::DOUBLE AS remaining, refused
+FROM spent""")
+def dp_remaining(spark: SparkSession, folder: str) -> DataFrame:
+    ledger, budgets = _released(spark, folder)
+    return remaining_budget(ledger, budgets).withColumns({"spent": F.round("spent", 6), "remaining": F.round("remaining", 6)})
+
+
 _REQUIRED = "CASE classification " + " ".join(
     f"WHEN '{k}' THEN {d.sql_list(v)}" for k, v in REQUIRED_CONTROLS.items()
 ) + f" ELSE {d.sql_list(REQUIRED_CONTROLS['internal'])} END"

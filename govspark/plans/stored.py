@@ -16,6 +16,7 @@ from govspark.plans.streams import _VETO_SQL
 from govspark.session import fresh_path
 from govspark.sources import stored
 from govspark.streaming import state
+from govspark.streaming.chain import store_chain
 
 _EDGE = ["source_urn", "target_urn", "job_urn"]
 
@@ -174,3 +175,27 @@ def stream_vetoes_stored(spark: SparkSession, folder: str) -> DataFrame:
     arriving(spark, vetoes, "vetoes-in", F.pmod(F.crc32(F.col("veto_id").cast("string")), F.lit(3)),
              lambda stream, checkpoint: state.store_vetoes(stream, path, checkpoint))
     return state.expired_vetoes(spark, path).select("veto_id", "decision_id")
+
+
+@query("stream_hash_chain_stored", """WITH RECURSIVE messages AS (
+  SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE 'u' || user_id END AS chain_id,
+         '{"id": ' || event_id || ', "type": "' || event_type || '"}' AS body FROM events),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY event_id) AS rn FROM messages),
+chained AS (
+  SELECT event_id, chain_id, rn, sha256('genesis:' || body) AS event_hash FROM numbered WHERE rn = 1
+  UNION ALL
+  SELECT n.event_id, n.chain_id, n.rn, sha256(c.event_hash || ':' || n.body)
+  FROM chained c JOIN numbered n ON n.chain_id = c.chain_id AND n.rn = c.rn + 1)
+SELECT event_id AS sequence, chain_id, rn AS position, event_hash FROM chained""")
+def stream_hash_chain_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """One chain holds a third of all messages; three micro-batches continue every chain."""
+    rows = table(spark, folder, "events").select(
+        F.when(F.col("event_id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), "user_id")).alias("chain_id"),
+        F.col("event_id").alias("sequence"),
+        F.concat(F.lit('{"id": '), "event_id", F.lit(', "type": "'), "event_type", F.lit('"}')).alias("value"),
+    )
+    low, high = rows.approxQuantile("sequence", [0.33, 0.66], 0.01)
+    step = F.when(F.col("sequence") < low, 0).when(F.col("sequence") < high, 1).otherwise(2)
+    path = fresh_path(spark, "chains")
+    arriving(spark, rows, "chains-in", step, lambda stream, checkpoint: store_chain(stream, path, checkpoint))
+    return spark.read.parquet(path).select("sequence", "chain_id", "position", "event_hash")
