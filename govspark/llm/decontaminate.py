@@ -8,23 +8,32 @@ over the whole benchmark, however it is cut into chunks.
 
 A window is cut off where the text ends or starts.
 
-Candidates follow from the bound: a window at or above ``SIMILARITY`` holds at least 0.8 of the item's weight, so at
-least one of any shingles that weigh more than 0.2 of the item together. Each item's rarest shingles up to that weight
-are its anchors, and every place of a text that holds an anchor opens all windows around it. Their similarities
-come from running sums, with multisets counted by the place at which a shingle becomes surplus; the exact sum
-decides at the threshold. So no pair is missed, wherever the edits are, however many there are and however long the item.
+Candidates come from SimHash over item-sized windows. A window's features are its shingles, numbered where they repeat, each with
+the square root of its weight. The cosine of two such feature vectors is at least 2 J / (1 + J) for a weighted Jaccard
+similarity J, so at 0.8 a bit of the fingerprints differs with a probability of about acos(0.889) / pi = 0.151: of ``BITS`` =
+128 bits 19.4 are expected to differ, with a deviation of 4.1. ``RADIUS`` = 47 lies 6.8 deviations above. The items of one
+size share a multi-index: the bits are cut into ``len(BLOCKS)`` = 12 blocks; two fingerprints within the radius differ in at
+most three bits in one block, as 12 times 4 is more than 47. Each item is filed under all values within two bits of each of
+its blocks, and each window looks up all values within one bit, so every item within the radius is found. The exact
+weighted similarity of the window then decides.
+
+Which windows are fingerprinted follows from the bound, and loses none: a window at or above ``SIMILARITY`` holds at least
+0.8 of the item's weight, so at least one of any shingles that weigh more than 0.2 of the item together. Each item's rarest
+shingles up to that weight are its anchors, and every place of a text that holds an anchor opens all windows of that
+item's size around it.
 
 Items shorter than five words match as one shingle of all their words.
 
-Scale: one pass over whole texts without a shuffle. The benchmark is the stated query set; it is broadcast in chunks
-of ``ITEMS`` items and ``ITEM_BYTES`` bytes, each chunk one pass, so its size is bounded however many items there are. Shingles are counted by Spark; those
-that two items or more have, and their weights, go to the driver and to every worker: 16 bytes each.
+Scale: one pass over whole texts without a shuffle. The benchmark is the stated query set; its index is built and broadcast in
+chunks of ``ITEMS`` items and ``ITEM_BYTES`` bytes, about 20 kilobytes an item, and all chunks are searched in that one pass.
+Shingles are counted by Spark; those that two items or more have, and their weights, go to the driver and to every worker:
+16 bytes each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -32,63 +41,96 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from govspark.llm.words import ALPHANUMERIC, Slice, bounded_batches, run_hashes, slices
+from govspark.llm.streams import unused_name
+from govspark.llm.words import ALPHANUMERIC, Slice, bounded_batches, mix, run_hashes, slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 8
+BITS, RADIUS = 128, 47
 ITEMS = 512
 ITEM_BYTES = 1 << 20
 #: Lowest bit and width of the blocks.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
+BLOCKS = tuple((i * 11 - max(0, i - 8), 11 if i < 8 else 10) for i in range(12))
 PRESENT_BITS = 20
+#: Whole numbers in place of the square roots of weights, so that sums are exact.
+SCALE = 1 << 12
 #: Above what running sums may be off; the exact sum decides within it.
 MARGIN = 1e-9
-#: Pairs of a place and an item that are looked at together.
-PAIRS = 1 << 20
+#: Pairs of a place and an item, and windows of a text, that are looked at together.
+PAIRS, WINDOWS = 1 << 20, 1 << 12
 
 _MATCH = "array<struct<item_id: long, first_word: long, last_word: long, similarity: double>>"
 
 
-@dataclass
+def _flips(width: int, most: int) -> np.ndarray:
+    """All masks of ``width`` bits with up to ``most`` bits set."""
+    return np.array([sum(1 << i for i in bits) for n in range(most + 1) for bits in combinations(range(width), n)], np.int64)
+
+
+def _block(prints: np.ndarray, at: int, width: int) -> np.ndarray:
+    """The bits ``at`` to ``at + width`` of fingerprints of two words."""
+    low = prints[:, 0] >> np.uint64(at) if at < 64 else prints[:, 1] >> np.uint64(at - 64)
+    if at < 64 < at + width:
+        low = low | prints[:, 1] << np.uint64(64 - at)
+    return (low & np.uint64((1 << width) - 1)).astype(np.int64)
+
+
+def fingerprints(shingles: np.ndarray, weights: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Fingerprints (two words each) of the windows ``begin`` to ``stop`` of ``shingles``.
+
+    A bit is set if the features with it weigh more than half. The occurrences of a shingle in a window are features of
+    their own.
+    """
+    roots = np.rint(np.sqrt(weights) * SCALE).astype(np.int64)
+    if len(np.unique(shingles)) == len(shingles):
+        sums = np.zeros((len(shingles) + 1, BITS), dtype=np.int64)
+        np.cumsum(_signs(shingles) * roots[:, None], axis=0, out=sums[1:])
+        high = sums[stop] > sums[begin]
+    else:
+        high = np.empty((len(begin), BITS), dtype=bool)
+        for i, (a, b) in enumerate(zip(begin.tolist(), stop.tolist(), strict=True)):
+            order = np.argsort(shingles[a:b], kind="stable")
+            own = shingles[a:b][order]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            number = np.arange(b - a) - np.repeat(first, np.diff(np.append(first, b - a)))
+            high[i] = (_signs(own + number.astype(np.uint64) * _ODD) * roots[a:b][order][:, None]).sum(axis=0) > 0
+    return np.packbits(high, axis=1, bitorder="little").view(np.uint64)
+
+
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _signs(features: np.ndarray) -> np.ndarray:
+    """The bits of each feature's hash, as 1 and -1."""
+    octets = np.stack([mix(features), mix(features ^ _ODD)], axis=1).view(np.uint8)
+    return np.unpackbits(octets, axis=1, bitorder="little").astype(np.int64) * 2 - 1
+
+
 class SizeClass:
-    """Fingerprints that are found within ``RADIUS`` bits. The search for leaks does not use it: it needs no radius."""
-
-    words: int  #: words of a window
-    shingle: int
-    step: int
-    prints: np.ndarray
-    items: np.ndarray  #: item (row of the index) of each fingerprint
-    offsets: np.ndarray  #: its first word within the item
-    blocks: list = field(default_factory=list)
-
-    def prepare(self) -> None:
-        """File every fingerprint under all values within two bits of each block."""
+    """Multi-index of the items with one number of words."""
+
+    def __init__(self, items: np.ndarray, prints: np.ndarray):
+        self.items, self.prints = items, prints
+        self.blocks = []
         for at, width in BLOCKS:
-            masks = [0, *(1 << i for i in range(width)),
-                     *((1 << i) | (1 << j) for i, j in combinations(range(width), 2))]
-            own = (self.prints >> np.uint64(at)) & np.uint64((1 << width) - 1)
-            values = (own[:, None] ^ np.array(masks, dtype=np.uint64)).reshape(-1).astype(np.int64)
-            order = np.argsort(values, kind="stable")
-            entries = np.repeat(np.arange(len(own), dtype=np.int32), len(masks))[order]
-            present = np.zeros(1 << width, dtype=bool)
-            present[values] = True
-            self.blocks.append((at, width, present, values[order], entries))
+            filed = (_block(prints, at, width)[:, None] ^ _flips(width, 2)).reshape(-1)
+            order = np.argsort(filed, kind="stable")
+            entries = np.repeat(np.arange(len(items), dtype=np.int32), len(filed) // max(1, len(items)))
+            self.blocks.append((at, width, filed[order].astype(np.int16), entries[order]))
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (row of ``prints``, own fingerprint) within RADIUS bits."""
-        rows, own = [], []
-        for at, width, present, values, entries in self.blocks:
-            block = ((prints >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64)
-            hit = np.flatnonzero(present[block])
-            low = np.searchsorted(values, block[hit], "left")
-            many = np.searchsorted(values, block[hit], "right") - low
-            row = np.repeat(hit, many)
-            entry = entries[np.repeat(low, many) + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)]
-            close = np.bitwise_count(prints[row] ^ self.prints[entry]) <= RADIUS
-            rows.append(row[close])
-            own.append(entry[close])
-        return np.concatenate(rows), np.concatenate(own)
+        """All pairs (row of ``prints``, row of the class) within ``RADIUS`` bits."""
+        found = []
+        for at, width, filed, entries in self.blocks:
+            asked = (_block(prints, at, width)[:, None] ^ _flips(width, 1)).astype(np.int16)
+            low = np.searchsorted(filed, asked, "left").reshape(-1)
+            many = np.searchsorted(filed, asked, "right").reshape(-1) - low
+            row = np.repeat(np.repeat(np.arange(len(prints)), asked.shape[1]), many)
+            entry = entries[np.repeat(low - np.cumsum(many) + many, many) + np.arange(len(row))]
+            found.append(np.unique(row * len(self.items) + entry))
+        row, own = np.divmod(np.unique(np.concatenate(found)), len(self.items))
+        close = np.bitwise_count(prints[row] ^ self.prints[own]).sum(axis=1) <= RADIUS
+        return row[close], own[close]
 
 
 def _common(seen: dict[int, int], total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,6 +206,11 @@ class Index:
         self.own = [(np.array(list(m), np.uint64), np.array([self.weights[s] for s in m]),
                      np.array(list(m.values()), np.int64)) for m in self.shingles]
         self.anchors = self._anchors()
+        self.sizes: dict[int, SizeClass] = {}
+        for n in sorted(set(self.lengths) - {0}):
+            members = [i for i, m in enumerate(self.lengths) if m == n]
+            prints = [fingerprints(h := own[i][1], self._weights(h), np.array([0]), np.array([len(h)])) for i in members]
+            self.sizes[n] = SizeClass(np.array(members), np.concatenate(prints))
 
     def _anchors(self) -> dict[int, Anchors]:
         """By shingle length: the rarest shingles of each item, until what is left is less than a leak must hold."""
@@ -196,29 +243,54 @@ class Index:
             shingles[starts] = run_hashes(words, starts, k)
             inside = np.zeros(len(words), bool)
             inside[starts] = True
-            counts = np.array(self.lengths) - k + 1  # shingles of each item
+            lengths = np.array(self.lengths)
+            seen: dict[tuple[int, int], list[np.ndarray]] = {}
             for place, item in anchors.places(shingles):
                 place, item = place[inside[place]], item[inside[place]]
                 text = np.searchsorted(part.words, place, "right") - 1
-                order = np.lexsort((place, item, text))
-                place, item, text = place[order], item[order], text[order]
-                fresh = np.ones(len(place), bool)  # no window has both this anchor and the one before
-                fresh[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (np.diff(place) >= counts[item[1:]])
-                heads = np.flatnonzero(fresh)
-                tails = np.append(heads[1:], len(place))[: len(heads)] - 1
-                for a, b in zip(heads.tolist(), tails.tolist(), strict=True):
-                    t, i = int(text[a]), int(item[a])
-                    low, high = int(part.words[t]), int(part.words[t + 1])
-                    best = self._best(i, k, shingles[low : high - k + 1], int(place[a]) - low, int(place[b]) - low)
-                    if best and best[0] > out.get(t, {}).get(i, (0.0,))[0]:
+                found = np.unique(np.stack([text, lengths[item], place]), axis=1)
+                fresh = np.flatnonzero(np.any(found[:2, 1:] != found[:2, :-1], axis=0)) + 1
+                for (t, n, _), group in zip(found[:, np.append(0, fresh)].T.tolist() if found.size else (), np.split(found[2], fresh), strict=False):
+                    seen.setdefault((t, n), []).append(group)
+            for (t, n), groups in seen.items():
+                low, high = int(part.words[t]), int(part.words[t + 1])
+                for i, best in self._leaks(n, k, shingles[low : high - k + 1], np.concatenate(groups) - low):
+                    if best[0] > out.get(t, {}).get(i, (0.0,))[0]:
                         out.setdefault(t, {})[i] = best
         return out
 
-    def _best(self, item: int, k: int, shingles: np.ndarray, first: int, last: int) -> tuple[float, int, int] | None:
-        """The first best of the windows around the anchors from ``first`` to ``last``, if it is a leak."""
+    def _leaks(self, n: int, k: int, shingles: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, tuple[float, int, int]]]:
+        """Items of ``n`` words that leak into a text, among its windows around ``places``."""
+        size, own = n - k + 1, self.sizes[n]
+        opened = np.zeros(len(shingles) + 2 * size, dtype=np.int64)  # by start + size - 1: how many places open a window
+        np.add.at(opened, places, 1)
+        np.add.at(opened, places + size, -1)
+        starts = np.flatnonzero(np.cumsum(opened) > 0) - size + 1
+        begin, stop = np.maximum(starts, 0), np.minimum(starts + size, len(shingles))
+        row, item = [], []
+        for at in range(0, len(starts), WINDOWS):
+            a, b = begin[at : at + WINDOWS], stop[at : at + WINDOWS]
+            region = shingles[a[0] : b.max()]
+            near = own.near(fingerprints(region, self._weights(region), a - a[0], b - a[0]))
+            row.append(near[0] + at)
+            item.append(near[1])
+        rows, items = np.concatenate(row), np.concatenate(item)
+        for one in np.unique(items).tolist():
+            allowed = starts[rows[items == one]]
+            # Windows far apart are scored apart.
+            for group in np.split(allowed, np.flatnonzero(np.diff(allowed) > size) + 1):
+                i = int(own.items[one])
+                if best := self._best(i, k, shingles, group):
+                    yield i, best
+
+    def _best(self, item: int, k: int, shingles: np.ndarray, candidates: np.ndarray) -> tuple[float, int, int] | None:
+        """The first best of the candidate windows (their starts, in order), if it is a leak."""
         keys, weights, counts = self.own[item]
         size, end = self.lengths[item] - k + 1, len(shingles)
-        starts = np.arange(first - size + 1, last + 1)
+        last = int(candidates[-1])
+        starts = np.arange(int(candidates[0]), last + 1)
+        allowed = np.zeros(len(starts), dtype=bool)
+        allowed[candidates - starts[0]] = True
         low = max(int(starts[0]), 0)
         region = shingles[low : min(last + size, end)]
         at = np.minimum(np.searchsorted(keys, region), len(keys) - 1)
@@ -240,7 +312,7 @@ class Index:
             return None
         sums = np.concatenate([[0.0], np.cumsum(np.where(mine, weights[at], self._weights(region)))])
         begin, stop = np.maximum(starts, 0), np.minimum(starts + size, end)
-        scores = both / (sums[stop - low] - sums[begin - low] + own - both)
+        scores = np.where(allowed, both / (sums[stop - low] - sums[begin - low] + own - both), -1.0)
         best = float(scores.max())
         if best < SIMILARITY - MARGIN:
             return None
@@ -302,30 +374,32 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     total, size = items.agg(F.count("*"), F.sum(F.octet_length("t"))).first()
     common = _common_of(items, total)
     shared = context.broadcast(common)
+    chunks = []
     for chunk in _chunks(items, total, size or 0):
         index = Index(chunk, total, common)
         index.common = None  # sent once, not with each chunk
-        found = _search(found, context.broadcast(index), shared, text)
-    return found
+        chunks.append(context.broadcast(index))
+    return _search(found, chunks, shared, text)
 
 
-def _search(docs: DataFrame, chunk, shared, text: str) -> DataFrame:
+def _search(docs: DataFrame, chunks: list, shared, text: str) -> DataFrame:
     names = docs.columns
-    source = docs.withColumn("_leak_text", F.col(text))
+    source = docs.select("*", F.col(text).alias(unused_name(names)))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()),
                                ("similarity", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = chunk.value
-        index.common = shared.value
         for batch in batches:
             before = batch.column(names.index("leaks")).to_pylist()
             for part in slices(batch.column(len(names)), ALPHANUMERIC, lower=True):
-                for one, items in index.matches(part).items():
-                    before[part.first + one] = [*before[part.first + one], *(
-                        {"item_id": index.ids[i], "first_word": a, "last_word": b, "similarity": s}
-                        for i, (s, a, b) in sorted(items.items())
-                    )]
+                for chunk in chunks:
+                    index = chunk.value
+                    index.common = shared.value
+                    for one, items in index.matches(part).items():
+                        before[part.first + one] = [*before[part.first + one], *(
+                            {"item_id": index.ids[i], "first_word": a, "last_word": b, "similarity": s}
+                            for i, (s, a, b) in sorted(items.items())
+                        )]
             columns = list(batch.columns[: len(names)])
             columns[names.index("leaks")] = pa.array(before, kind)
             yield pa.RecordBatch.from_arrays(columns, names=names)

@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from govspark.llm.streams import unused_name
 from govspark.llm.words import bounded_batches, text_buffer
 
 FEATURES = 4096
@@ -193,7 +194,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     bounded_batches(docs.sparkSession)
     docs = docs.drop(*added)
     names = docs.columns
-    source = docs.select("*", F.col(text).alias("_language_text"))
+    source = docs.select("*", F.col(text).alias(unused_name(names)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,3 +21,11 @@ def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple[
         bounds = [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
         for start, end in zip(bounds, bounds[1:]):
             yield tuple(int(c[start]) for c in columns), batch.slice(start, end - start)
+
+
+def unused_name(names: list[str], base: str = "_text") -> str:
+    """A column name that none of ``names`` equals, whatever the case."""
+    known = {n.lower() for n in names}
+    while base in known:
+        base += "_"
+    return base

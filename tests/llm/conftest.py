@@ -8,7 +8,7 @@ from tests.conftest import SF
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use inside; a table may have them too.
-CLASHING = "part int, bucket string, key string, label string, leaks int, count int, held_out int, score string, _row int"
+CLASHING = "part int, bucket string, key string, label string, leaks int, count int, held_out int, score string, _row int, _text int, _leak_text int, _language_text int"
 
 
 def edge_rows() -> list[tuple]:

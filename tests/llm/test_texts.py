@@ -321,7 +321,8 @@ def test_many_edits_and_repeated_words_equal_brute_force(seed, n, vocabulary, ed
 
 
 def test_leak_edges(spark, edge, empty):
-    passage = next(r.text for r in edge.collect() if r.text and len(r.text.split()) == 60)
+    texts = [r.text for r in edge.collect() if r.text]
+    passage = max((t for t in texts if len(t.split()) == 60), key=lambda p: sum(p in t for t in texts))  # the shared one
     benchmark = spark.createDataFrame([(1, passage.upper(), "x"), (1, passage, "y"), (2, None, "z"), (3, "", "z"), (None, "?!", "z")],
                                       "item_id long, text string, doc_id string")
     got = decontaminate.leaked_pairs(edge, benchmark).collect()
@@ -363,15 +364,72 @@ def test_chunks_weigh_shingles_over_the_whole_benchmark(spark, monkeypatch):
         assert all(math.isclose(got[k], expected[k]) for k in got)
 
 
-@settings(max_examples=50, deadline=None)
-@given(st.integers(0, 2**64 - 1), st.sets(st.integers(0, 63), max_size=8))
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 2**128 - 1), st.sets(st.integers(0, 127), max_size=decontaminate.RADIUS + 1))
 def test_every_print_within_the_radius_is_a_candidate(value, flips):
-    size = decontaminate.SizeClass(5, 5, 1, np.array([value], np.uint64), np.array([0]), np.array([0]))
-    size.prepare()
+    words = lambda v: np.array([[v & (2**64 - 1), v >> 64]], np.uint64)
     near = value
     for bit in flips:
         near ^= 1 << bit
-    assert len(size.near(np.array([near], np.uint64))[0]) > 0
+    found = decontaminate.SizeClass(np.array([7]), words(value)).near(words(near))
+    assert (len(found[0]) == 1) == (len(flips) <= decontaminate.RADIUS)
+
+
+def plain_leaks(docs: list[tuple], items: list[tuple]) -> dict[tuple, float]:
+    """Best similarity of every leak, from the texts alone: own words, weights and windows, nothing of the module."""
+    def shingled(text: str) -> list[tuple]:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})))
+        k = min(5, len(words))
+        return [tuple(words[i : i + k]) for i in range(len(words) - k + 1)] if words else []
+
+    own = [(i, len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "")), Counter(shingled(t))) for i, t in items]
+    having = Counter(s for _, _, c in own for s in c)
+    weight = lambda s: math.log(1 + len(items) / having.get(s, 1))
+    out: dict[tuple, float] = {}
+    for doc_id, text in docs:
+        shingles = shingled(text)
+        for item_id, n, item in own:
+            size = sum(item.values())
+            if n < 5 or not item:
+                continue
+            for start in range(1 - size, len(shingles)):
+                window = Counter(shingles[max(0, start) : start + size])
+                both = sum(weight(s) * m for s, m in (window & item).items())
+                either = sum(weight(s) * m for s, m in (window | item).items())
+                if both >= 0.8 * either and both:
+                    out[doc_id, item_id] = max(both / either, out.get((doc_id, item_id), 0.0))
+    return out
+
+
+def test_leaks_equal_plain_python(spark):
+    """Copies with one to three edits anywhere, boilerplate, repeated phrases: recall and precision are whole."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(500)]
+    boilerplate = [rng.choice(words) for _ in range(8)]
+    items = [(i, " ".join([rng.choice(words) for _ in range(n)] + boilerplate * (i % 2) + ["again"] * (i % 4)))
+             for i, n in enumerate([6, 12, 20, 30, 45, 60])]
+    docs = []
+    for d in range(180):
+        copy = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(copy))
+            copy[at : at + 1] = rng.choice([["changed"], [], [copy[at], "more"]])
+        docs.append((d, " ".join([*(rng.choice(words) for _ in range(rng.randint(0, 40))), *copy, *boilerplate])))
+    want = plain_leaks(docs, items)
+    data, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaked_pairs(data, benchmark).collect()}
+    assert got.keys() == want.keys() and len(want) > 30
+    assert all(math.isclose(got[k], want[k]) for k in want)
+
+
+def test_many_items_are_one_pass(spark, monkeypatch):
+    """A benchmark of several chunks adds no Python worker to a task."""
+    monkeypatch.setattr(decontaminate, "ITEMS", 8)
+    benchmark = spark.createDataFrame([(i, f"item {i} " * 6) for i in range(60)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "some text", 5)], "doc_id long, text string, _text int")
+    found = decontaminate.find_leaks(docs, benchmark)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and found.columns == ["doc_id", "text", "_text", "leaks"]
 
 
 # --- op 9 ------------------------------------------------------------------------------------------------------------
