@@ -25,13 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from govspark.llm.rows import keep_rows, mark_of
 from govspark.llm.words import bounded_batches
 from govspark.session import fresh_path
 
 CAPACITY = 32 << 20
 MAX_BITS = 18
 
-_STAMPED = "_id long, _key long, _sha binary, _bytes long, _copies long, _largest long, _text binary"
+_STAMPED = "_id long, _mark long, _key long, _sha binary, _bytes long, _copies long, _largest long, _text binary"
 _ENTRY = "bucket int, key long, chain int, sha binary, text binary, copies long, largest long"
 
 
@@ -57,13 +58,14 @@ def _stamp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = [heads.get(row) for row in range(len(place))]
         yield pa.RecordBatch.from_arrays([
             pa.array(ids, pa.int64()),
+            batch.column("_mark"),
             pa.array([keys[c] for c in place], pa.int64()),
             pa.array([shas[c] for c in place], pa.binary()),
             pa.array([len(known[c]) for c in place], pa.int64()),
             pa.array([None if c is None else copies[c] for c in carried], pa.int64()),
             pa.array([None if c is None else largest[c] for c in carried], pa.int64()),
             pc.take(codes.dictionary, pa.array(carried, pa.int32())).cast(pa.binary()),
-        ], names=["_id", "_key", "_sha", "_bytes", "_copies", "_largest", "_text"])
+        ], names=["_id", "_mark", "_key", "_sha", "_bytes", "_copies", "_largest", "_text"])
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,14 +154,13 @@ def build_index(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY,
     """The index of all texts and the stamp of every row, both on shared files.
 
     Index: bucket, key, chain (place among the texts of one key), sha, text, copies, largest (id).
-    Stamps: _id, _key, _sha, _bytes.
+    Stamps: _id, _mark (see ``rows``), _key, _sha, _bytes.
     """
     bounded_batches(spark)
-    stamped = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(
-        _stamp, _STAMPED
-    )
+    read = docs.select(F.col(doc_id).cast("long").alias("_id"), mark_of(F.col(text)).alias("_mark"), F.col(text).alias("_text"))
+    stamped = read.mapInArrow(_stamp, _STAMPED)
     stamps_path, index_path = fresh_path(spark, "stamps"), fresh_path(spark, "index")
-    stamped.select("_id", "_key", "_sha", "_bytes", "_copies").write.parquet(stamps_path)
+    stamped.select("_id", "_mark", "_key", "_sha", "_bytes", "_copies").write.parquet(stamps_path)
     stamps = spark.read.parquet(stamps_path)
 
     heads = stamps.where("_copies is not null")
@@ -203,7 +204,13 @@ def exact_groups(docs: DataFrame, capacity: int = CAPACITY, text: str = "text",
 
 def drop_exact_copies(docs: DataFrame, capacity: int = CAPACITY, text: str = "text",
                       doc_id: str = "doc_id") -> DataFrame:
-    """The rows that stay, with all their columns; rows whose id is null stay if their text has no row with an id."""
-    groups = exact_groups(docs, capacity, text, doc_id)
-    keep = groups.where("kept or keep_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs[doc_id].cast("long").eqNullSafe(keep["_kept"]), "left_semi")
+    """One row of every group of equal texts, with all its columns: one with the largest id (a null id is smaller than any).
+
+    Of several rows with that id, those with the smallest hash of their text as it stands are left, and one of these stays.
+    """
+    index, stamps = build_index(docs.sparkSession, docs, capacity, text, doc_id)
+    entries = index.select(F.col("key").alias("_key"), F.col("sha").alias("_sha"), "largest")
+    last = stamps.join(entries, ["_key", "_sha"]).where(F.col("_id").eqNullSafe(F.col("largest")))
+    rows = last.groupBy("_key", "_sha", "_id", "_mark").agg(F.count("*").alias("_n"))
+    first = F.min(F.struct("_mark", "_n")).alias("_row")
+    return keep_rows(docs, rows.groupBy("_key", "_sha", "_id").agg(first).select("_id", "_row.*"), text, doc_id)

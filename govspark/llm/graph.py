@@ -25,7 +25,7 @@ def _star(arcs: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node of its component) of every node of ``edges`` (a long, b long).
+    """node, root (the smallest node of its component) of every node of ``edges`` (a, b of one type that has an order).
 
     Loops, repeated edges and either direction are allowed; an edge with a null end is ignored. No edges, no rows.
     """

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from govspark.llm.graph import components
+from govspark.llm.rows import keep_rows, mark_of
 from govspark.llm.words import BLANK_SEPARATED, Slice, bounded_batches, slices
 from govspark.session import fresh_path
 
@@ -79,20 +80,19 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [slice_fingerprints(p) for p in slices(codes.dictionary, BLANK_SEPARATED, lower=True)]
         values = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         found = values[codes.indices.to_numpy(zero_copy_only=False)].view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(found)], names=["_id", "_print"])
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_mark"), pa.array(found)], names=["_id", "_mark", "_print"])
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """_id, _print: the 64-bit fingerprint of every row, as a signed long.
+    """_id, _mark (see ``rows``), _print: the 64-bit fingerprint of every row, as a signed long.
 
     A-Z are lower-cased; words are separated by blanks and the controls 9 to 13; shingles are four words joined by
     one space, repeats included. A bit is set if set in more than half the hashes. Fewer words make one shingle; no
     words (or a null text) make fingerprint zero.
     """
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(
-        _fingerprint, "_id long, _print long"
-    )
+    read = docs.select(F.col(doc_id).cast("long").alias("_id"), mark_of(F.col(text)).alias("_mark"), F.col(text).alias("_text"))
+    return read.mapInArrow(_fingerprint, "_id long, _mark long, _print long")
 
 
 def _bits(at: int, width: int):
@@ -201,6 +201,28 @@ def link_edges(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
+def _rooted(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (_id, _mark, _print), and for each print its node and the root of its component.
+
+    The graph's nodes are the prints, known by the smallest id that has them (nulls last) and ordered by it. So the smallest
+    node of a component holds its smallest id, and nothing is ever grouped or joined by component.
+    """
+    spark = docs.sparkSession
+    path = fresh_path(spark, "fingerprints")
+    fingerprints(docs, text, doc_id).write.parquet(path)
+    rows = spark.read.parquet(path)
+    node = F.struct(F.col("_least").isNull().alias("nameless"), "_least", "_print").alias("_node")
+    path = fresh_path(spark, "prints")
+    rows.groupBy("_print").agg(F.min("_id").alias("_least")).select("_print", node).write.parquet(path)
+    nodes = spark.read.parquet(path)
+    links = link_edges(nodes.select("_print"))
+    for end in ("a", "b"):
+        links = links.join(nodes.select(F.col("_print").alias(end), F.col("_node").alias(f"node_{end}")), end)
+    roots = components(links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    rooted = roots.select(F.col("node")["_print"].alias("_print"), F.col("root").alias("_root"))
+    return rows, nodes.join(rooted, "_print", "left").withColumn("_root", F.coalesce("_root", "_node"))
+
+
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id: the smallest doc_id reachable over links.
 
@@ -208,22 +230,22 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     the smallest is taken; a component of null ids only has a null component_id. Repeated rows stay repeated. An
     empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    path = fresh_path(spark, "fingerprints")
-    fingerprints(docs, text, doc_id).write.parquet(path)
-    rows = spark.read.parquet(path)
-    reps = rows.groupBy("_print").agg(F.min("_id").alias("_least"))
-    roots = components(link_edges(reps.select("_print"))).select(F.col("node").alias("_print"), "root")
-    rooted = reps.join(roots, "_print", "left").withColumn("root", F.coalesce("root", "_print"))
-    least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
-    named = rooted.join(least, "root").select("_print", "component_id")
+    rows, rooted = _rooted(docs, text, doc_id)
+    named = rooted.select("_print", F.col("_root")["_least"].alias("component_id"))
     return rows.join(named, "_print").select(
         F.col("_id").alias("doc_id"), F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One document of each group stays: the one with the smallest id, with all its columns. Null ids stay."""
-    groups = near_groups(docs, text, doc_id)
-    drop = groups.where("doc_id > component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(drop, docs[doc_id].cast("long") == drop["_dropped"], "left_anti")
+    """One row of every group stays, with all its columns: one with the smallest id (nulls last).
+
+    Of several rows with that id, those with the smallest fingerprint, then with the smallest hash of their text are left,
+    and one of these stays.
+    """
+    rows, rooted = _rooted(docs, text, doc_id)
+    first = rooted.where(F.col("_node") == F.col("_root")).select("_print", F.col("_node")["_least"].alias("_least"))
+    heads = rows.join(first, "_print").where(F.col("_id").eqNullSafe(F.col("_least")))
+    same = heads.groupBy("_print", "_id", "_mark").agg(F.count("*").alias("_n"))
+    kept = same.groupBy("_print", "_id").agg(F.min(F.struct("_mark", "_n")).alias("_row")).select("_id", "_row.*")
+    return keep_rows(docs, kept, text, doc_id)
