@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,21 +19,16 @@ def ks_statistic(reference: DataFrame, current: DataFrame, column: str, range_va
     """One row: both sample sizes and the largest distance of the two distribution functions.
 
     The input is read once: values are counted (combined before the shuffle, so repeated values cost one row each) and
-    stored. The counts are then dealt into ranges of about equal size, as many as they need, and stored by range,
-    because borders come from a sample. Running sums run inside a range and start from the totals of the
+    stored. Counts of more than one range are then dealt into ranges of about equal size, as many as they need, and stored
+    by range, because borders come from a sample. Running sums run inside a range and start from the totals of the
     ranges before; one row per range is all that is ever ordered in one place.
     """
     value = F.col(column).cast("double").alias("v")
     sides = (
         reference.select(value, F.lit(1).alias("r")).unionByName(current.select(value, F.lit(0).alias("r")))
     ).where("v IS NOT NULL")
-    spark = sides.sparkSession
-    counted_path, ranged_path = fresh_path(spark, "counts"), fresh_path(spark, "ranges")
-    sides.groupBy("v").agg(F.sum("r").alias("n1"), F.sum(F.lit(1) - F.col("r")).alias("n2")).write.parquet(counted_path)
-    counts = spark.read.parquet(counted_path)
-    ranges = max(1, -(-counts.count() // range_values))
-    counts.repartitionByRange(ranges, "v").withColumn("bucket", F.spark_partition_id()).write.parquet(ranged_path)
-    ranged = spark.read.parquet(ranged_path)
+    counts = sides.groupBy("v").agg(F.sum("r").alias("n1"), F.sum(F.lit(1) - F.col("r")).alias("n2"))
+    ranged = _ranged(counts, ["v"], range_values)
     totals = ranged.groupBy("bucket").agg(F.sum("n1").alias("t1"), F.sum("n2").alias("t2"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
@@ -52,6 +49,57 @@ def ks_statistic(reference: DataFrame, current: DataFrame, column: str, range_va
     )
 
 
+def _ranged(counts: DataFrame, order: list[str], range_values: int) -> DataFrame:
+    """The counts, evaluated once and stored, with ``bucket``: ranges of ``order`` of about ``range_values`` rows, in order."""
+    spark = counts.sparkSession
+    path = fresh_path(spark, "counts")
+    counts.write.parquet(path)
+    stored = spark.read.parquet(path)
+    ranges = -(-stored.count() // range_values)
+    if ranges <= 1:
+        return stored.withColumn("bucket", F.lit(0))
+    path = fresh_path(spark, "ranges")
+    stored.repartitionByRange(ranges, *order).withColumn("bucket", F.spark_partition_id()).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def drift_fleet(rows: DataFrame, is_reference: Column, columns: list[str], keys: Sequence[str] = (),
+                threshold: float = DRIFT_THRESHOLD, range_values: int = RANGE_VALUES) -> DataFrame:
+    """keys, column, reference_size, current_size, statistic, p_value, has_drift of many columns of many datasets in one scan.
+
+    ``is_reference``: true for rows of the reference, false for current ones, null for neither. ``keys`` name the dataset; null
+    keys are datasets like others. All values are counted together by (keys, column, value); the counts are dealt into ranges
+    of (keys, column, value), so a column that holds most of them is cut like any other. A column without a value on one
+    side has no statistic and no drift.
+    """
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns))
+    # Read before the values are spread, so that no name of the table is in the way.
+    read = rows.select(F.struct(*(F.col(k) for k in keys), F.lit(0).alias("_")).alias("_key"), is_reference.cast("int").alias("_one"),
+                       cells.alias("_cells")).where("_one IS NOT NULL")
+    sides = read.select("_key", "_one", F.explode("_cells").alias("_cell")).where("_cell.v IS NOT NULL")
+    named = F.struct(*(F.col("_key")[k].alias(k) for k in keys), F.col("_cell")["column"].alias("column"))
+    counts = sides.groupBy(named.alias("series"), F.col("_cell")["v"].alias("v")).agg(
+        F.sum("_one").alias("n1"), F.sum(1 - F.col("_one")).alias("n2"))
+    ranged = _ranged(counts, ["series", "v"], range_values)
+    totals = ranged.groupBy("series", "bucket").agg(F.sum("n1").alias("t1"), F.sum("n2").alias("t2"))
+    ordered = Window.partitionBy("series").orderBy("bucket")
+    before, whole = ordered.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("series")
+    offsets = totals.select(
+        "series", "bucket", F.coalesce(F.sum("t1").over(before), F.lit(0)).alias("b1"), F.coalesce(F.sum("t2").over(before), F.lit(0)).alias("b2"),
+        F.sum("t1").over(whole).alias("size1"), F.sum("t2").over(whole).alias("size2"),
+    )
+    inside = Window.partitionBy("series", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    up = ranged.select("series", "bucket", F.sum("n1").over(inside).alias("c1"), F.sum("n2").over(inside).alias("c2"))
+    joined = up.join(offsets, ["series", "bucket"])
+    both = (F.col("size1") > 0) & (F.col("size2") > 0)
+    gap = F.when(both, F.abs((F.col("b1") + F.col("c1")) / F.col("size1") - (F.col("b2") + F.col("c2")) / F.col("size2")))
+    tested = joined.groupBy("series").agg(
+        F.max("size1").alias("reference_size"), F.max("size2").alias("current_size"), F.max(gap).alias("statistic"))
+    p_value = F.when(F.col("statistic").isNotNull(), ks_p_value(F.col("statistic"), F.col("reference_size"), F.col("current_size")))
+    told = tested.select("series.*", "reference_size", "current_size", "statistic").withColumn("p_value", p_value)
+    return told.withColumn("has_drift", F.coalesce(F.col("p_value") < threshold, F.lit(False)))
+
+
 def ks_p_value(statistic: Column, size1: Column, size2: Column) -> Column:
     """Asymptotic p-value by the Kolmogorov series with Stephens' correction for finite samples.
 

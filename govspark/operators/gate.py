@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from govspark.session import fresh_path
-from govspark.sources.layers import read_dataset, write_dataset
+from govspark.sources import stored
+from govspark.sources.layers import dataset_path, next_version, read_dataset, versions, write_dataset
 from govspark.vocabulary import AUTOMATIC_PROMOTIONS, LAYERS, PROMOTION_THRESHOLDS
 
 
@@ -65,25 +67,58 @@ def with_decision_id(verdicts: DataFrame) -> DataFrame:
     return verdicts.withColumn("governance_decision_id", F.when(needed, F.concat_ws("-", *pieces)))
 
 
+_COPY = "promotion_id string, layer string, domain string, dataset string, source_version long, version long"
+
+
+def promotion_id(move: Row, source_version: int) -> str:
+    """Names one copy: what is promoted, where to, and from which version."""
+    text = "|".join([move.domain_id, move.dataset_id, move.source_layer, move.target_layer, str(source_version)])
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def promote(root: str, verdicts: DataFrame, at_once: int = 8) -> DataFrame:
     """Copy the promoted datasets one layer up; return the verdicts with ids.
 
     ``verdicts`` is a request batch of one operator call. It is decided once and stored in the shared folder. Only names
     reach the driver; each copy is a Spark job from one layer folder to the next, ``at_once`` of them side by side.
-    A copy is the next version of its target, so a repeated call adds a version and loses none.
+
+    A version of a dataset is copied once: before anything is copied, the table ``{root}/promotions`` gets the version number each
+    copy will have, under an id made of the dataset, the layers and the source version. A repeated call finds the id, writes
+    that number again if the copy was not finished, and copies nothing if it was.
     """
     spark = verdicts.sparkSession
     path = fresh_path(spark, "verdicts")
     with_decision_id(verdicts).write.parquet(path)
     decided = spark.read.parquet(path)
-    moves = decided.where("promoted").select("domain_id", "dataset_id", "source_layer", "target_layer").distinct()
-
-    def copy(move: Row) -> None:
-        data = read_dataset(spark, root, move.source_layer, move.domain_id, move.dataset_id)
-        write_dataset(data, root, move.target_layer, move.domain_id, move.dataset_id)
+    moves = decided.where("promoted").select("domain_id", "dataset_id", "source_layer", "target_layer").distinct().collect()
+    ledger = f"{root.rstrip('/')}/promotions"
+    schema = spark.createDataFrame([], f"{_COPY}, {stored.BUCKET} int").schema
+    newest = {move: versions(spark, root, move.source_layer, move.domain_id, move.dataset_id) for move in moves}
+    for move, known in newest.items():
+        if not known:
+            raise FileNotFoundError(dataset_path(root, move.source_layer, move.domain_id, move.dataset_id))
+    ids = {promotion_id(move, known[-1]): (move, known[-1]) for move, known in newest.items()}
+    names = [r.dataset_id for r in moves]
+    given = [r for r in stored.read_stored(spark, ledger, schema).where(F.col("dataset").isin(names)).collect()] if names else []
+    numbers = {r.promotion_id: r.version for r in given}
+    new = []
+    for identity, (move, source_version) in ids.items():
+        if identity not in numbers:
+            place = (move.target_layer, move.domain_id, move.dataset_id)
+            used = [r.version for r in given if (r.layer, r.domain, r.dataset) == place]
+            numbers[identity] = max([next_version(spark, root, *place) - 1, *used]) + 1
+            new.append((identity, *place, source_version, numbers[identity]))
+    if new:
+        stored.upsert(ledger, spark.createDataFrame(new, _COPY), ["promotion_id"], buckets=16)
+
+    def copy(identity: str) -> None:
+        move, source_version = ids[identity]
+        if numbers[identity] not in versions(spark, root, move.target_layer, move.domain_id, move.dataset_id):
+            data = read_dataset(spark, root, move.source_layer, move.domain_id, move.dataset_id, source_version)
+            write_dataset(data, root, move.target_layer, move.domain_id, move.dataset_id, numbers[identity])
 
     with ThreadPoolExecutor(at_once) as pool:
-        list(pool.map(copy, moves.collect()))
+        list(pool.map(copy, ids))
     return decided
 
 

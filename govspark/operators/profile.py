@@ -98,8 +98,42 @@ def distinct_counts(df: DataFrame) -> DataFrame:
     return pairs.groupBy("column").agg(F.count("*").alias("distinct_values"))
 
 
-def infer_types(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Narrowest type of each text column (integer, float, boolean, timestamp, text) and key candidates."""
+#: Standard error of the sketches, and how many of them a key's sketch may lie below the number of rows.
+SKETCH_ERROR, SKETCH_REACH = 0.02, 6
+
+
+def likely_keys(df: DataFrame, columns: list[str]) -> list[str]:
+    """Columns without a null whose distinct values may be as many as the rows, by one scan with a sketch per column."""
+    found = [F.count(F.lit(1)).alias("rows")]
+    for i, name in enumerate(columns):
+        value = F.col(f"`{name}`")
+        found += [F.count(value).alias(f"n{i}"), F.approx_count_distinct(value, SKETCH_ERROR).alias(f"d{i}")]
+    row = df.agg(*found).first()
+    least = row["rows"] * (1 - SKETCH_REACH * SKETCH_ERROR)
+    return [c for i, c in enumerate(columns) if row["rows"] and row[f"n{i}"] == row["rows"] and row[f"d{i}"] >= least]
+
+
+def key_candidates(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, rows, distinct_values, key_candidate: whether a column holds another value in every row.
+
+    Only the values of ``likely_keys`` are counted exactly, which takes a shuffle; for others distinct_values is null. The sketches
+    are read when the function is called.
+    """
+    likely = likely_keys(df, columns)
+    named = [F.struct(F.lit(c).alias("column"), F.col("rows")) for c in columns]
+    rows = df.agg(F.count(F.lit(1)).alias("rows")).select(F.explode(F.array(*named)).alias("t")).select("t.*")
+    if not likely:
+        return rows.select("*", F.lit(None).cast("long").alias("distinct_values"), F.lit(False).alias("key_candidate"))
+    counted = rows.join(distinct_counts(df.select(*[f"`{c}`" for c in likely])), "column", "left")
+    return counted.withColumn("key_candidate", F.coalesce(F.col("distinct_values") == F.col("rows"), F.lit(False)))
+
+
+def infer_types(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
+    """Narrowest type of each text column (integer, float, boolean, timestamp, text) and key candidates.
+
+    With ``exact`` every column's distinct values are counted, a shuffle of every cell; without, those of the likely keys alone
+    (see ``key_candidates``), and distinct_values is null for the others.
+    """
     order = ("integer", "float", "boolean", "timestamp")
     aggregates = [F.count(F.lit(1)).alias("rows")]
     shapes = []
@@ -117,6 +151,8 @@ def infer_types(df: DataFrame, columns: list[str]) -> DataFrame:
             )
         )
     spread = df.agg(*aggregates).select(F.explode(F.array(*shapes)).alias("t")).select("t.*")
+    if not exact:
+        return spread.join(key_candidates(df, columns).drop("rows"), "column")
     distinct = distinct_counts(df.select(*columns))
     joined = spread.join(distinct, "column", "left").fillna(0, ["distinct_values"])
     is_key = (F.col("rows") > 0) & (F.col("distinct_values") == F.col("rows"))

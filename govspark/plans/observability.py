@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from govspark.operators import observability as o
-from govspark.operators.drift import detect_drift
+from govspark.operators.drift import detect_drift, drift_fleet
 from govspark.plans.registry import query, table
 from govspark.session import fresh_path
 from govspark.sources.metrics import append_points, metric_points
@@ -171,3 +171,33 @@ def ks_drift_ties(spark: SparkSession, folder: str) -> DataFrame:
     """Fifty distinct values: nearly everything is tied."""
     lines = table(spark, folder, "lineitem")
     return _rounded(detect_drift(lines.where("l_returnflag = 'A'"), lines.where("l_returnflag <> 'A'"), "l_quantity"))
+
+
+_FLEET = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("ks_drift_fleet", f"""
+WITH sides AS (
+  SELECT l_returnflag AS dataset, unnest({_FLEET}) AS col, unnest([{", ".join(f"{c}::DOUBLE" for c in _FLEET)}]) AS v,
+         (l_shipdate < DATE '1995-06-17')::INT AS r FROM lineitem WHERE l_suppkey % 7 <> 0),
+sizes AS (SELECT dataset, col, sum(r)::BIGINT AS n1, (count(*) - sum(r))::BIGINT AS n2 FROM sides GROUP BY 1, 2),
+steps AS (
+  SELECT dataset, col, sum(sum(r)) OVER (PARTITION BY dataset, col ORDER BY v) AS c1,
+         sum(count(*) - sum(r)) OVER (PARTITION BY dataset, col ORDER BY v) AS c2
+  FROM sides GROUP BY dataset, col, v),
+tested AS (
+  SELECT dataset, col, n1, n2, max(CASE WHEN n1 > 0 AND n2 > 0 THEN abs(c1 / n1::DOUBLE - c2 / n2::DOUBLE) END) AS s
+  FROM steps JOIN sizes USING (dataset, col) GROUP BY dataset, col, n1, n2),
+scaled AS (
+  SELECT *, (sqrt(n1::DOUBLE * n2 / (n1 + n2)) + 0.12 + 0.11 / sqrt(n1::DOUBLE * n2 / (n1 + n2))) * s AS lam FROM tested),
+p AS (
+  SELECT *, CASE WHEN lam IS NULL THEN NULL WHEN lam < 0.2 THEN 1.0 ELSE least(greatest(2 * list_sum(list_transform(range(1, 101),
+    lambda k: CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-2.0 * k * k * lam * lam))), 0.0), 1.0) END AS p FROM scaled)
+SELECT dataset, col AS "column", n1 AS reference_size, n2 AS current_size, round(s, 9)::DOUBLE AS statistic, round(p, 6)::DOUBLE AS p_value,
+       coalesce(p < 0.05, false) AS has_drift
+FROM p""")
+def ks_drift_fleet(spark: SparkSession, folder: str) -> DataFrame:
+    """All numeric columns of three datasets, earlier lines against later ones, from one scan; some rows belong to neither side."""
+    lines = table(spark, folder, "lineitem").withColumnRenamed("l_returnflag", "dataset")
+    earlier = F.when(F.col("l_suppkey") % 7 != 0, F.col("l_shipdate") < F.lit("1995-06-17").cast("date"))
+    return _rounded(drift_fleet(lines, earlier, _FLEET, ["dataset"]))

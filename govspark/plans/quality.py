@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from govspark.operators.expectations import Expectation, broken_values, evaluate_suite
 from govspark.operators.gate import keep_first, promote, promotion_verdicts, with_decision_id
-from govspark.operators.profile import infer_types, profile_summary, profile_table
+from govspark.operators.profile import infer_types, key_candidates, profile_summary, profile_table
 from govspark.operators.scoring import (
     DIMENSION_OF,
     dimension_scores,
@@ -18,7 +18,7 @@ from govspark.operators.scoring import (
 )
 from govspark.operators.sla import check_sla, contract_sla, due_for_review, layer_thresholds
 from govspark.plans import derived as d
-from govspark.plans.registry import query, table
+from govspark.plans.registry import ORACLE, query, table
 from govspark.session import fresh_path
 from govspark.sources.layers import read_dataset, write_dataset
 
@@ -630,7 +630,12 @@ SELECT c AS "column", n AS rows, dv AS distinct_values, kind AS inferred_type, d
   UNION ALL SELECT 't', count(*), count(DISTINCT t), CASE WHEN bool_and(TRY_CAST(t AS TIMESTAMP) IS NOT NULL) THEN 'timestamp' ELSE 'text' END FROM t
   UNION ALL SELECT 'id', count(*), count(DISTINCT id), CASE WHEN bool_and(TRY_CAST(id AS BIGINT) IS NOT NULL) THEN 'integer' ELSE 'text' END FROM t)""")
 def infer_types_query(spark: SparkSession, folder: str) -> DataFrame:
-    texts = table(spark, folder, "events").select(
+    inferred = infer_types(texts := _event_texts(spark, folder), texts.columns)
+    return inferred.select("column", "rows", "distinct_values", "inferred_type", "key_candidate")
+
+
+def _event_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").select(
         "props",
         F.regexp_extract("props", "[0-9]+", 0).alias("k"),
         F.col("value").cast("string").alias("v"),
@@ -638,5 +643,24 @@ def infer_types_query(spark: SparkSession, folder: str) -> DataFrame:
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("t"),
         F.col("event_id").cast("string").alias("id"),
     )
-    inferred = infer_types(texts, texts.columns)
-    return inferred.select("column", "rows", "distinct_values", "inferred_type", "key_candidate")
+
+
+@query("infer_types_sketched", f"""
+SELECT "column", rows, inferred_type, key_candidate FROM ({ORACLE["infer_types"]})""")
+def infer_types_sketched(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with exact counts for likely keys alone."""
+    inferred = infer_types(texts := _event_texts(spark, folder), texts.columns, exact=False)
+    return inferred.select("column", "rows", "inferred_type", "key_candidate")
+
+
+_KEYED = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag"]
+
+
+@query("key_candidates", "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS "column", count(*) AS rows, count(DISTINCT {c}) = count(*) AS key_candidate FROM {t}"""
+    for t, names in (("lineitem", _KEYED), ("orders", ["o_orderkey", "o_custkey", "o_totalprice"])) for c in names))
+def key_candidates_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Single-column keys of two tables; most columns are ruled out by their sketch."""
+    lines = key_candidates(table(spark, folder, "lineitem"), _KEYED)
+    orders = key_candidates(table(spark, folder, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"])
+    return lines.unionByName(orders).select("column", "rows", "key_candidate")

@@ -33,13 +33,22 @@ def versions(spark: SparkSession, root: str, layer: str, domain: str, dataset: s
     return sorted(n for n, done in _numbers(spark, root, layer, domain, dataset).items() if done)
 
 
-def write_dataset(df: DataFrame, root: str, layer: str, domain: str, dataset: str) -> int:
+def next_version(spark: SparkSession, root: str, layer: str, domain: str, dataset: str) -> int:
+    """A number above all that were begun."""
+    return max(_numbers(spark, root, layer, domain, dataset), default=0) + 1
+
+
+def write_dataset(df: DataFrame, root: str, layer: str, domain: str, dataset: str, version: int | None = None) -> int:
     """Write the next version and return its number.
 
-    The number of a failed write is not used again; of two writers of the same number one fails.
+    The number of a failed write is not used again; of two writers of the same number one fails. A caller that repeats a write
+    of its own gives the ``version``: one that was not finished is written anew, a finished one is never replaced.
     """
-    number = max(_numbers(df.sparkSession, root, layer, domain, dataset), default=0) + 1
-    df.write.mode("errorifexists").parquet(f"{dataset_path(root, layer, domain, dataset)}/v={number}")
+    spark = df.sparkSession
+    number = version or next_version(spark, root, layer, domain, dataset)
+    again = version is not None and _numbers(spark, root, layer, domain, dataset).get(number) is False
+    mode = "overwrite" if again else "errorifexists"
+    df.write.mode(mode).parquet(f"{dataset_path(root, layer, domain, dataset)}/v={number}")
     return number
 
 

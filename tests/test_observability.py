@@ -121,3 +121,38 @@ def test_metric_table(spark, tmp_path):
     for metric in ("row_count", "other"):
         append_points(metric_points(frame, metric, "rows", F.lit(at(0))), path)
     assert rows(spark.read.parquet(path), "metric", "value") == [("other", 5.0), ("row_count", 5.0)]
+
+
+def test_drift_of_a_fleet_equals_one_column_at_a_time(spark):
+    """Several datasets and columns in many small ranges; a null dataset, an empty side, rows of neither side."""
+    from govspark.operators.drift import detect_drift, drift_fleet
+
+    frame = spark.range(3000).selectExpr(
+        "CASE id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS dataset", "CASE WHEN id % 10 = 0 THEN NULL ELSE id % 2 = 0 END AS old",
+        "id % 17 + (id % 2) * (id % 3) AS x", "CASE WHEN id % 5 > 0 THEN sqrt(id) END AS y", "CASE WHEN id % 2 = 0 THEN 1.0 END AS one_sided")
+    got = drift_fleet(frame, F.col("old"), ["x", "y", "one_sided"], ["dataset"], range_values=40)
+    told = {(r.dataset, r.column): (r.reference_size, r.current_size, r.statistic, r.has_drift) for r in got.collect()}
+    assert len(told) == 9
+    for dataset in ("a", "b", None):
+        own = frame.where(F.col("dataset").eqNullSafe(F.lit(dataset)))
+        for column in ("x", "y"):
+            want = detect_drift(own.where("old"), own.where("NOT old"), column).first()
+            n1, n2, statistic, drift = told[dataset, column]
+            assert (n1, n2, drift) == (want.reference_size, want.current_size, want.has_drift)
+            assert abs(statistic - want.statistic) < 1e-12
+        assert told[dataset, "one_sided"][2:] == (None, False)
+
+
+def test_a_fleet_is_one_scan(spark, sf):
+    from govspark.operators.drift import drift_fleet
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    source = spark.range(200).selectExpr("id AS x", "id * 2 AS y").mapInArrow(count, "x long, y long")
+    assert drift_fleet(source, F.col("x") % 2 == 0, ["x", "y"]).count() == 2
+    assert seen.value == 200

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import datetime as dt
 
 import pytest
@@ -238,6 +240,45 @@ def test_promotion_copies_only_promoted(spark, tmp_path):
         read_dataset(spark, root, "silver", "sales", "bad")
 
 
+def test_promotion_can_be_repeated(spark, tmp_path):
+    """A finished copy is not made again, an unfinished one is, and a new source version is a copy of its own."""
+    import shutil
+
+    root = str(tmp_path)
+    request = spark.createDataFrame([("sales", "x", "bronze", "silver", 0.9)], REQUEST)
+    write_dataset(spark.range(3), root, "bronze", "sales", "x")
+    for _ in range(2):
+        promote(root, promotion_verdicts(request))
+        assert versions(spark, root, "silver", "sales", "x") == [1]
+    (tmp_path / "silver/sales/x/v=1/_SUCCESS").unlink()  # the copy was cut short
+    for extra in (tmp_path / "silver/sales/x/v=1").glob("._SUCCESS.crc"):
+        extra.unlink()
+    promote(root, promotion_verdicts(request))
+    assert versions(spark, root, "silver", "sales", "x") == [1] and read_dataset(spark, root, "silver", "sales", "x").count() == 3
+    write_dataset(spark.range(5), root, "bronze", "sales", "x")
+    promote(root, promotion_verdicts(request))
+    promote(root, promotion_verdicts(request))
+    assert versions(spark, root, "silver", "sales", "x") == [1, 2]
+    assert read_dataset(spark, root, "silver", "sales", "x").count() == 5
+    ledger = spark.read.parquet(f"{root}/promotions")
+    assert rows(ledger, "source_version", "version") == [(1, 1), (2, 2)]
+    shutil.rmtree(tmp_path / "silver/sales/x/v=2")  # and one whose folder is gone
+    promote(root, promotion_verdicts(request))
+    assert versions(spark, root, "silver", "sales", "x") == [1, 2]
+
+
+def test_likely_keys_alone_are_counted(spark):
+    from govspark.operators.profile import key_candidates, likely_keys
+
+    frame = spark.range(5000).selectExpr("id", "id % 50 AS few", "nullif(id, 7) AS holes", "id DIV 2 AS pairs", "CASE WHEN id = 9 THEN 8 ELSE id END AS nearly")
+    assert likely_keys(frame, frame.columns) == ["id", "nearly"]
+    told = key_candidates(frame, frame.columns)
+    assert rows(told.where("key_candidate"), "column") == [("id",)]
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"struct\(column, (\w+), v,", plan)) == {"id", "nearly"}  # what the exact pass shuffles
+    assert rows(key_candidates(frame.limit(0), ["id"]), "key_candidate", "rows") == [(False, 0)]
+
+
 def test_versions_are_kept(spark, tmp_path):
     root = str(tmp_path)
     assert write_dataset(spark.range(1), root, "bronze", "d", "x") == 1
