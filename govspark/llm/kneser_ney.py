@@ -21,7 +21,6 @@ The order is two: all pairs of the corpus are kept, without a count threshold. R
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -212,7 +211,7 @@ def _write_pairs(folder: str, vocabulary: Vocabulary):
         before, after = (key // np.uint64(words)).astype(np.int64), (key % np.uint64(words)).astype(np.int64)
         out = [*sent(0, after), *(row for k in (1, 2, 3) for row in sent(k, before[np.minimum(count, 3) == k]))]
         counted = np.array([(count == k).sum() for k in (1, 2, 3, 4)], dtype=np.uint64)
-        out.append((-1, b"", pack(counted), 4))
+        out.append((-1, pack_sorted(np.array([part], np.uint64)), pack(counted), 4))
         return pa.table(dict(zip(("part", "ids", "counts", "kind"), (
             pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.int32()),
                                            strict=True)), strict=True)))
@@ -225,8 +224,9 @@ def _write_stats(vocabulary: Vocabulary):
 
     def run(rows: pa.Table) -> pa.Table:
         part = rows["part"][0].as_py()
-        if part < 0:
+        if part < 0:  # the numbers of pairs, and the ranges of pairs that were written
             total = np.sum([unpack(b.as_py()) for b in rows["counts"]], axis=0).astype(np.int64)
+            total = np.concatenate([total, *(unpack_sorted(b.as_py()).astype(np.int64) for b in rows["ids"])])
         else:
             stats = np.zeros((vocabulary.sizes[part], 4), dtype=np.int64)
             for ids, counts, kind in zip(rows["ids"], rows["counts"], rows["kind"], strict=True):
@@ -323,11 +323,11 @@ def train(texts: DataFrame, range_bytes: int = RANGE_BYTES) -> Model:
     found = texts.mapInArrow(_count_pairs(vocabulary, parts), _PACKED).groupBy("part").applyInArrow(
         _write_pairs(folder, vocabulary), _STATS
     ).groupBy("part").applyInArrow(_write_stats(vocabulary), "part int, total array<long>").collect()
-    for p in range(parts):
-        if not os.path.exists(f"{folder}/pairs-{p}"):
-            write_array(folder, f"pairs-{p}", np.zeros(0, np.uint64))
-            write_array(folder, f"seen-{p}", np.zeros(0, np.int64))
-    pair_counts = next((r["total"] for r in found if r["part"] < 0), [0] * 4)
+    told = next((r["total"] for r in found if r["part"] < 0), [0] * 4)
+    pair_counts, written = told[:4], set(told[4:])
+    for p in {*range(parts)} - written:  # only these have no pairs; a missing file of another range raises when it is read
+        write_array(folder, f"pairs-{p}", np.zeros(0, np.uint64))
+        write_array(folder, f"seen-{p}", np.zeros(0, np.int64))
     word_counts = np.sum([r["total"] for r in found if r["part"] >= 0] or [[0] * 5], axis=0).tolist()
     word_discounts = discounts(*word_counts[:4])
     pairs = word_counts[4]

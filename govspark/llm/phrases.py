@@ -26,7 +26,6 @@ folder, which must be a mounted file system, and appear under their final name o
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -456,7 +455,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     shared = staged.mapInArrow(_send_anchors(window, phrase, parts, bucket_rows), _ANCHORS)
     shared = shared.groupBy("part").applyInArrow(_share_anchors(folder), _SHARED)
     shared.groupBy("bucket").applyInArrow(_write_anchors(folder), "bucket long").write.parquet(f"{side}/round-1")
-    filled = _exists(folder)
+    filled_buckets = spark.read.parquet(f"{side}/round-1").toArrow()["bucket"].to_numpy()  # eight bytes for 2048 rows
+    write_array(folder, "buckets", np.sort(filled_buckets.astype(np.int64)))
+    filled = _listed(folder)
     windows = staged.mapInArrow(_send_windows(window, phrase, parts, bucket_rows, folder, filled), _WINDOWS)
     confirmed = windows.groupBy("part").applyInArrow(_confirm(folder), _CONFIRMED)
     confirmed.groupBy("bucket").applyInArrow(_write_confirmed(folder), "bucket long").write.parquet(f"{side}/round-2")
@@ -464,10 +465,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
                              "doc_id long, n_words long, n_removed long, kept_text string")
 
 
-def _exists(folder: str) -> Callable[[int], bool]:
-    """Whether a bucket holds any shared anchor."""
+def _listed(folder: str) -> Callable[[int], bool]:
+    """Whether a bucket holds any shared anchor, by the list of those that do. A file of such a bucket must be there: one that
+    is missing raises, it does not count as empty."""
 
     def filled(bucket: int) -> bool:
-        return os.path.exists(f"{folder}/anchors-{bucket}")
+        return _find(read_array(folder, "buckets", np.int64), np.array([bucket]))[0] >= 0
 
     return filled

@@ -220,7 +220,9 @@ def _rooted(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFra
         links = links.join(nodes.select(F.col("_print").alias(end), F.col("_node").alias(f"node_{end}")), end)
     roots = components(links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
     rooted = roots.select(F.col("node")["_print"].alias("_print"), F.col("root").alias("_root"))
-    return rows, nodes.join(rooted, "_print", "left").withColumn("_root", F.coalesce("_root", "_node"))
+    path = fresh_path(spark, "rooted")  # stored, so that a print with very many rows can be split where they are joined
+    nodes.join(rooted, "_print", "left").withColumn("_root", F.coalesce("_root", "_node")).write.parquet(path)
+    return rows, spark.read.parquet(path)
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

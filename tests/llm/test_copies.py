@@ -83,6 +83,20 @@ def test_repeats_of_few_different_words(spark):
     assert 0 < sum(e[2] for e in expected) < sum(e[1] for e in expected)
 
 
+def test_a_missing_side_file_is_an_error(spark, monkeypatch):
+    """A phrase file that is gone does not count as a bucket without phrases."""
+    import os
+
+    folders = []
+    monkeypatch.setattr(phrases, "local_folder", lambda p: folders.append(p.removeprefix("file:")) or folders[-1])
+    data = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(60))) for i in range(4)], "doc_id long, text string")
+    result = phrases.remove_repeats(data)
+    lost = next(f for f in os.listdir(folders[0]) if f.startswith("phrases-"))
+    os.remove(f"{folders[0]}/{lost}")
+    with pytest.raises(Exception, match="No such file"):
+        result.collect()
+
+
 def test_repeats_of_nothing(empty):
     assert phrases.remove_repeats(empty).collect() == []
 
