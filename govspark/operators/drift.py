@@ -53,13 +53,13 @@ def _ranged(counts: DataFrame, order: list[str], range_values: int) -> DataFrame
     """The counts, evaluated once and stored, with ``bucket``: ranges of ``order`` of about ``range_values`` rows, in order."""
     spark = counts.sparkSession
     path = fresh_path(spark, "counts")
-    counts.write.parquet(path)
+    counts.withColumn("bucket", F.lit(0)).write.parquet(path)
     stored = spark.read.parquet(path)
     ranges = -(-stored.count() // range_values)
     if ranges <= 1:
-        return stored.withColumn("bucket", F.lit(0))
+        return stored
     path = fresh_path(spark, "ranges")
-    stored.repartitionByRange(ranges, *order).withColumn("bucket", F.spark_partition_id()).write.parquet(path)
+    stored.drop("bucket").repartitionByRange(ranges, *order).withColumn("bucket", F.spark_partition_id()).write.parquet(path)
     return spark.read.parquet(path)
 
 

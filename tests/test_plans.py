@@ -15,9 +15,10 @@ EAGER = {n for n in QUERIES if n.startswith("stream_")} | {"audit_ingest"}
 # Queries that end in one row, or that order one small row per range or minute.
 ONE_ROW = {"one_decision_votes", "ks_drift", "ks_drift_scaled", "ks_drift_ties", "event_retention",
            "event_retention_default", "quality_report", "flagship_gate", "layer_write_roundtrip",
-           "promote_bronze_silver", "profile_table", "profile_summary", "infer_types", "valid_reports"}
-# Foreign JSON and YAML text have no Spark expression.
-PYTHON = {"foreign_digest", "kafka_chain", "contract_columns", "contract_terms"}
+           "promote_bronze_silver", "profile_table", "profile_summary", "infer_types", "infer_types_sketched", "key_candidates",
+           "valid_reports"}
+# Foreign JSON and YAML text have no Spark expression; a hash chain is folded in order.
+PYTHON = {"foreign_digest", "kafka_chain", "contract_columns", "contract_terms", "build_chain", "append_chain", "build_long_chain"}
 
 
 def plan(df) -> str:
@@ -31,7 +32,7 @@ def test_plan_scales(spark, sf, name):
     if name not in ONE_ROW and not name.startswith("expect_"):
         assert "SinglePartition" not in text
     if name not in PYTHON:
-        assert not re.search(r"EvalPython|InPandas", text)
+        assert not re.search(r"EvalPython|InPandas|MapInArrow", text)
 
 
 def test_suite_reads_the_table_once_besides_uniqueness(spark, sf):
