@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from govspark.functions.urns import DEFAULT_PLATFORM
 from govspark.operators import lineage as ln
+from govspark.operators.reach import reachable
 from govspark.plans.registry import query, table
 from govspark.session import fresh_path
 
@@ -167,3 +168,35 @@ def lineage_reach_of(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("order:"), "o_orderkey").alias("urn")
     )
     return ln.ancestors(order_edges(spark, folder), asked)
+
+
+# Every seventh nation feeds its region back, so that regions and these nations form cycles.
+_CYCLIC_SQL = """WITH RECURSIVE edges AS (
+  SELECT 'region:' || n_regionkey AS s, 'nation:' || n_nationkey AS t FROM nation
+  UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation WHERE n_nationkey % 7 = 0
+  UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey FROM customer
+  UNION ALL SELECT 'customer:' || o_custkey, 'order:' || o_orderkey FROM orders),
+asked AS (
+  SELECT DISTINCT above, 'order:' || o_orderkey AS below FROM orders, (
+    SELECT 'region:' || r_regionkey AS above FROM region UNION ALL SELECT 'nation:' || n_nationkey FROM nation WHERE n_nationkey < 6)
+  WHERE o_orderkey % 100 = 0
+  UNION SELECT 'nation:' || n_nationkey, 'region:' || r_regionkey FROM nation, region),
+reach AS (
+  SELECT DISTINCT below AS urn, s AS ancestor FROM asked JOIN edges ON t = below
+  UNION SELECT r.urn, e.s FROM reach r JOIN edges e ON e.t = r.ancestor)"""
+
+
+@query("lineage_reachable", f"""{_CYCLIC_SQL}
+SELECT above, below, EXISTS (SELECT 1 FROM reach WHERE urn = below AND ancestor = above) AS reachable FROM asked""")
+def lineage_reachable(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether regions and some nations are above every hundredth order, and nations above regions."""
+    nations, orders = table(spark, folder, "nation"), table(spark, folder, "orders")
+    name = lambda kind, key: F.concat(F.lit(f"{kind}:"), key)
+    back = nations.where("n_nationkey % 7 = 0").select(name("nation", "n_nationkey").alias("source_urn"), name("region", "n_regionkey").alias("target_urn"))
+    regions = table(spark, folder, "region").select(name("region", "r_regionkey").alias("above"))
+    # Regions and six nations, a fixed few, are spread over the orders asked for.
+    few = [f"region:{i}" for i in range(5)] + [f"nation:{i}" for i in range(6)]
+    low = orders.where("o_orderkey % 100 = 0").select(F.explode(F.array(*map(F.lit, few))).alias("above"), name("order", "o_orderkey").alias("below"))
+    high = nations.select(name("nation", "n_nationkey").alias("above"), F.explode(F.array(*map(F.lit, few[:5]))).alias("below"))
+    asked = low.join(regions.unionByName(nations.where("n_nationkey < 6").select(name("nation", "n_nationkey").alias("above"))), "above", "left_semi")
+    return reachable(order_edges(spark, folder).unionByName(back), asked.unionByName(high))
