@@ -56,40 +56,45 @@ def _chain(events: DataFrame, keys: list[str], link: Callable[[str, str], bytes]
     With ``heads`` positions and hashes go on where the stored chain ends, so the result does not depend on how
     the events were split into batches.
     """
-    if heads is None:
-        events = events.withColumns({"_head": F.lit(genesis), "_done": F.lit(0).cast("long")})
-    else:
-        known = heads.select(*keys, F.col("head_hash").alias("_head"), F.col("position").cast("long").alias("_done"))
-        events = events.join(known, keys, "left").withColumns({
-            "_head": F.coalesce("_head", F.lit(genesis)), "_done": F.coalesce("_done", F.lit(0).cast("long"))
-        })
-    kept = [f for f in events.schema.fields if f.name not in ("_body", "_head", "_done")]
+    kept = [f for f in events.schema.fields if f.name != "_body"]
     added = [T.StructField("position", T.LongType()), T.StructField("previous_hash", T.StringType()),
              T.StructField("event_hash", T.StringType())]
     names = [f.name for f in kept]
+    # A stored head is a row before the first event of its chain; the events have no ``_done``.
+    if heads is None:
+        events = events.withColumns({"_head": F.lit(None).cast("string"), "_done": F.lit(None).cast("long")})
+    else:
+        known = heads.select(*keys, F.col("head_hash").alias("_head"), F.col("position").cast("long").alias("_done"))
+        events = events.unionByName(known, allowMissingColumns=True)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         started, chain, last, position = False, None, genesis, 0
         for batch in batches:
             before, after, places = [], [], []
             owners = zip(*(batch.column(k).to_pylist() for k in keys), strict=True) if keys else [()] * batch.num_rows
-            bodies, starts, done = (batch.column(c).to_pylist() for c in ("_body", "_head", "_done"))
-            for owner, body, start, passed in zip(owners, bodies, starts, done, strict=True):
+            bodies, heads_, done = (batch.column(c).to_pylist() for c in ("_body", "_head", "_done"))
+            for owner, body, head, passed in zip(owners, bodies, heads_, done, strict=True):
                 if not started or owner != chain:
-                    started, chain, last, position = True, owner, start, passed
+                    started, chain, last, position = True, owner, genesis, 0
+                if passed is not None:
+                    last, position = head, passed
+                    continue
                 position += 1
                 places.append(position)
                 before.append(last)
                 last = hashlib.sha256(link(last, body)).hexdigest()
                 after.append(last)
+            told = batch.filter(batch.column("_done").is_null())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), pa.array(places, pa.int64()), pa.array(before, pa.string()),
+                [*(told.column(n) for n in names), pa.array(places, pa.int64()), pa.array(before, pa.string()),
                  pa.array(after, pa.string())],
                 names=[*names, "position", "previous_hash", "event_hash"],
             )
 
-    dealt = events.repartition(*keys) if keys else events.repartition(1)
-    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(fold, T.StructType(kept + added))
+    # By a hash of the keys: a shuffle by the keys themselves is left out above a join or an aggregate by them, and adaptive
+    # execution, which then sees nothing that needs whole chains, may spread a chain over several tasks.
+    dealt = events.repartition(F.xxhash64(*keys)) if keys else events.repartition(1)
+    return dealt.sortWithinPartitions(*keys, F.col("_done").isNull(), *order).mapInArrow(fold, T.StructType(kept + added))
 
 
 def build_chain(events: DataFrame, keys: list[str], order: list[Column], heads: DataFrame | None = None,

@@ -107,6 +107,32 @@ def test_appending_equals_building_at_once(spark, tmp_path, cut):
     assert rows(stored.unionByName(later), *columns) == rows(whole, *columns)
 
 
+@pytest.mark.parametrize("joined_before", [False, True])
+def test_chains_stay_whole_where_joins_turn_into_broadcasts(spark, tmp_path, joined_before):
+    """Adaptive execution reads a join's shuffle per map task once the other side is small; chains must not follow."""
+    events = [event(i, chain=f"c{i % 3}") for i in range(300)]
+    want = rows(build(spark, events), "id", "position", "event_hash")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        order = [F.col("occurred_at"), F.col("id")]
+        spread = frame(spark, events).repartition(5)
+        if joined_before:
+            few = spark.createDataFrame([(f"c{i}",) for i in range(3)], "chain string")
+            got = rows(a.build_chain(spread.join(few, "chain"), ["chain"], order), "id", "position", "event_hash")
+        else:
+            a.build_chain(spread.where("id < 100"), ["chain"], order).write.parquet(f"{tmp_path}/first")
+            first = spark.read.parquet(f"{tmp_path}/first")
+            later = a.build_chain(spread.where("id >= 100"), ["chain"], order, heads=a.last_links(first, ["chain"]))
+            got = rows(first.unionByName(later), "id", "position", "event_hash")
+    finally:
+        for key in conf:
+            spark.conf.unset(key)
+    assert got == want
+
+
 def test_topic_chain(spark):
     data = spark.createDataFrame([("p", i, json.dumps({"n": i})) for i in range(5)], "chain string, n long, value string")
     built = a.build_topic_chain(data, ["chain"], F.col("value"), [F.col("n")]).orderBy("n").collect()
