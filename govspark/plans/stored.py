@@ -12,7 +12,7 @@ from govspark.plans.decisions import stored_vetoes
 from govspark.plans.lineage import EVENTS_SQL, run_events
 from govspark.plans.observability import _BIN
 from govspark.plans.registry import query, table
-from govspark.plans.streams import _VETO_SQL
+from govspark.plans.streams import _VETO_SQL, evaluated
 from govspark.session import fresh_path
 from govspark.sources import stored
 from govspark.streaming import state
@@ -25,8 +25,9 @@ def arriving(spark: SparkSession, batch: DataFrame, name: str, step: Column, run
              steps: int = 3) -> str:
     """Let a table arrive in ``steps`` batches, each row in batch ``step`` (null: the first), with a restart after each."""
     source, checkpoint = fresh_path(spark, name), fresh_path(spark, f"{name}-checkpoint")
+    stepped = evaluated(batch.withColumn("_step", F.coalesce(step, F.lit(0))), name)
     for number in range(steps):
-        batch.where(F.coalesce(step, F.lit(0)) == number).write.mode("append").parquet(source)
+        stepped.where(F.col("_step") == number).drop("_step").write.mode("append").parquet(source)
         run(spark.readStream.schema(batch.schema).parquet(source), checkpoint)
     return checkpoint
 

@@ -30,11 +30,18 @@ def stream_of(spark: SparkSession, batch: DataFrame, name: str) -> DataFrame:
     return spark.readStream.schema(batch.schema).parquet(path)
 
 
+def evaluated(batch: DataFrame, name: str) -> DataFrame:
+    """``batch`` as a table in the shared folder, so that what is read from it step by step is worked out once."""
+    path = fresh_path(batch.sparkSession, f"{name}-evaluated")
+    batch.write.parquet(path)
+    return batch.sparkSession.read.schema(batch.schema).parquet(path)
+
+
 def replay(spark: SparkSession, batch: DataFrame, name: str, order: Column, build: Callable[[DataFrame], DataFrame],
            steps: int = 4) -> DataFrame:
     """Let a table arrive in steps along ``order``, with a restart of the streaming query after each step."""
     source, sink = fresh_path(spark, name), fresh_path(spark, f"{name}-out")
-    keyed = batch.withColumn("_order", order.cast("double"))
+    keyed = evaluated(batch.withColumn("_order", order.cast("double")), name)
     cuts = keyed.approxQuantile("_order", [i / steps for i in range(1, steps)], 0.01)
     bounds = [-math.inf, *cuts, math.inf]
     for low, high in zip(bounds, bounds[1:]):
@@ -49,8 +56,9 @@ def landed(spark: SparkSession, batch: DataFrame, name: str, build: Callable[[Da
            steps: int = 4) -> DataFrame:
     """Let a table arrive in ``steps`` batches out of time order (by a hash of ``mark``), with a restart after each."""
     source, sink = fresh_path(spark, name), fresh_path(spark, f"{name}-out")
+    stepped = evaluated(batch.withColumn("_step", F.pmod(F.xxhash64(mark), F.lit(steps))), name)
     for step in range(steps):
-        batch.where(F.pmod(F.xxhash64(mark), F.lit(steps)) == step).write.mode("append").parquet(source)
+        stepped.where(F.col("_step") == step).drop("_step").write.mode("append").parquet(source)
         stream = spark.readStream.schema(batch.schema).parquet(source)
         s.land(stream, build, f"{sink}/data", f"{sink}/checkpoint")
     return spark.read.parquet(f"{sink}/data").drop("batch")

@@ -3,11 +3,13 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from govspark.operators.expectations import Expectation
+from govspark.plans import stored, streams
 from govspark.sources import topics as t
 from govspark.streaming import queries as s
 from govspark.streaming.chain import stream_hash_chain
@@ -149,3 +151,21 @@ def test_messages_routing_retention(spark):
     assert t.retain(log, "ts", "id", F.lit(at(0)), 1).count() == 2881
     assert t.retain(log, "ts", "id", F.lit(at(0)), 7).count() == 20161
     assert t.retain(log.where("id < 0"), "ts", "id", F.lit(at(0))).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["landed", "replay", "arriving"])
+def test_arriving_tables_are_evaluated_once(spark, tmp_path, kind):
+    """Values that differ with every evaluation: each row arrives exactly once if there is only one."""
+    drawn = F.udf(lambda: random.random(), "double").asNondeterministic()
+    batch = spark.range(200).withColumn("v", drawn())
+    if kind == "landed":
+        got = streams.landed(spark, batch, "drawn", lambda b: b, F.col("v"))
+    elif kind == "replay":
+        got = streams.replay(spark, batch, "drawn", F.col("v"), lambda b: b)
+    else:
+        def run(stream, checkpoint):
+            s.run_available(stream, f"{tmp_path}/out", checkpoint)
+
+        stored.arriving(spark, batch, "drawn", F.floor(F.col("v") * 3), run)
+        got = spark.read.parquet(f"{tmp_path}/out")
+    assert rows(got, "id") == sorted([(i,) for i in range(200)], key=repr)
