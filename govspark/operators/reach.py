@@ -118,15 +118,33 @@ def _within(above: str, below: str) -> Column:
     return test
 
 
+def _between(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """Edges (a, b) that may lie on a way from an asked ``above`` to an asked ``below``.
+
+    An edge goes if nothing leaves its end and nobody asks below it, or nothing enters its start and nobody asks above it, round by
+    round while a round takes a tenth or more; what stays is stored once per round and shrinks.
+    """
+    ends, starts = asked.select(F.col("below").alias("b")).distinct(), asked.select(F.col("above").alias("a")).distinct()
+    size = None
+    while True:
+        onward = edges.select(F.col("a").alias("b")).unionByName(ends).distinct()
+        backward = edges.select(F.col("b").alias("a")).unionByName(starts).distinct()
+        edges = _stored(edges.join(onward, "b", "left_semi").join(backward, "a", "left_semi").select("a", "b"), "between")
+        before, size = size, edges.count()
+        if size == 0 or before is not None and size > 0.9 * before:
+            return edges
+
+
 def reachable(edges: DataFrame, questions: DataFrame) -> DataFrame:
     """above, below, reachable: for every distinct question (``above``, ``below``: URNs) whether ``above`` feeds ``below``, at any distance.
 
     ``edges``: source_urn, target_urn. A dataset is above itself if it lies on a cycle. URNs without an edge are above and below
     nothing; edges and questions with a null are ignored.
     """
-    pairs = _stored(edges.select(F.col("source_urn").alias("a"), F.col("target_urn").alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct(), "pairs")
-    on_cycle = _stored(cycles(pairs), "on-cycle")
     asked = _stored(questions.select("above", "below").where("above IS NOT NULL AND below IS NOT NULL").distinct(), "questions")
+    given = edges.select(F.col("source_urn").alias("a"), F.col("target_urn").alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct()
+    pairs = _between(given, asked)
+    on_cycle = _stored(cycles(pairs), "on-cycle")
 
     def condensed(df: DataFrame, name: str) -> DataFrame:
         named = on_cycle.select(F.col("node").alias(name), "cycle")

@@ -65,3 +65,9 @@ def test_nothing(spark):
     asked = spark.createDataFrame([("a", "b")], "above string, below string")
     assert rows(reach.reachable(empty, asked)) == [("a", "b", False)]
     assert rows(reach.reachable(empty, asked.limit(0))) == []
+
+
+def test_edges_off_every_asked_way_are_left_out(spark):
+    edges = spark.createDataFrame([("r", "m"), ("x", "m"), *(("m", f"n{i}") for i in range(20)), ("n3", "o")], "a string, b string").coalesce(1)
+    asked = spark.createDataFrame([("r", "n1"), ("r", "unknown")], "above string, below string").coalesce(1)
+    assert rows(reach._between(edges, asked), "a", "b") == [("m", "n1"), ("r", "m")]
