@@ -23,8 +23,9 @@ from govspark.session import fresh_path
 
 _GROUP = "_group"
 
-#: Rows that one range should hold.
+#: Rows that one range should hold, and at least holds where there are cores for more ranges.
 RANGE_ROWS = 2_000_000
+LEAST_ROWS = 100_000
 
 
 def _sliced(df: DataFrame, keys: list[str], slice_by: Column | None, order: list[Column],
@@ -35,7 +36,8 @@ def _sliced(df: DataFrame, keys: list[str], slice_by: Column | None, order: list
     whole = fresh_path(spark, "sliced")
     df.write.parquet(whole)
     stored = spark.read.schema(df.schema).parquet(whole)
-    ranges = max(1, -(-stored.count() // range_rows))
+    rows = stored.count()
+    ranges = max(1, -(-rows // range_rows), min(spark.sparkContext.defaultParallelism, rows // LEAST_ROWS))
     ranged = stored.repartitionByRange(ranges, *keys, *order)
     # Range borders come from a sample: fix them in storage, so that every use of the slices sees the same ones. As
     # Parquet, so that each use reads its own columns alone.
