@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from govspark.session import fresh_path
 from govspark.vocabulary import DRIFT_THRESHOLD
 
-#: Distinct values that one range should hold.
+#: Distinct values that one range should hold, and at least holds where there are cores for more ranges.
 RANGE_VALUES = 2_000_000
+LEAST_VALUES = 100_000
 _SERIES_TERMS = 100
 
 
@@ -55,7 +56,8 @@ def _ranged(counts: DataFrame, order: list[str], range_values: int) -> DataFrame
     path = fresh_path(spark, "counts")
     counts.withColumn("bucket", F.lit(0)).write.parquet(path)
     stored = spark.read.parquet(path)
-    ranges = -(-stored.count() // range_values)
+    rows = stored.count()
+    ranges = max(-(-rows // range_values), min(spark.sparkContext.defaultParallelism, rows // LEAST_VALUES))
     if ranges <= 1:
         return stored
     path = fresh_path(spark, "ranges")
@@ -72,14 +74,14 @@ def drift_fleet(rows: DataFrame, is_reference: Column, columns: list[str], keys:
     of (keys, column, value), so a column that holds most of them is cut like any other. A column without a value on one
     side has no statistic and no drift.
     """
-    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns))
-    # Read before the values are spread, so that no name of the table is in the way.
-    read = rows.select(F.struct(*(F.col(k) for k in keys), F.lit(0).alias("_")).alias("_key"), is_reference.cast("int").alias("_one"),
+    # Keys by number and flat, columns by place: the counting then compares no long names and keeps to Spark's fast path.
+    cells = F.array(*(F.struct(F.lit(i).alias("place"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(columns)))
+    flat = [f"_k{i}" for i in range(len(keys))]
+    read = rows.select(*(F.col(k).alias(n) for k, n in zip(keys, flat, strict=True)), is_reference.cast("int").alias("_one"),
                        cells.alias("_cells")).where("_one IS NOT NULL")
-    sides = read.select("_key", "_one", F.explode("_cells").alias("_cell")).where("_cell.v IS NOT NULL")
-    named = F.struct(*(F.col("_key")[k].alias(k) for k in keys), F.col("_cell")["column"].alias("column"))
-    counts = sides.groupBy(named.alias("series"), F.col("_cell")["v"].alias("v")).agg(
-        F.sum("_one").alias("n1"), F.sum(1 - F.col("_one")).alias("n2"))
+    sides = read.select(*flat, "_one", F.inline("_cells")).where("v IS NOT NULL")
+    counted = sides.groupBy(*flat, "place", "v").agg(F.sum("_one").alias("n1"), F.sum(1 - F.col("_one")).alias("n2"))
+    counts = counted.select(F.struct(*flat, "place").alias("series"), "v", "n1", "n2")
     ranged = _ranged(counts, ["series", "v"], range_values)
     totals = ranged.groupBy("series", "bucket").agg(F.sum("n1").alias("t1"), F.sum("n2").alias("t2"))
     ordered = Window.partitionBy("series").orderBy("bucket")
@@ -96,7 +98,9 @@ def drift_fleet(rows: DataFrame, is_reference: Column, columns: list[str], keys:
     tested = joined.groupBy("series").agg(
         F.max("size1").alias("reference_size"), F.max("size2").alias("current_size"), F.max(gap).alias("statistic"))
     p_value = F.when(F.col("statistic").isNotNull(), ks_p_value(F.col("statistic"), F.col("reference_size"), F.col("current_size")))
-    told = tested.select("series.*", "reference_size", "current_size", "statistic").withColumn("p_value", p_value)
+    column = F.get(F.array(*map(F.lit, columns)), F.col("series.place")).alias("column")
+    told = tested.select(*(F.col("series")[n].alias(k) for k, n in zip(keys, flat, strict=True)), column,
+                         "reference_size", "current_size", "statistic").withColumn("p_value", p_value)
     return told.withColumn("has_drift", F.coalesce(F.col("p_value") < threshold, F.lit(False)))
 
 

@@ -156,3 +156,15 @@ def test_a_fleet_is_one_scan(spark, sf):
     source = spark.range(200).selectExpr("id AS x", "id * 2 AS y").mapInArrow(count, "x long, y long")
     assert drift_fleet(source, F.col("x") % 2 == 0, ["x", "y"]).count() == 2
     assert seen.value == 200
+
+
+def test_counts_use_the_cores(spark, monkeypatch):
+    """Counts that fit one range are still dealt over the cores, and nothing changes by it."""
+    from govspark.operators import drift as k
+
+    frame = spark.range(400).select((F.col("id") % 37).alias("place"), (F.col("id") * 7 % 101).alias("v"), (F.col("id") % 3 == 0).alias("old"))
+    whole = rows(k.drift_fleet(frame, F.col("old"), ["v"], ["place"]))
+    monkeypatch.setattr(k, "LEAST_VALUES", 10)
+    counts = frame.groupBy("v").agg(F.count("*").alias("n1"), F.lit(0).alias("n2"))
+    assert k._ranged(counts, ["v"], k.RANGE_VALUES).select("bucket").distinct().count() == spark.sparkContext.defaultParallelism
+    assert rows(k.drift_fleet(frame, F.col("old"), ["v"], ["place"])) == whole and len(whole) == 37
