@@ -91,8 +91,14 @@ def edges_by(edges: DataFrame, source: str | None = None, target: str | None = N
 
 
 def merge_edges(known: DataFrame, arrived: DataFrame) -> DataFrame:
-    """Edge table after an upsert by source, target and job."""
-    return known.unionByName(arrived).dropDuplicates(["source_urn", "target_urn", "job_urn"])
+    """Edge table after an upsert by source, target and job.
+
+    Dealt out by edge first, over all shuffle partitions: a small file of runs spreads into very many edges, which one map task would
+    sort, and names compress so well that partitions joined by their stored size would hold too many.
+    """
+    keys = ["source_urn", "target_urn", "job_urn"]
+    parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return known.unionByName(arrived).repartition(parts, *keys).dropDuplicates(keys)
 
 
 def neighbours(edges: DataFrame) -> DataFrame:

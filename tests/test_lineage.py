@@ -81,3 +81,12 @@ def test_emitted_events_and_lookup(spark, tmp_path):
     assert rows(ln.edges_by(edges, source="a"), "target_urn") == [("b",), ("c",)]
     assert rows(ln.edges_by(edges, target="c", job="j"), "source_urn") == [("a",), ("b",)]
     assert ln.edges_by(edges, source="a", job="k").isEmpty()
+
+
+def test_merged_edges_are_dealt_out_before_they_are_sorted(spark):
+    edge = "source_urn string, target_urn string, job_urn string, edge_type string"
+    known = spark.createDataFrame([("a", "b", "j", "T"), ("a", "b", None, "T")], edge)
+    merged = ln.merge_edges(known, known.unionByName(spark.createDataFrame([("a", "c", "j", "T")], edge)))
+    assert rows(merged, "source_urn", "target_urn", "job_urn") == sorted([("a", "b", "j"), ("a", "b", None), ("a", "c", "j")], key=repr)
+    text = merged._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "REPARTITION_BY_NUM" in text and text.rindex("Aggregate") < text.index("Exchange")
