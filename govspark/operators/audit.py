@@ -98,12 +98,13 @@ def _chain(events: DataFrame, keys: list[str], link: Callable[[str, str], bytes]
 
 
 def build_chain(events: DataFrame, keys: list[str], order: list[Column], heads: DataFrame | None = None,
-                details: Column | None = None) -> DataFrame:
+                details: Column | None = None, keep: list[str] | None = None) -> DataFrame:
     """Chain the events of each key in ``order``; adds position, previous_hash and event_hash.
 
-    ``heads`` (see ``last_links``) appends to stored chains. Keys must not be null then.
+    ``heads`` (see ``last_links``) appends to stored chains. Keys must not be null then. A chain is sorted by one task: ``keep``
+    names the columns to carry there, with keys and those in ``order``, where not all are wanted.
     """
-    kept = [c for c in events.columns if c not in ("position", "previous_hash", "event_hash")]
+    kept = [c for c in events.columns if c not in ("position", "previous_hash", "event_hash") and (keep is None or c in keep)]
     prepared = events.select(*kept, ascii_json(_payload(details)).alias("_body"))
     return _chain(prepared, keys, lambda last, body: f'{body}"{last}"}}'.encode(), GENESIS_HASH, order, heads)
 

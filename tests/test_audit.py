@@ -263,3 +263,13 @@ def test_lost_rows(spark):
     after = spark.createDataFrame([(1, "a"), (2, None), (3, "d"), (4, "e")], "i int, v string")
     assert rows(a.lost_rows(before, after)) == [(1, "a", 1), (3, "c", 1)]
     assert a.lost_rows(before, before.unionByName(after)).isEmpty()
+
+
+def test_chain_carries_what_is_kept(spark, sf):
+    """Columns that nobody asked for are not sorted with the chain, and the hashes are the same."""
+    from govspark.plans import derived as d
+
+    events, order = d.audit_events(spark, sf), [F.col("occurred_at"), F.col("id")]
+    lean = a.build_chain(events, ["event_type"], order, keep=["id", "event_type", "occurred_at"])
+    assert set(lean.columns) == {"id", "event_type", "occurred_at", "position", "previous_hash", "event_hash"}
+    assert rows(lean, "id", "event_hash") == rows(a.build_chain(events, ["event_type"], order), "id", "event_hash")
