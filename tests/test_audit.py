@@ -273,3 +273,11 @@ def test_chain_carries_what_is_kept(spark, sf):
     lean = a.build_chain(events, ["event_type"], order, keep=["id", "event_type", "occurred_at"])
     assert set(lean.columns) == {"id", "event_type", "occurred_at", "position", "previous_hash", "event_hash"}
     assert rows(lean, "id", "event_hash") == rows(a.build_chain(events, ["event_type"], order), "id", "event_hash")
+
+
+def test_long_chains_are_verified_in_parallel(spark, sf):
+    """The chains are chosen after the links are grouped, not by a join that lays every chain into one task."""
+    from govspark.plans import QUERIES
+
+    text = QUERIES["verify_long_chain"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert text.index("LeftSemi") < text.index("Generate")
