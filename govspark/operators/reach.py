@@ -3,10 +3,11 @@
 Cycles are condensed first: all datasets of a cycle are above each other and become one node. On the rest, which has no
 cycle, every node gets a level (above all it feeds) and ``LABELS`` intervals: the least and the largest of a random number
 over everything below it, itself included. If u is above v, then v's intervals lie within u's, and its level is lower; most
-other pairs fail this range test. Pairs that pass are searched downward from u, and the search only enters nodes
-that pass the test against v as well.
+other pairs fail this range test. Pairs that pass are searched: a step puts u down to the nodes it feeds or v up to the nodes that feed it,
+whichever are fewer, and goes on with the pairs that pass the test as well. So a hub, above or below, is not entered once
+for every question about it.
 
-Rounds follow the depth of the graph. A round joins the nodes reached last with the edges, and writes its new rows to the shared
+Rounds follow the depth of the graph. A round joins the pairs found last with the edges, and writes its new rows to the shared
 folder, so plans stay short and a lost executor does not undo them.
 """
 
@@ -20,12 +21,20 @@ from govspark.session import fresh_path
 LABELS = 3
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
+def _stored(df: DataFrame, name: str, parts: list[str] | None = None) -> DataFrame:
+    """``df`` written and read again; its path is added to ``parts``."""
     path = fresh_path(df.sparkSession, f"reach-{name}")
     df.write.parquet(path)
+    if parts is not None:
+        parts.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _together(df: DataFrame, parts: list[str]) -> DataFrame:
+    """All that was stored at ``parts``, ``df`` the last of it: nothing is written again as more is added."""
+    return df.sparkSession.read.schema(df.schema).parquet(*parts)
+
+
 def _spread(edges: DataFrame, start: DataFrame, better: bool) -> DataFrame:
     """Let values flow along ``edges`` (a, b) from ``start`` (node, value) until nothing changes; a node keeps the least value, or
     with ``better`` false the first."""
@@ -75,7 +84,8 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 
 def _number(i: int, node: Column) -> Column:
-    return F.xxhash64(F.lit(i), node)
+    """Four bytes, since every pair that is searched carries twelve of them; equal numbers only let more pairs pass."""
+    return F.hash(F.lit(i), node)
 
 
 def labelled(edges: DataFrame, alone: DataFrame | None = None) -> DataFrame:
@@ -87,7 +97,7 @@ def labelled(edges: DataFrame, alone: DataFrame | None = None) -> DataFrame:
     waiting = _stored(every.distinct(), "nodes")
     names = [f"{end}{i}" for i in range(LABELS) for end in ("low", "high")]
     first = [_number(i, F.col("node")).alias(f"{end}{i}") for i in range(LABELS) for end in ("low", "high")]
-    done, level = None, 0
+    done, parts, level = None, [], 0
     if waiting.isEmpty():
         return waiting.select("node", F.lit(0).alias("level"), *first)
     while not waiting.isEmpty():
@@ -101,10 +111,10 @@ def labelled(edges: DataFrame, alone: DataFrame | None = None) -> DataFrame:
             summed = below.groupBy(F.col("a").alias("node")).agg(*((F.min if n.startswith("low") else F.max)(n).alias(f"_{n}") for n in names))
             pick = [(F.least if n.startswith("low") else F.greatest)(F.col(n), F.col(f"_{n}")).alias(n) for n in names]
             new = own.join(summed, "node", "left").select("node", "level", *pick)
-        new = _stored(new, "labels")
+        new = _stored(new, "labels", parts)
         if new.isEmpty():
             raise ValueError("the edges have a cycle")
-        done = new if done is None else _stored(done.unionByName(new), "done")
+        done = _together(new, parts)
         waiting = _stored(waiting.join(new.select("node"), "node", "left_anti"), "waiting")
         level += 1
     return done
@@ -119,17 +129,22 @@ def _within(above: str, below: str) -> Column:
 
 
 def _between(edges: DataFrame, asked: DataFrame) -> DataFrame:
-    """Edges (a, b) that may lie on a way from an asked ``above`` to an asked ``below``.
+    """Distinct edges (a, b) that may lie on a way from an asked ``above`` to an asked ``below``.
 
     An edge goes if nothing leaves its end and nobody asks below it, or nothing enters its start and nobody asks above it, round by
-    round while a round takes a tenth or more; what stays is stored once per round and shrinks.
+    round while a round takes a tenth or more; what stays is stored and shrinks. The test by the fewer nodes comes first, and only
+    what it leaves is put to the other.
     """
-    ends, starts = asked.select(F.col("below").alias("b")).distinct(), asked.select(F.col("above").alias("a")).distinct()
+    asked_at = {end: asked.select(F.col(of).alias(end)).distinct() for of, end in (("below", "b"), ("above", "a"))}
+    few = edges.agg(F.approx_count_distinct("a").alias("a"), F.approx_count_distinct("b").alias("b")).first()
+    order = ("b", "a") if few["a"] <= few["b"] else ("a", "b")
     size = None
     while True:
-        onward = edges.select(F.col("a").alias("b")).unionByName(ends).distinct()
-        backward = edges.select(F.col("b").alias("a")).unionByName(starts).distinct()
-        edges = _stored(edges.join(onward, "b", "left_semi").join(backward, "a", "left_semi").select("a", "b"), "between")
+        for end in order:
+            onward = edges.select(F.col("a" if end == "b" else "b").alias(end)).unionByName(asked_at[end]).distinct()
+            left = edges.join(onward, end, "left_semi").select("a", "b")
+            # Dealt out by edge, so that a hub does not fill the task that drops repeated edges.
+            edges = _stored(left.repartition("a", "b").distinct() if size is None else left, "between")
         before, size = size, edges.count()
         if size == 0 or before is not None and size > 0.9 * before:
             return edges
@@ -142,7 +157,7 @@ def reachable(edges: DataFrame, questions: DataFrame) -> DataFrame:
     nothing; edges and questions with a null are ignored.
     """
     asked = _stored(questions.select("above", "below").where("above IS NOT NULL AND below IS NOT NULL").distinct(), "questions")
-    given = edges.select(F.col("source_urn").alias("a"), F.col("target_urn").alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct()
+    given = edges.select(F.col("source_urn").alias("a"), F.col("target_urn").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     pairs = _between(given, asked)
     on_cycle = _stored(cycles(pairs), "on-cycle")
 
@@ -153,30 +168,34 @@ def reachable(edges: DataFrame, questions: DataFrame) -> DataFrame:
     both = condensed(condensed(pairs, "a"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     dag = _stored(both.where("a <> b").distinct(), "condensed")
     labels = labelled(dag)
-    stamp = F.struct(*[c for c in labels.columns if c != "node"])
-    known = _stored(labels.select("node", stamp.alias("label")), "labels")
+    ways = {end: dag.groupBy(F.col(of).alias("node")).agg(F.count("*").alias(end)) for of, end in (("a", "feeds"), ("b", "fed"))}
+    stamp = F.struct(*[c for c in labels.columns if c != "node"], *(F.coalesce(end, F.lit(0)).alias(end) for end in ways))
+    known = _stored(labels.join(ways["feeds"], "node", "left").join(ways["fed"], "node", "left").select("node", stamp.alias("label")), "known")
+    label_of = {end: known.select(F.col("node").alias(end), F.col("label").alias(f"label_{end.strip('_')}")) for end in ("_above", "_below", "a", "b")}
+    steps = _stored(dag.join(label_of["a"], "a").join(label_of["b"], "b"), "steps")
 
     told = condensed(condensed(asked, "above"), "below")
     member = on_cycle.select(F.col("cycle").alias("_above")).distinct().withColumn("_cyclic", F.lit(True))
     same = told.where("_above = _below").join(member, "_above", "left").where("_cyclic").select("above", "below")
     open_pairs = told.where("_above <> _below")
-    labelled_pairs = (
-        open_pairs.join(known.select(F.col("node").alias("_above"), F.col("label").alias("label_above")), "_above")
-        .join(known.select(F.col("node").alias("_below"), F.col("label").alias("label_below")), "_below")
-        .where(_within("label_above", "label_below"))
-    )
-    # Questions about the same two condensed nodes are searched once.
-    frontier = _stored(labelled_pairs.select("_above", "_below", "label_below", F.col("_above").alias("at")).distinct(), "frontier")
-    seen, hits = frontier.select("_above", "_below", "at"), None
-    while not frontier.isEmpty():
-        step = frontier.join(dag, frontier["at"] == dag["a"]).select("_above", "_below", "label_below", F.col("b").alias("at")).distinct()
-        step = _stored(step, "step")
-        hit = step.where("at = _below").select("_above", "_below")
-        hits = _stored(hit if hits is None else hits.unionByName(hit), "hits")
-        onward = step.join(hits, ["_above", "_below"], "left_anti").join(known.withColumnRenamed("node", "at"), "at")
-        fresh = onward.where(_within("label", "label_below")).join(seen, ["_above", "_below", "at"], "left_anti")
-        frontier = _stored(fresh.select("_above", "_below", "label_below", "at"), "frontier")
-        seen = _stored(seen.unionByName(frontier.select("_above", "_below", "at")), "seen")
+    # Questions about the same two condensed nodes are searched once; what they come down to is whether ``u`` is above ``v``.
+    once = open_pairs.select("_above", "_below").distinct()
+    tops = label_of["_above"].join(once.select("_above").distinct(), "_above", "left_semi")
+    start = once.join(label_of["_below"], "_below").join(tops, "_above").where(_within("label_above", "label_below"))
+    search = ["_above", "_below", "u", "v"]
+    frontier = _stored(start.select("_above", "_below", F.col("_above").alias("u"), F.col("_below").alias("v"),
+                                    F.col("label_above").alias("label_u"), F.col("label_below").alias("label_v")), "frontier")
+    more, hits, seen, found = not frontier.isEmpty(), None, [], []
+    while more:
+        fewer = F.col("label_u")["feeds"] <= F.col("label_v")["fed"]
+        down = frontier.where(fewer).join(steps, F.col("u") == F.col("a")).select("_above", "_below", F.col("b").alias("u"), "v", F.col("label_b").alias("label_u"), "label_v")
+        up = frontier.where(~fewer).join(steps, F.col("v") == F.col("b")).select("_above", "_below", "u", F.col("a").alias("v"), "label_u", F.col("label_a").alias("label_v"))
+        fresh = down.unionByName(up).where((F.col("u") == F.col("v")) | _within("label_u", "label_v")).dropDuplicates(search)
+        if seen:
+            fresh = fresh.join(_together(frontier, seen).select(search), search, "left_anti")
+        step = _stored(fresh.select(frontier.columns), "step", seen)
+        hits = _together(_stored(step.where("u = v").select("_above", "_below").distinct(), "hits", found), found)
+        frontier, more = step.join(hits, ["_above", "_below"], "left_anti").select(step.columns), not step.where("u <> v").isEmpty()
     yes = same
     if hits is not None:
         yes = yes.unionByName(open_pairs.join(hits.distinct(), ["_above", "_below"], "left_semi").select("above", "below"))

@@ -71,3 +71,23 @@ def test_edges_off_every_asked_way_are_left_out(spark):
     edges = spark.createDataFrame([("r", "m"), ("x", "m"), *(("m", f"n{i}") for i in range(20)), ("n3", "o")], "a string, b string").coalesce(1)
     asked = spark.createDataFrame([("r", "n1"), ("r", "unknown")], "above string, below string").coalesce(1)
     assert rows(reach._between(edges, asked), "a", "b") == [("m", "n1"), ("r", "m")]
+
+
+@pytest.mark.parametrize("up", [True, False])
+def test_a_hub_is_not_entered_once_for_every_question(spark, monkeypatch, up):
+    """60 questions across a hub of 60 ways: the rows that a search stores follow the edges and questions, not their product."""
+    edges = [("r", "h")] + [e for i in range(60) for e in (("h", f"c{i}"), (f"c{i}", f"o{i}"))]
+    questions = [("r", f"o{i}") for i in range(60)] + [("c1", "o1"), ("c1", "o2")]
+    if not up:
+        edges, questions = [[(b, a) for a, b in rows] for rows in (edges, questions)]
+    sizes, stored = [], reach._stored
+
+    def counted(df, name, *more):
+        sizes.append((out := stored(df, name, *more)).count())
+        return out
+
+    monkeypatch.setattr(reach, "_stored", counted)
+    got = reach.reachable(spark.createDataFrame(edges * 2, EDGE).coalesce(1), spark.createDataFrame(questions, "above string, below string").coalesce(1))
+    want = plain(edges)
+    assert rows(got, "above", "below", "reachable") == sorted((a, b, b in want.get(a, ())) for a, b in questions)
+    assert max(sizes) <= 2 * len(edges)
